@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, table
 from .vecbytes import LOWER, Hasher, U, blocks, lists, mix, raw, words
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^42 = 3e-6.
@@ -218,6 +218,4 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from .shared import table
-
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2)
