@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, quality_rules
+from . import bpe, language_id, minhash_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
+        "op2_language_id": language_id.op2_language_id,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
     }
