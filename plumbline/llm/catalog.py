@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, minhash_dedup, quality_rules
+from . import bpe, language_id, minhash_dedup, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
+        "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_warc_round_trip": warc.OP10_SQL,
+    }
