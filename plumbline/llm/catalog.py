@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, minhash_dedup, quality_rules, url_filters, warc
+from . import bpe, language_id, minhash_dedup, quality_rules, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_url_filter": url_filters.op9_url_filter,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
