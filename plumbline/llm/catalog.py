@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, minhash_dedup, quality_rules, toxicity, url_filters, warc
+from . import bpe, decontaminate, language_id, minhash_dedup, quality_rules, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
         "op2_language_id": language_id.op2_language_id,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_url_filter": url_filters.op9_url_filter,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_decontaminate": decontaminate.OP5_SQL,
         "op9_url_filter": url_filters.OP9_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
     }
