@@ -4,7 +4,8 @@ A payload is a run of rows (record, chunk number), each with the running SHA-256
 end; nothing holds a whole record but the table's own cell. Archives are Spark text files whose line
 separator is CRLF, so each row is one WARC record: a payload over one chunk goes on in continuation records
 with WARC-Segment-Number, as the standard has it. A chunk never contains the version line, so readers can
-split files at it and stream record by record.
+stream record by record, and split files that are not compressed. By default files are gzipped, as WARC
+archives mostly are; a file is what one task wrote.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _records(size: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK, compression: str = "gzip") -> None:
     """Writes a record for each row of pages into WARC files under path, a file for each task.
 
     Of rows with equal payloads of at least REVISIT_BYTES the smallest id is a response and the others
@@ -122,7 +123,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisits = digests.join(repeated, "digest").where("id <> first").groupBy("id", "digest").agg(F.min("first").alias("first"))
     one = revisits.groupBy("id").agg(F.min("first").alias("first"), F.count("*").alias("c")).where("c = 1").select("id", "first")  # an id with several payloads stays whole
     records = rows.join(one, "id", "left").select("id", "url", "payload", "first").mapInArrow(_records(size), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path, compression=compression)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunk_table(spark: SparkSession, path: str) -> DataFrame:
     """The archives under path as rows of chunks: name, page, kind, refers_to, segment, content, n, digest (on last chunks).
 
-    content is null for payloads of one chunk, whose digest is checked on the way. Files are read in splits.
+    content is null for payloads of one chunk, whose digest is checked on the way.
     """
     text = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("record"))
     return text.mapInArrow(_parsed, "name string, page long, kind string, refers_to long, segment long, content binary, n long, digest string")
