@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, minhash_dedup, quality_rules, toxicity, url_filters, warc
+import corpus_pipeline
+
+from . import bpe, decontaminate, language_id, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash_dedup.op1_minhash_near_dedup,
         "op2_language_id": language_id.op2_language_id,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_url_filter": url_filters.op9_url_filter,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
+        "pipeline": corpus_pipeline.run,
     }
 
 
