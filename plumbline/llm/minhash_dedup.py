@@ -5,8 +5,9 @@ gives coordinate k as the least pi(sigma(x) + k). Here both are bijections of 32
 
 Plan: (a) one Python pass makes each document's set fingerprint and band hashes; (b) documents with equal
 sets become one class, by a map-side minimum; (c) in each band bucket every member is compared with two
-hubs, on full sets; (d) members of a bucket group that are still apart are compared in blocks by
-signature, then on full sets; (e) components. No step lists the pairs of a group.
+hubs, on full sets; (d) members of a bucket group that are still apart are compared in blocks, by
+signature and then on full sets; (e) components. No step lists the pairs of a group: a block gives at most
+one link for two components. Joins that carry texts or bands are sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ ROWS, BANDS = 6, 42
 K = ROWS * BANDS
 #: At similarity 0.8 fewer equal coordinates than this come with probability 1e-6 (binomial, 252 draws).
 AGREE_AT = 4.75
-PROBES = 512
+#: Documents of a group that are compared at once: those still apart, and all.
+PROBES, MEMBERS = 256, 1024
+#: A hub is tried first on members that meet it in so many buckets (at 0.8 a pair meets in 11 of 42); step (d) takes the rest.
+MEETINGS = 3
 _SHIFT = np.arange(1, K + 1, dtype=np.uint32)[:, None]
 _A, _B, _S = np.uint32(0x7FEB352D), np.uint32(0x846CA68B), np.uint32(15)
 
@@ -85,7 +89,7 @@ def _fingerprints(k: int):
                 sets = shingle_sets(block.column(1), k)
                 n = np.array([len(s) for s in sets])
                 full = [s for s in sets if len(s)]
-                bands = band_hashes(np.array([signature(s) for s in full]).reshape(-1, K)).ravel()
+                bands = band_hashes(np.array([signature(s) for s in full], np.uint32).reshape(-1, K)).ravel()
                 sums = [np.array([f(s) if len(s) else 0 for s in sets], dtype=U) for f in (lambda s: mix(s).sum(dtype=U), lambda s: np.bitwise_xor.reduce(s))]
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), lists(pa.array(bands.view(np.int64)), (n > 0) * BANDS)],
@@ -100,7 +104,7 @@ def _sets(k: int):
         for batch in batches:
             for block in blocks(batch, "text"):
                 sets = shingle_sets(block.column(1), k)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["id", "items", "sig"])
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).astype(np.uint8).tobytes() for s in sets], pa.binary())], names=["id", "items", "sig"])
 
     return run
 
@@ -125,26 +129,38 @@ def _verify(percent: int):
     return run
 
 
-def _alike(percent: int):
-    """Rows sorted by group and block, the block's probes first: pairs of different components whose signatures agree enough."""
+def _across(percent: int):
+    """Rows sorted by group and blocks, the probes first: links on full sets that join components, one for each two at most."""
     s = percent / 100
     least = K * s - AGREE_AT * (K * s * (1 - s)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probes, sigs = None, [], None
+        key, probes, sigs, over = None, [], None, {}
+
+        def top(part: int) -> int:
+            while (up := over.get(part, part)) != part:
+                part = up
+            return part
+
         for batch in batches:
             a, b = [], []
-            for group, block, probe, doc, part, sig in zip(*(batch.column(x).to_pylist() for x in ("group", "block", "probe", "doc", "part", "sig")), strict=True):
-                if (group, block) != key:
-                    key, probes, sigs = (group, block), [], None
-                x = np.frombuffer(sig, np.uint32)
+            columns = (batch.column(x).to_pylist() for x in ("group", "block", "slice", "probe", "doc", "part"))
+            for *at, probe, doc, part, sig, items in zip(*columns, batch.column("sig"), batch.column("items"), strict=True):
+                if at != key:
+                    key, probes, sigs, over = at, [], None, {}
+                x, own = np.frombuffer(sig.as_buffer(), np.uint8), np.frombuffer(items.as_buffer(), U)
                 if probe:
-                    probes.append((doc, part, x))
+                    probes.append((doc, part, x, own))
                     continue
                 if sigs is None:
-                    ids, parts, sigs = np.array([p[0] for p in probes]), np.array([p[1] for p in probes]), np.array([p[2] for p in probes])
-                for i in np.flatnonzero(((sigs == x).sum(1) >= least) & (parts != part) & (ids != doc)):
-                    a.append(max(doc, int(ids[i]))), b.append(min(doc, int(ids[i])))
+                    sigs = np.array([p[2] for p in probes])
+                for i in np.flatnonzero((sigs == x).sum(1) >= least):
+                    other, its_part, _, its = probes[i]
+                    if top(part) != top(its_part):
+                        both = int((own[np.minimum(np.searchsorted(own, its), len(own) - 1)] == its).sum())
+                        if 100 * both >= percent * (len(own) + len(its) - both):
+                            over[top(part)] = top(its_part)
+                            a.append(max(doc, other)), b.append(min(doc, other))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -177,33 +193,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count("*").alias("copies"))
     classes = scratch.put(classes.select("f1", "f2", "copies", "r.id", "r.n", "r.bands"), "classes")
 
-    members = classes.select(F.explode("bands").alias("bucket"), "id", "n")
-    spread = F.struct(F.xxhash64("id").alias("h"), "id", "n")
-    hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(spread).alias("lo"), F.max(spread).alias("hi")).where("size > 1")
-    grouped = scratch.put(members.join(hubs, "bucket").select("id", "n", F.col("lo.id").alias("lo"), F.col("lo.n").alias("lo_n"), F.col("hi.id").alias("hi"), F.col("hi.n").alias("hi_n")).distinct(), "grouped")
-    fits = lambda n: (F.col("n") * 100 >= F.col(n) * percent) & (F.col(n) * 100 >= F.col("n") * percent)
-    stars = [grouped.where((F.col(h) != F.col("id")) & fits(f"{h}_n")).select(F.col(h).alias("a"), F.col("id").alias("b")) for h in ("lo", "hi")]
+    members = classes.select(F.explode("bands").alias("bucket"), "id")
+    hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("size > 1").drop("size")
+    met = members.hint("merge").join(hubs, "bucket").groupBy("id", "lo", "hi").agg(F.count("*").alias("c"))
+    met = scratch.put(met, "met")
+    facts = [met.where(F.col(h) != F.col("id")).groupBy(F.col(h).alias("a"), F.col("id").alias("b")).agg(F.sum("c").alias("c")) for h in ("lo", "hi")]
+    stars = facts[0].unionByName(facts[1]).where(F.col("c") >= MEETINGS).select("a", "b")
 
-    wanted = grouped.select("id").distinct()
-    sets = scratch.put(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items binary, sig binary"), "sets")
-    links = scratch.put(_confirmed(stars[0].unionByName(stars[1]), sets, percent), "links")
+    wanted = met.select("id").distinct()
+    sets = scratch.put(source.hint("merge").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, items binary, sig binary"), "sets")
+    links = scratch.put(_confirmed(stars, sets, percent), "links")
     first = components(links, scratch, "first")
 
-    groups = components(grouped.select(F.col("id").alias("a"), F.col("lo").alias("b")), scratch, "group")
+    groups = components(met.select(F.col("id").alias("a"), F.col("lo").alias("b")), scratch, "group")
     groups = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
     groups = groups.unionByName(groups.select(F.col("group").alias("id"), "group").distinct())
     placed = groups.join(first, groups.id == first.node, "left").select("group", "id", F.coalesce("component", "id").alias("part"))
     counted = placed.groupBy("group", "part").agg(F.count("*").alias("c"))
     apart = counted.groupBy("group").agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("top")).where("m > top.c")
-    apart = apart.select("group", F.col("top.part").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / PROBES).alias("n_blocks"))
-    open_ = placed.join(apart, "group").join(sets.select("id", "sig"), "id")
-    probe = open_.where("part <> top").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks"))).withColumn("probe", F.lit(True))
-    other = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("probe", F.lit(False))
-    shape = ["group", "block", "probe", F.col("id").alias("doc"), "part", "sig"]
-    facing = probe.select(*shape).unionByName(other.select(*shape)).repartition("group", "block").sortWithinPartitions("group", "block", F.desc("probe"))
-    likely = scratch.put(facing.mapInArrow(_alike(percent), "a long, b long").distinct(), "likely")
-    more = _confirmed(likely, sets, percent)
-    found = components(scratch.put(links.unionByName(more), "all"), scratch, "final")
+    parts = lambda n, of: F.ceil(n / of).cast("long")
+    apart = apart.select("group", F.col("top.part").alias("top"), parts(F.col("m") - F.col("top.c"), PROBES).alias("blocks"), parts(F.col("m"), MEMBERS).alias("slices"))
+    open_ = placed.join(apart, "group").join(sets, "id")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    probe = open_.where("part <> top").withColumn("block", place("blocks")).withColumn("slice", numbers("slices")).withColumn("probe", F.lit(True))
+    other = open_.withColumn("slice", place("slices")).withColumn("block", numbers("blocks")).withColumn("probe", F.lit(False))
+    shape = ["group", "block", "slice", "probe", F.col("id").alias("doc"), "part", "sig", "items"]
+    keys = ["group", "block", "slice"]
+    facing = probe.select(*shape).unionByName(other.select(*shape)).repartition(*keys).sortWithinPartitions(*keys, F.desc("probe"))
+    found = components(links.unionByName(facing.mapInArrow(_across(percent), "a long, b long")), scratch, "final")
 
     multiple = classes.where("copies > 1").select("f1", "f2", F.col("id").alias("rep"))
     known = prints.select("id", "n", "f1", "f2").join(multiple, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
