@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, language_id, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
+from . import bpe, decontaminate, language_id, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_adaptive_quality": quality_rules.op6_adaptive_quality,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_lm_score": lm_scoring.op8_lm_score,
         "op9_url_filter": url_filters.op9_url_filter,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
         "pipeline": corpus_pipeline.run,
