@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import Scratch, fold, table
 from .vecbytes import LOWER, Hasher, U, blocks, raw, words
 
 #: Tokens are hashed to so many classes; so the model has at most so many weights, whatever the vocabulary.
@@ -169,16 +169,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = rows.where(fold("id", 4) != 3).select("toxic", "text").mapInArrow(_counts, "kind long, toxic int, n long")
     counts = counts.groupBy("kind").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    held = counts.toPandas().sort_values("kind")  # at most CLASSES rows
-    if not len(held) or not held.t.sum() or not held.c.sum():
-        share = float(held.t.sum() > 0) if len(held) else 0.1
+    counts = Scratch(docs.sparkSession, "toxic").put(counts, "counts")
+    n_t, n_c, n = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    if not n_t or not n_c:
+        share = float(n_t > 0) if n else 0.1
         return Model(np.zeros(0, np.int64), np.zeros(0), curve=(math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
-    t, c = held.t.to_numpy(float), held.c.to_numpy(float)
-    prior = FLOOR + PRIOR * (t + c) / (t + c).sum()
-    odds = lambda n: np.log((n + prior) / (n.sum() + prior.sum() - n - prior))
-    weight = odds(t) - odds(c) - ERRORS * np.sqrt(1 / (t + prior) + 1 / (c + prior))
-    up = weight > DRIFT
-    model = Model(held.kind.to_numpy()[up], weight[up])
+    prior = FLOOR + PRIOR * (F.col("t") + F.col("c")) / (n_t + n_c)
+    odds = lambda x, of: F.log((F.col(x) + prior) / (of + FLOOR * n + PRIOR - F.col(x) - prior))
+    weight = odds("t", n_t) - odds("c", n_c) - ERRORS * F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
+    up = counts.select("kind", weight.alias("weight")).where(F.col("weight") > DRIFT).orderBy("kind").collect()  # CLASSES rows at most
+    model = Model(np.array([r.kind for r in up], np.int64), np.array([r.weight for r in up], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
