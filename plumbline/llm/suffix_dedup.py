@@ -66,7 +66,7 @@ def repeats_of(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.
     """Which rows are, and which come after, the earliest (doc, start) of their key."""
     order = np.lexsort((start, doc, key))
     k, d, s = key[order], doc[order], start[order]
-    head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    head = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
     of = np.repeat(head, np.diff(np.append(head, len(k))))
     later = (d != d[of]) | (s != s[of])
     return order[head], order[later]

@@ -1,0 +1,407 @@
+"""The ten operators against brute force, and their defined results for odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+from plumbline.llm import bpe, decontaminate, language_id, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
+from plumbline.llm.shared import table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+# nulls in each column, empty and blank texts, a very long one, ties, repeated rows
+ODD = [
+    (1, "the cat sat on the mat and the dog ran over the hill again today " * 3, "en", "a", 5),
+    (2, "the cat sat on the mat and the dog ran over the hill again today " * 3, None, "a", None),
+    (2, "the cat sat on the mat and the dog ran over the hill again today " * 3, None, "a", None),
+    (3, None, "en", None, 0),
+    (4, "", "de", "b", 0),
+    (5, " \t\n ", "de", "b", 0),
+    (6, LONG, "en", "b", 1),
+    (7, LONG + " and one more", "en", "b", 1),
+    (None, "no id here but some words in a row for the count", "en", "b", 1),
+    (8, "ein Satz auf Deutsch mit Wörtern über Äpfel und Öl", "de", "b", 1),
+    (9, "12 34 !! --", "de", "b", 1),
+    (10, "漢字 だけ", None, None, None),
+]
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # extra columns whose names clash with those that operators make
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(ODD, SHAPE)
+    for name in ("id", "n", "key", "kept", "score", "component_id", "bucket", "h", "item", "hash", "runs", "at", "toxic"):
+        df = df.withColumn(name, F.lit(7))
+    return df.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SHAPE)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(UPPER))
+
+
+def shingles(text, k):
+    w = words(text)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def classes(rows, k, percent=80):
+    sets = {i: shingles(t, k) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    random.seed(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{random.randrange(400)}" for _ in range(random.choice([1, 4, 30, 120]))]
+        for _ in range(random.randint(1, 14)):
+            copy = list(base)
+            for _ in range(random.randint(0, max(1, len(base) // 12))):
+                copy[random.randrange(len(copy))] = f"x{random.randrange(9)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, k=k).collect()}
+        assert got == classes(rows, k)
+
+
+def test_near_duplicates_odd_rows(spark, odd, none):
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd, k=2).collect())
+    assert len(got) == len(ODD)
+    by = {g[0]: g for g in got}
+    assert by[2][2:] == (1, False) and by[1][2:] == (1, True) and by[7][2:] == (6, False)
+    assert by[3][1:] == (0, 3, True) and by[4][1:] == (0, 4, True) and by[-1][2:] == (None, True)
+    assert minhash_dedup.near_duplicates(none).count() == 0
+    kept = minhash_dedup.without_near_duplicates(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "None", "8", "9", "10"])
+
+
+def test_language_held_out(spark, sf):
+    rows = language_id.op2_language_id(spark, sf).collect()
+    lang = {r.doc_id: r.lang for r in table(spark, sf, "documents", "doc_id", "lang").collect()}
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_odd_rows(odd, none):
+    model = language_id.profiles(odd)
+    got = {r.doc_id: r.lang_pred for r in language_id.identified(odd, model).collect()}
+    assert len(language_id.identified(odd, model).collect()) == len(ODD)
+    assert got[3] == got[4] == got[5] == got[9] == "und" and got[1] == "en" and got[8] == "de" and got[10] in ("en", "de")
+    assert {r.lang_pred for r in language_id.identified(odd, language_id.profiles(none)).collect()} == {"und"}
+    assert language_id.identified(none, model).count() == 0
+
+
+def brute_repeats(rows, length=100):
+    seen, out = set(), {}
+    for i, t in sorted((i, t) for i, t in rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(b[p : p + length])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = (len(b), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 1])
+def test_repeats_against_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    random.seed(6)
+    letters = "abcdé \n"
+    passages = ["".join(random.choice(letters) for _ in range(n)) for n in (99, 100, 101, 250)]
+    rows = []
+    for i in range(60):
+        parts = [random.choice(passages) if random.random() < 0.5 else "".join(random.choice(letters) for _ in range(random.randint(0, 300))) for _ in range(random.randint(0, 4))]
+        rows.append((i, "".join(parts)))
+    rows += [(100, "ab" * 400), (101, "x" * 350), (102, "ab" * 100), (103, None), (104, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.without_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_repeats_odd_rows(odd, none):
+    got = suffix_dedup.without_repeats(odd).collect()
+    assert len(got) == len(ODD) and suffix_dedup.without_repeats(none).count() == 0
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (3, 4, 5, None)) and any(r.n_removed > 100_000 for r in got if r.doc_id == 7)
+    cut = suffix_dedup.with_repeats_cut(odd)
+    assert cut.columns == odd.columns and cut.count() == len(ODD)
+    assert {r.doc_id: r.text for r in cut.collect()}[3] is None
+
+
+def test_transform_against_sorted_suffixes():
+    random.seed(7)
+    for _ in range(60):
+        pieces = [bytes(random.choice(b"ab\x00c") for _ in range(random.randint(0, 12))) for _ in range(random.randint(1, 10))]
+        rows = sorted(((tuple(x + 1 for x in p[k:]), i), p[k - 1] + 1 if k else 0) for i, p in enumerate(pieces) for k in range(len(p) + 1))
+        bwt, common = suffix_dedup.transform(pieces, 5)
+        assert list(bwt) == [b for _, b in rows]
+        for n in range(1, len(rows)):
+            a, b = rows[n - 1][0][0], rows[n][0][0]
+            same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            assert common[n] == min(same, 5)
+
+
+def test_bpe_as_the_library(spark, odd, none, sf):
+    import public_tokenizers
+    import tiktoken
+
+    own = bpe.public_bpe()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    random.seed(8)
+    texts = [r.text for r in table(spark, sf, "documents", "text").limit(40).collect()]
+    texts += ["".join(random.choice("abcé ñ漢🙂\n\t 0123!?xyzABC'") for _ in range(random.randint(0, 60))) for _ in range(300)] + ["a" * 3000, " " * 500, ""]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids == library.encode_ordinary(t) and own.decode(ids) == t.encode()
+    got = bpe.round_trip(odd, own).collect()
+    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (3, 4)} == {0}
+    assert bpe.round_trip(none, own).count() == 0
+    pairs = bpe.decoded(bpe.encoded(odd, own), own).collect()
+    assert sorted(bytes(r.content) for r in pairs) == sorted((t or "").encode() for _, t, *_ in ODD)
+
+
+def test_bpe_prefix_table_appends_and_edits():
+    own = bpe.public_bpe()
+    random.seed(9)
+    for _ in range(60):
+        table_ = bpe.PrefixTable(own)
+        table_.append(b"theatrethorough")
+        table_.append(b"ening" * random.randint(0, 3))
+        at = random.randrange(len(table_.data))
+        table_.edit(at, random.randint(0, 4), random.choice([b"", b"x", b"tion"]))
+        fresh = bpe.PrefixTable(own)
+        fresh.append(bytes(table_.data))
+        assert table_.last == fresh.last and own.decode(table_.tokens()) == bytes(table_.data)
+
+
+def test_leaks_against_sets(spark, odd, none, sf):
+    random.seed(10)
+    items = [(i, " ".join(f"q{random.randrange(60)}" for _ in range(n))) for i, n in enumerate((1, 3, 5, 6, 9, 30, 80))] + [(50, None), (51, " "), (None, "a b c d e f")]
+    docs = []
+    for i in range(60):
+        _, text = random.choice(items[:7])
+        w = text.split()
+        if random.random() < 0.4:
+            w[random.randrange(len(w))] = "zz"
+        docs.append((i, " ".join(["pre"] * random.randint(0, 2) * 10 + w + ["post"] * random.randint(0, 2) * 10)))
+    want = set()
+    for i, t in docs:
+        for j, q in items:
+            a, b = shingles(t, 5), shingles(q, 5)
+            if j is not None and b and 100 * len(a & b) >= 80 * len(b):
+                want.add((i, j, len(b), len(a & b)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {tuple(r) for r in got.collect()} == want and want
+    assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
+    assert decontaminate.without_leaks(odd, bench).count() == len(ODD)
+    assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text), dup, len(covered)
+
+
+def test_quality_measures(spark, odd, none, sf):
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents", "doc_id", "text").collect()}
+    rows = quality_rules.op6_adaptive_quality(spark, sf).collect()
+    for r in rows:
+        n = brute_quality(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and not (r.kept and r.base_failed)
+    good = [r for r in rows if not r.base_failed and r.n_symbols == 0 and r.n_dup_lines == 0]
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
+    junk = [r for r in rows if not r.base_failed and r.n_symbols > 0.25 * r.word_chars]
+    assert junk and not any(r.kept for r in junk)
+    got = quality_rules.adaptive_rules(odd).collect()
+    assert len(got) == len(ODD) and all(r.base_failed for r in got if r.doc_id in (3, 4, 5))
+    assert quality_rules.adaptive_rules(none).count() == 0
+
+
+def test_quality_fences_of_all_documents(spark, sf):
+    """KLL sketches of few documents are exact, so the verdict can be had from sorted values."""
+    rows = quality_rules.op6_adaptive_quality(spark, sf).collect()
+    counted = [r for r in rows if not r.base_failed]
+    ratio = sorted(r.n_symbols / r.word_chars for r in counted)
+    q = lambda p: ratio[min(len(ratio) - 1, max(0, math.ceil(p * len(ratio)) - 1))]
+    fence = max(q(0.75) + quality_rules.SPREAD * (q(0.95) - q(0.5)), 0.04)
+    assert all(r.n_symbols / r.word_chars <= fence + 0.05 for r in counted if r.kept)
+
+
+def test_segments_against_all_pairs():
+    random.seed(11)
+    for _ in range(200):
+        n = random.randint(1, 30)
+        at = sorted(random.sample(range(n), random.randint(0, n)))
+        weight = [random.choice([0.15, 0.3, 1.0, 2.0]) for _ in at]
+        score = [-toxicity.DRIFT] * n
+        for i, w in zip(at, weight):
+            score[i] += w
+
+        def best(lo, hi):  # maximal segments by their definition: the best one, then left and right of it
+            found = max(((sum(score[i:j]), -(j - i), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0, 0))
+            if found[0] <= 1e-9:
+                return []
+            return best(lo, found[2]) + [(found[2], found[3] - 1, found[0])] + best(found[3], hi)
+
+        got, want = toxicity.segments(at, weight), best(0, n)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want)) and len(got) <= len(want) + 2
+        assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in want), default=0))
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels", "doc_id", "toxic").collect()}
+    rows = [r for r in toxicity.op7_toxicity(spark, sf).collect() if r.doc_id in labels]
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out]
+    bad, good = [r.score for r in held if labels[r.doc_id]], [r.score for r in held if not labels[r.doc_id]]
+    area = sum((a > b) + (a == b) / 2 for a in bad for b in good) / max(len(bad) * len(good), 1)
+    assert area > 0.6
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (6, 0), (8, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    for model in (toxicity.fitted(odd, labels), toxicity.fitted(odd, labels.limit(0)), toxicity.fitted(none, labels)):
+        got = toxicity.scored(odd, model).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+        assert toxicity.scored(none, model).count() == 0
+        assert toxicity.without_toxic(odd, model).columns == odd.columns
+
+
+def test_lm_base_and_probabilities(spark, sf):
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents", "doc_id", "text").collect()}
+    tokens = {i: words(t) + [None] for i, t in docs.items()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, x in tokens.items() if not held(i) for w in x)
+    n, v = sum(c.values()), len(c)
+    for r in lm_scoring.op8_lm_score(spark, sf).collect():
+        w = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
+
+
+def test_lm_tokens_sum_to_one(spark):
+    """The chances of all first symbols (words and escape and end) of a text add up to one."""
+    import numpy as np
+
+    texts = ["a b a b c a b", "b a c a b a b a", "a a b b c c"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.learned(df)
+    tree = model.coder.word_tree
+    n = len(model.coder.hashes) + 2
+    bits = tree.bits(np.arange(n), np.arange(n), [np.zeros(n, np.uint32), np.full(n, 5, np.uint32), np.full(n, 9, np.uint32)])
+    x = [i / lm_scoring.STEP for i in model.mixer.inputs(bits.slots)]
+    dot = sum(x[i] * model.mixer.weights[bits.gate, i] for i in range(lm_scoring.INPUTS))
+    loss = np.logaddexp(0, -(bits.value * 2.0 - 1) * dot)
+    assert np.exp(-np.add.reduceat(loss, bits.first[:-1])).sum() == pytest.approx(1, rel=1e-6)
+
+
+def test_lm_odd_rows(odd, none):
+    model = lm_scoring.learned(odd)
+    got = lm_scoring.scored(odd, model).collect()
+    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert lm_scoring.scored(none, model).count() == 0
+    assert len(lm_scoring.scored(odd, lm_scoring.learned(none)).collect()) == len(ODD)
+
+
+def test_urls(spark):
+    rows = [(1, "http://a.net/x"), (2, "http://A.NET"), (3, "https://m.example.net/en/1?x#y"), (4, "http://notexample.net/en/2"), (5, "ftp://example.com/de/1"), (6, "http://b.org/fr/"), (7, None), (8, "nothing"), (9, "http://"), (10, "x://b.org?/fr/"), (11, "http://cheap.info/de/9"), (11, "http://cheap.info/de/9"), (None, "http://c.org/fr/9"), (12, "http://a://b.net/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: tuple(r)[1:] for r in url_filters.judged(df).collect()}
+    assert len(url_filters.judged(df).collect()) == len(rows)
+    assert got[1] == ("a.net", "/x", "net/", "block") and got[2][:3] == ("a.net", "", None) and got[3] == ("m.example.net", "/en/1", "example.net/en/", "allow")
+    assert got[4] == ("notexample.net", "/en/2", "net/", "block") and got[5][2:] == ("example.com/de/", "block") and got[6][2:] == ("org/fr/", "allow")
+    assert got[7] == got[8] == got[9] == ("", "", None, "allow") and got[10][:3] == ("b.org", "", None) and got[12][:2] == ("a:", "//b.net/")
+    assert url_filters.judged(df.limit(0)).count() == 0
+    assert all(r.verdict in ("allow", "block") for r in url_filters.judged(df.where("page_id in (2, 8)")).collect())
+
+
+def test_warc_round_trip(spark, tmp_path):
+    random.seed(12)
+    alphabet = ["WARC/1.1\r\n", "é", "abc", "\n", "漢", "WARC/1.1", "\r\n\r\n"]
+    rows = [(i, "http://x", "".join(random.choice(alphabet) for _ in range(random.randint(0, 200)))) for i in range(60)]
+    rows += [(1000 + i, None, rows[i][2]) for i in range(20)] + [(2000, "u\r\nX: y", None), (2001, "u", ""), (None, "u", "x" * 500), (None, "u", "x" * 500), (3000, "a", "dup" * 99), (3000, "a", "dup" * 99)]
+    first = {}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        if i is not None and len(b) >= 100:
+            first[b] = min(i, first.get(b, i))
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        f = first.get(b) if i is not None else None
+        seen = f is not None and f != i
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if seen else "response", f if seen else None))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size, compression in ((40, "none"), (1 << 18, "gzip")):
+        path = f"{tmp_path}/{size}"
+        warc.write_archives(df, path, size=size, compression=compression)
+        assert sorted(map(str, (tuple(r) for r in warc.read_archives(spark, path).collect()))) == sorted(map(str, want))
+    warc.write_archives(df.limit(0), f"{tmp_path}/none")
+    assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_chunks_never_hold_a_version_line():
+    for text in (b"WARC/1.1\r\n" * 9, b"aWARC/1.1", b"", "é漢".encode() * 50):
+        for size in (1, 7, 10, 64):
+            if size < 12 and b"WARC" in text:
+                continue
+            pieces = [bytes(p) for p in warc.chunks(memoryview(text), size)]
+            assert b"".join(pieces) == text and not any(b"WARC/1.1\r\n" in p + b"\r\n" for p in pieces)
+
+
+def test_column_helpers_take_slices():
+    from plumbline.llm.vecbytes import blocks, raw
+
+    column = pa.array(["ab", None, "", "çd"]).slice(1)
+    data, offsets = raw(column)
+    assert bytes(data) == "çd".encode() and list(offsets) == [0, 0, 0, 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10] * 7)], names=["text"])
+    assert [b.num_rows for b in blocks(batch, "text", 25)] == [2, 2, 2, 1]
