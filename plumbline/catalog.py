@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import context_queries, graph_queries, search_queries, text_queries
+from .plans import context_queries, document_queries, graph_queries, search_queries, text_queries
 
-FAMILIES = [text_queries, search_queries, graph_queries, context_queries]
+FAMILIES = [text_queries, search_queries, graph_queries, context_queries, document_queries]
 
 FLAGSHIP = "o115_rrf_top10"
 
