@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import table_of
-from ..operators import sections
+from ..operators import layout, sections
 from ..sources.html import to_markdown
 from ..streaming import progress
 
@@ -95,3 +95,19 @@ def stream_task_progress(spark, d):
     """The latest state of every task after the stream has drained; expiries are not asked for."""
     updates = _drained(progress.task_progress(progress.events_stream(spark, f"{d}/events.parq*t")), "update").where("status <> 'expired'")
     return updates.groupBy("task_id").agg(F.max_by("done", "last_seen").alias("done"), F.max("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+@query()
+def o33_o34_restored_headings(spark, d):
+    """Pages without their marks, and the marks put back from the list of headings."""
+    md = _markdown(spark, d)
+    heads = sections.headed(md).where("title like '#%'").select("doc_id", F.col("ord").cast("int").alias("ord"), F.length(F.regexp_extract("title", "^(#+)", 1)).alias("level"), F.regexp_replace("title", r"^#+\s+", "").alias("text"))
+    return layout.restored(md.select("doc_id", F.regexp_replace("md", r"(?m)^#+\s+", "").alias("md")), heads)
+
+
+@query("SELECT page_id AS doc_id, count(*) AS images FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS a FROM pages) GROUP BY page_id")
+def o45_image_context(spark, d):
+    """Links stand in for images (pages have none): how many each page has, by the context operator."""
+    links = F.regexp_replace("html", '<a href="([^"]*)"', "\n![x](<$1>)\n")
+    docs = table_of(spark, d, "pages", F.col("page_id").alias("doc_id"), "html").select("doc_id", F.regexp_replace(F.regexp_replace(links, r"!\[x\]\(<", "![x]("), r">\)\n", ")\n").alias("md"))
+    return layout.images(docs).groupBy("doc_id").agg(F.count("*").alias("images"))
