@@ -1,7 +1,7 @@
 """The pipeline's stages, each held against brute force on its own input."""
 
 import corpus_pipeline
-from test_operators import brute_repeats, classes, shingles
+from test_llm_operators import brute_repeats, classes, shingles
 
 from plumbline.llm import bpe, toxicity
 
