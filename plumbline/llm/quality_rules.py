@@ -78,12 +78,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*block.columns[:3], *values], names=["id", "lang", "source", *MEASURES])
 
 
-#: Ratios whose upper tail is junk: (name, what, of what, least fence). A fence is
-#: q75 + SPREAD * (q95 - q50) of the group, and never under the least fence.
-HIGH = [("symbols", "n_symbols", "word_chars", 0.04), ("dup_lines", "n_dup_lines", "n_lines", 0.4), ("repeats", "n_repeat_words", "n_words", 0.25)]
+#: Ratios whose upper tail is junk: (name, what, of what, least spread). A fence is q75 + SPREAD * (q75 - q25)
+#: of the group, which junk cannot move while it is under a quarter of the group. The least spread stands
+#: in where most documents have the same ratio (mostly none) and the quartiles give no scale.
+HIGH = [("symbols", "n_symbols", "word_chars", 0.01), ("dup_lines", "n_dup_lines", "n_lines", 0.1), ("repeats", "n_repeat_words", "n_words", 0.05)]
 SPREAD = 3.0
-#: Mean word length: q50 -+ LENGTH_SPREAD * (q90 - q10), but clear of these always.
-LENGTH_SPREAD, LENGTH_LOW, LENGTH_HIGH = 3.0, 3.0, 12.0
+#: Mean word length: q50 -+ LENGTH_SPREAD * (q75 - q25), about 7.7 deviations of a normal distribution; least spread.
+LENGTH_SPREAD, LENGTH_LEAST = 5.7, 0.1
 #: Sketch size: rank errors of about 1.33/k; groups of under k documents are exact.
 SKETCH_K = 2000
 #: A group of fewer documents takes the fences of its language, and a language of fewer those of all.
@@ -113,9 +114,10 @@ def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def fences(df: DataFrame, at: str) -> DataFrame:
         q = lambda name, p: F.kll_sketch_get_quantile_double(name, F.lit(p))
-        high = [F.greatest(q(name, 0.75) + SPREAD * (q(name, 0.95) - q(name, 0.5)), F.lit(least)).alias(name) for name, _, _, least in HIGH]
-        wide = LENGTH_SPREAD * (q("word_length", 0.9) - q("word_length", 0.1))
-        low, top = F.least(q("word_length", 0.5) - wide, F.lit(LENGTH_LOW)), F.greatest(q("word_length", 0.5) + wide, F.lit(LENGTH_HIGH))
+        spread = lambda name, least: F.greatest(q(name, 0.75) - q(name, 0.25), F.lit(least))
+        high = [(q(name, 0.75) + SPREAD * spread(name, least)).alias(name) for name, _, _, least in HIGH]
+        wide = LENGTH_SPREAD * spread("word_length", LENGTH_LEAST)
+        low, top = q("word_length", 0.5) - wide, q("word_length", 0.5) + wide
         return df.select(*(c for c in ("lang", "source") if c in df.columns), "n", F.struct(*high, low.alias("shortest"), top.alias("longest")).alias(at))
 
     a, b, c = fences(sketches, "own"), fences(by_lang, "of_lang"), fences(overall, "of_all")

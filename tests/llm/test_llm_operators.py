@@ -273,6 +273,30 @@ def test_quality_fences_of_all_documents(spark, sf):
     assert all(r.n_symbols / r.word_chars <= fence + 0.05 for r in counted if r.kept)
 
 
+@pytest.mark.parametrize("size, large", [("sf0.01", 0), ("sf0.1", 20)])
+def test_quality_junk_does_not_raise_its_own_fence(spark, size, large):
+    """Also where over 5% of a group is junk, so that q95 lies inside the junk."""
+    path = f"/root/testdata/{size}"
+    group = {r.doc_id: (r.lang, r.source) for r in table(spark, path, "documents", "doc_id", "lang", "source").collect()}
+    rows = [r for r in quality_rules.op6_adaptive_quality(spark, path).collect() if not r.base_failed]
+    n = Counter(group[r.doc_id] for r in rows)
+    assert sum(c >= quality_rules.ENOUGH for c in n.values()) >= large
+    junk = [r for r in rows if r.n_symbols > 0.25 * r.word_chars]
+    assert max(c / n[g] for g, c in Counter(group[r.doc_id] for r in junk).items()) > 0.05
+    assert junk and not any(r.kept for r in junk)
+    good = [r for r in rows if r.n_symbols == r.n_dup_lines == 0]
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
+
+
+def test_quality_fences_tighten_below_the_old_cutoffs(spark):
+    text = [" ".join(f"word{k}{i}" for i in range(100, 200)) for k in range(300)]
+    text[7] = " ".join(text[7].split()[:90] + text[7].split()[:10])  # a fifth repeats, under the base's 30%
+    text[8] += " " + "#" * 25  # symbols by 0.035, under the old 0.04
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(text)], SHAPE)
+    got = {r.doc_id: r for r in quality_rules.adaptive_rules(docs).collect()}
+    assert not any(r.base_failed for r in got.values()) and {k for k, r in got.items() if not r.kept} == {7, 8}
+
+
 def test_segments_against_all_pairs():
     random.seed(11)
     for _ in range(200):
