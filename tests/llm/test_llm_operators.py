@@ -366,6 +366,19 @@ def test_lm_tokens_sum_to_one(spark):
     assert np.exp(-np.add.reduceat(loss, bits.first[:-1])).sum() == pytest.approx(1, rel=1e-6)
 
 
+def test_lm_two_words_and_one_byte_before(spark):
+    docs = spark.createDataFrame([(k, "aa bb cc dd bb cc", None, None, 0) for k in range(20)], SHAPE)
+    coder = lm_scoring.learned(docs).coder
+
+    def slots(kind, left, right, last):  # of the last of each row's symbols, by input
+        bits = [coder.bits(pa.array([t], pa.string()))[0][kind][0] for t in (left, right)]
+        at = [b.first[-1 - last] for b in bits], [b.first[-last] for b in bits]
+        return [tuple(tuple(s[i][a:b]) for s, a, b in zip([b.slots for b in bits], *at)) for i in range(lm_scoring.INPUTS)]
+
+    assert any(a != b for a, b in slots(0, "aa bb cc", "dd bb cc", 2))  # cc, before the end
+    assert any(a == b for a, b in slots(1, "zqw", "yqw", 2))  # w, before the end of the word
+
+
 def test_lm_odd_rows(odd, none):
     model = lm_scoring.learned(odd)
     got = lm_scoring.scored(odd, model).collect()
