@@ -126,6 +126,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path, compression=compression)
 
 
+def _head_end(record: memoryview) -> int:
+    """Where the header ends, looked for step by step: a URL in it may have any length."""
+    step = 1 << 16
+    for at in range(0, len(record), step):
+        found = bytes(record[at : at + step + len(END) - 1]).find(END)
+        if found >= 0:
+            return at + found
+    raise ValueError("a record has no end of its header")
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Record bytes after the version line: name, page, kind, refers_to, segment, content (of segmented payloads), n, digest."""
     field = {k: re.compile(rb"(?:^|\r\n)" + v + rb":[ ]*([^\r\n]*)", re.I) for k, v in (("kind", rb"WARC-Type"), ("name", rb"WARC-Record-ID"), ("first", rb"WARC-Refers-To"), ("segment", rb"WARC-Segment-Number"), ("length", rb"Content-Length"), ("digest", rb"WARC-Payload-Digest"))}
@@ -142,7 +152,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buffer = memoryview(cell.as_buffer())
             if not len(buffer):
                 continue  # before a file's first record
-            end = bytes(buffer[:65536]).find(END)
+            end = _head_end(buffer)
             head = bytes(buffer[:end])
             got = {k: (m[1] if (m := rx.search(head)) else None) for k, rx in field.items()}
             block = buffer[end + len(END) : end + len(END) + int(got["length"])]

@@ -425,6 +425,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    """A header over 64 KB, before one payload in a response and before one in segments; and ends at every place of a step."""
+    pages = spark.createDataFrame([(1, "data:" + "x" * 100_000, "short " * 50), (2, "data:" + "y" * 100_000, "long " * 1000)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/w", size=1000)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {1: (300, "response"), 2: (5000, "response")}
+    for n in range(65528, 65544):
+        assert warc._head_end(memoryview(b"x" * n + warc.END + b"y")) == n
+
+
 def test_chunks_never_hold_a_version_line():
     for text in (b"WARC/1.1\r\n" * 9, b"aWARC/1.1", b"", "é漢".encode() * 50):
         for size in (1, 7, 10, 64):
