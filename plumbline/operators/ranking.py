@@ -55,14 +55,20 @@ def metrics(cases: DataFrame, ranked: DataFrame, cutoffs: tuple[int, ...] = (1,
 
     A repeated hit counts again for recall; the ideal order is that of the gains found.
     """
+    wanted = cases.select("query_id", F.size("expected").alias("wanted"))
+    return pair_metrics(wanted, cases.select("query_id", F.explode("expected").alias("id")), ranked, cutoffs, digits)
+
+
+def pair_metrics(wanted: DataFrame, pairs: DataFrame, ranked: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5), digits: int = 6) -> DataFrame:
+    """metrics() of the number wanted of each query_id and a row (query_id, id) for each expected id."""
     last = max(cutoffs)
-    hit = cases.select("query_id", F.explode("expected").alias("id")).distinct().withColumn("gain", F.lit(1))
+    hit = pairs.select("query_id", "id").distinct().withColumn("gain", F.lit(1))
     got = ranked.where(F.col("rank") <= last).join(hit, ["query_id", "id"], "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
     at = lambda k, f: F.coalesce(f(F.when(F.col("rank") <= k, F.col("gain"))), F.lit(0))
     dcg = F.sum(F.col("gain") / F.log2(F.col("rank") + 1))
     each = got.groupBy("query_id").agg(*(at(k, F.max).alias(f"hit_{k}") for k in cutoffs), *(at(k, F.sum).alias(f"gain_{k}") for k in cutoffs), F.min(F.when(F.col("gain") > 0, F.col("rank"))).alias("first"), dcg.alias("dcg"), F.sum("gain").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    all_ = cases.select("query_id", F.size("expected").alias("wanted")).join(each, "query_id", "left")
+    all_ = wanted.join(each, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     r = lambda c: F.round(zero(c.cast("double")), digits)
     recall = lambda k: F.when(F.col("wanted") > 0, F.col(f"gain_{k}") / F.col("wanted"))

@@ -158,21 +158,41 @@ round(coalesce(1.0e0 / min(rank) FILTER (WHERE gain > 0), 0), 6) AS mrr, sum(gai
 e AS (SELECT * EXCLUDE (wanted, dcg, n), round(coalesce(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, n::BIGINT + 1), lambda i: 1 / log2(i + 1))) END, 0), 6)::DOUBLE AS ndcg FROM m)"""
 
 
+#: Questions without an inner token that all documents meet at once.
+BLOCK = 256
+
+
+def _containing(spark, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) by contains alone: each block of items meets all documents, in slices."""
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = F.broadcast(items.agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    asked = items.join(blocks).groupBy(F.pmod(F.xxhash64("item_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("item_id", "text")).alias("asked"))
+    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    rows = docs.join(blocks).where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    met = rows.join(asked, ["block", "slice"]).select("doc_id", F.filter("asked", lambda x: F.contains(F.col("body"), x["text"])).alias("found"))
+    return met.select(F.explode("found.item_id").alias("item_id"), "doc_id")
+
+
 def _cases(spark, d) -> DataFrame:
-    """Questions whose text a document contains: candidates meet by the question's longest token, so no text meets all others."""
-    asked, rows = _tokens(spark, d)
-    items, docs = table_of(spark, d, "benchmark", "item_id", "text"), table_of(spark, d, "documents", "doc_id", F.col("text").alias("body"))
-    inner = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 2, 10_000)
-    telling = F.reduce(F.filter(inner, lambda t: t.isNotNull()), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    """(query_id, id) of questions and documents that contain their text.
+
+    Candidates meet by the question's longest inner token, so no text meets all others; questions of one or
+    two tokens have none and are looked for in every document.
+    """
+    _, rows = _tokens(spark, d)
+    items, docs = table_of(spark, d, "benchmark", "item_id", "text").where("text is not null"), table_of(spark, d, "documents", "doc_id", F.col("text").alias("body"))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     # the first and last tokens may be parts of longer ones in a document
-    keyed = items.withColumn("token", telling)
-    pairs = keyed.join(rows.select(F.col("id").alias("doc_id"), "token"), "token").join(docs, "doc_id").where(F.contains("body", "text"))
-    return pairs.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set("doc_id").alias("expected"))
+    inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
+    keyed = items.withColumn("token", F.reduce(inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)))
+    long = keyed.where("token <> ''").join(rows.select(F.col("id").alias("doc_id"), "token"), "token").join(docs, "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
+    return long.unionByName(_containing(spark, keyed.where("token = ''").drop("token"), docs)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
 
 
 @query(f"WITH {METRICS} SELECT * FROM e")
 def o101_o103_case_metrics(spark, d):
-    return ranking.metrics(_cases(spark, d), ranking.cliff_cut(_reranked(spark, d)))
+    pairs = _cases(spark, d)
+    return ranking.pair_metrics(pairs.groupBy("query_id").agg(F.count("*").alias("wanted")), pairs, ranking.cliff_cut(_reranked(spark, d)))
 
 
 @query(f"WITH {METRICS} SELECT count(*) AS cases, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('hit_1', 'hit_3', 'hit_5', 'recall_1', 'recall_3', 'recall_5', 'mrr', 'ndcg'))} FROM e")
@@ -183,10 +203,9 @@ def o96_eval_summary(spark, d):
 
 @query(f"WITH {TRUTH}, t AS (SELECT item_id, coalesce(len(expected), 0) AS n FROM benchmark LEFT JOIN truth ON query_id = item_id) SELECT CASE WHEN n = 0 THEN 'negative' WHEN n = 1 THEN 'one' ELSE 'several' END AS category, count(*) AS cases FROM t GROUP BY 1")
 def o98_case_categories(spark, d):
-    n = F.coalesce(F.size("expected"), F.lit(0))
-    kind = F.when(F.col("expected").isNull() | (n <= 0), "negative").when(n == 1, "one").otherwise("several")
+    kind = F.when(F.col("n").isNull(), "negative").when(F.col("n") == 1, "one").otherwise("several")
     items = table_of(spark, d, "benchmark", F.col("item_id").alias("query_id"))
-    return items.join(_cases(spark, d), "query_id", "left").groupBy(kind.alias("category")).agg(F.count("*").alias("cases"))
+    return items.join(_cases(spark, d).groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").groupBy(kind.alias("category")).agg(F.count("*").alias("cases"))
 
 
 @query(f"""WITH {RERANKED},

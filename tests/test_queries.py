@@ -3,9 +3,12 @@
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from plumbline import catalog
+from plumbline.plans import search_queries
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +47,18 @@ def test_no_query_pairs_everything(spark, sf):
     for name in ("o54_o82_boilerplate_docs", "o112_dense_topk", "o113_sparse_topk"):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def pairs_by_sql(path):
+    rows = duckdb.sql(f"SELECT item_id, doc_id FROM '{path}/benchmark.parquet' b JOIN '{path}/documents.parquet' d ON contains(d.text, b.text)").fetchall()
+    return sorted(rows)
+
+
+def test_cases_are_all_that_contain(spark, tmp_path):
+    items = ["short first then unquestionably", "alpha", "two words", "absent here now", None, "x " * 10_050 + "lastinnertoken end"]
+    docs = ["a short first then unquestionablyglued", "alphabet of two wordsmiths", items[5] + "ing", None, "alpha"]
+    for name, key, texts in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
+        pq.write_table(pa.table({key: list(range(len(texts))), "text": pa.array(texts, pa.string())}), f"{tmp_path}/{name}.parquet")
+    for path in (str(tmp_path), "/root/testdata/sf0.1"):
+        got = sorted((r.query_id, r.id) for r in search_queries._cases(spark, path).collect())
+        assert got and got == pairs_by_sql(path)
