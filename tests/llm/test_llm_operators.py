@@ -350,6 +350,83 @@ def test_lm_base_and_probabilities(spark, sf):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
 
 
+def lm_fixture(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text").orderBy("doc_id").limit(120)  # a small fixture
+    docs = docs.unionAll(spark.createDataFrame([(-1, "a few words that come twice in one text, a few words that come twice in another"), (-2, None), (-3, "")], "doc_id long, text string")).unionAll(docs.limit(3)).coalesce(1)
+    return docs, lm_scoring.learned(docs, ~lm_scoring.held_out())
+
+
+def test_lm_score_against_single_steps(spark, sf):
+    """Scores by loops over tokens and bits; long contexts are those counted in dictionaries but for few collisions of hashes."""
+    import numpy as np
+
+    docs, model = lm_fixture(spark, sf)
+    coder, mixer = model.coder, model.mixer
+    rows, answers = [], []
+    for r in model.groups.collect():
+        group = lm_scoring._opened(pa.scalar(bytes(r.docs)))
+        t = coder.tokens(group.column(2))
+        seen, _, _ = lm_scoring.found(t, np.asarray(group.column(1)), [bytes(x) for x in r.said], model.shards)
+        rows += zip(group.column(0).to_pylist(), group.column(2).to_pylist())
+        answers += [seen.part(a, b) for a, b in zip(t.first[:-1], t.first[1:])]
+    assert Counter(rows) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+    tokens = [words(t) + [None] for _, t in rows]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    grams = [Counter(g for k in range(3, len(w)) for g in (tuple(w[k - 3 : k]), tuple(w[k - 3 : k + 1]))) for w in tokens]
+    corpus = sum((g for g, ok in zip(grams, train) if ok), Counter())
+    expected, collisions = [], 0
+    for (_, text), w, ok, own, found in zip(rows, tokens, train, grams, answers):
+        others = lambda g: corpus[g] - (own[g] if ok else 0)
+        all_ = np.array([others(tuple(w[k - 3 : k])) if k >= 3 else 0 for k in range(len(w))])
+        same = np.array([others(tuple(w[k - 3 : k + 1])) if k >= 3 else 0 for k in range(len(w))])
+        assert (found.all >= all_).all() and (found.same >= same).all()
+        collisions += ((found.all > all_) | (found.same > same)).sum()
+        all_, same = found.all, found.same
+        t = coder.tokens(pa.array([text], pa.string()))
+        total = sum(math.log(s / a) for s, a in zip(same, all_) if s)
+        for kind, (bits, _) in enumerate(coder.bits(t, found)):
+            x = [v / lm_scoring.STEP for v in mixer.inputs(bits)]
+            if kind == 2:  # every bit from those before it, one by one
+                before = []
+                for i, k in enumerate(np.flatnonzero(all_ > 0)):
+                    hits = lambda n: (sum(before[-n:]), len(before[-n:]))
+                    chances = [math.log((h + 0.4) / (n - h + 0.4)) for h, n in (hits(16), hits(4))]
+                    assert [v[i] for v in x] == pytest.approx([1, *chances, math.log2(all_[k]) / 4], rel=1e-5)
+                    before.append(int(same[k] > 0))
+                of = np.flatnonzero(all_ > 0)
+            elif kind == 0:
+                of = np.flatnonzero(same == 0)
+            else:
+                odd = [k for k in range(len(w)) if same[k] == 0 and t.symbol[k] == coder.escape]
+                of = [k for k in odd for _ in range(len(w[k].encode()) + 1)]
+            of = np.repeat(of, np.diff(bits.first)).astype(int) if len(of) else np.zeros(0, int)
+            own_weights = np.zeros(4)
+            for r in np.unique(of // lm_scoring.ROUND):
+                step = np.zeros(4)
+                for i in np.flatnonzero(of // lm_scoring.ROUND == r):
+                    v = np.array([c[i] for c in x])
+                    dot = v @ (own_weights + mixer.weights[bits.gate[i]])
+                    dot = min(max(dot, -lm_scoring.LIMIT), lm_scoring.LIMIT)
+                    refined = (dot + np.interp(dot, np.linspace(-8, 8, lm_scoring.BUCKETS), mixer.map[kind])) / 2
+                    total -= math.log1p(math.exp(-refined if bits.value[i] else refined))
+                    step += (bits.value[i] - 1 / (1 + math.exp(-dot))) * v
+                own_weights += lm_scoring.RATE * step
+        expected.append(total / math.log(10))
+    assert collisions < 0.005 * sum(map(len, tokens))
+    values = sorted((r.doc_id, r.score) for r in lm_scoring.scored(model).collect())
+    for (i, score), (j, want) in zip(values, sorted((i, e) for (i, _), e in zip(rows, expected)), strict=True):
+        assert i == j and score == pytest.approx(want, rel=2e-3, abs=0.02)
+
+
+def test_lm_copies_are_told_apart(spark, sf):
+    _, model = lm_fixture(spark, sf)
+    got = lm_scoring.scored(model).collect()
+    times = Counter(r.doc_id for r in got)
+    twice = [r.bits_per_byte for r in got if times[r.doc_id] == 2 and r.n_tokens > 50 and zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    once = [r.bits_per_byte for r in got if times[r.doc_id] == 1 and r.n_tokens > 50]
+    assert twice and max(twice) < sorted(once)[len(once) // 2] / 2
+
+
 def test_lm_tokens_sum_to_one(spark):
     """The chances of all first symbols (words and escape and end) of a text add up to one."""
     import numpy as np
@@ -359,19 +436,34 @@ def test_lm_tokens_sum_to_one(spark):
     model = lm_scoring.learned(df)
     tree = model.coder.word_tree
     n = len(model.coder.hashes) + 2
-    bits = tree.bits(np.arange(n), np.arange(n), [np.zeros(n, np.uint32), np.full(n, 5, np.uint32), np.full(n, 9, np.uint32)])
-    x = [i / lm_scoring.STEP for i in model.mixer.inputs(bits.slots)]
+    bits = tree.bits(np.arange(n), np.arange(n), [np.zeros(n, np.uint32), *(np.full(n, k, np.uint32) for k in (5, 9, 11))])
+    x = [i / lm_scoring.STEP for i in model.mixer.inputs(bits)]
     dot = sum(x[i] * model.mixer.weights[bits.gate, i] for i in range(lm_scoring.INPUTS))
     loss = np.logaddexp(0, -(bits.value * 2.0 - 1) * dot)
     assert np.exp(-np.add.reduceat(loss, bits.first[:-1])).sum() == pytest.approx(1, rel=1e-6)
 
 
+def test_lm_slots_hold_every_training_document(spark):
+    """Counts by symbol give the same slots as counts bit by bit; documents for the weights count too."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, f"aa bb cc dd bb cc e{k % 7} zq{k}", None, None, 0) for k in range(80)], SHAPE)
+    model = lm_scoring.learned(docs)
+    n = np.zeros((2, lm_scoring.SLOTS))
+    for r in docs.collect():
+        for bits, _ in model.coder.bits(model.coder.tokens(pa.array([r.text]))):
+            for s in bits.slots:
+                np.add.at(n, (bits.value, s), 1)
+    want = np.rint(np.clip(np.log((n[1] + 0.4) / (n[0] + 0.4)), -12, 12) * lm_scoring.STEP)
+    assert (model.mixer.slots == want).all()
+
+
 def test_lm_two_words_and_one_byte_before(spark):
     docs = spark.createDataFrame([(k, "aa bb cc dd bb cc", None, None, 0) for k in range(20)], SHAPE)
     coder = lm_scoring.learned(docs).coder
 
     def slots(kind, left, right, last):  # of the last of each row's symbols, by input
-        bits = [coder.bits(pa.array([t], pa.string()))[0][kind][0] for t in (left, right)]
+        bits = [coder.bits(coder.tokens(pa.array([t], pa.string())))[kind][0] for t in (left, right)]
         at = [b.first[-1 - last] for b in bits], [b.first[-last] for b in bits]
         return [tuple(tuple(s[i][a:b]) for s, a, b in zip([b.slots for b in bits], *at)) for i in range(lm_scoring.INPUTS)]
 
@@ -380,12 +472,13 @@ def test_lm_two_words_and_one_byte_before(spark):
 
 
 def test_lm_odd_rows(odd, none):
-    model = lm_scoring.learned(odd)
-    got = lm_scoring.scored(odd, model).collect()
-    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
-    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
-    assert lm_scoring.scored(none, model).count() == 0
-    assert len(lm_scoring.scored(odd, lm_scoring.learned(none)).collect()) == len(ODD)
+    from pyspark.sql import functions as F
+
+    for train in (None, F.lit(False), F.col("doc_id") > 5):
+        got = lm_scoring.scored(lm_scoring.learned(odd, train)).collect()
+        assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+        assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert lm_scoring.scored(lm_scoring.learned(none)).count() == 0
 
 
 def test_urls(spark):
