@@ -385,7 +385,7 @@ def test_lm_score_against_single_steps(spark, sf):
         t = coder.tokens(pa.array([text], pa.string()))
         total = sum(math.log(s / a) for s, a in zip(same, all_) if s)
         for kind, (bits, _) in enumerate(coder.bits(t, found)):
-            x = [v / lm_scoring.STEP for v in mixer.inputs(bits)]
+            x = list(mixer.inputs(bits).T / lm_scoring.STEP)
             if kind == 2:  # every bit from those before it, one by one
                 before = []
                 for i, k in enumerate(np.flatnonzero(all_ > 0)):
@@ -436,8 +436,8 @@ def test_lm_tokens_sum_to_one(spark):
     model = lm_scoring.learned(df)
     tree = model.coder.word_tree
     n = len(model.coder.hashes) + 2
-    bits = tree.bits(np.arange(n), np.arange(n), [np.zeros(n, np.uint32), *(np.full(n, k, np.uint32) for k in (5, 9, 11))])
-    x = [i / lm_scoring.STEP for i in model.mixer.inputs(bits)]
+    bits = tree.bits(np.arange(n), np.arange(n), np.stack([np.full(n, k, np.uint32) for k in (0, 5, 9, 11)], axis=1))
+    x = list(model.mixer.inputs(bits).T / lm_scoring.STEP)
     dot = sum(x[i] * model.mixer.weights[bits.gate, i] for i in range(lm_scoring.INPUTS))
     loss = np.logaddexp(0, -(bits.value * 2.0 - 1) * dot)
     assert np.exp(-np.add.reduceat(loss, bits.first[:-1])).sum() == pytest.approx(1, rel=1e-6)
@@ -452,7 +452,7 @@ def test_lm_slots_hold_every_training_document(spark):
     n = np.zeros((2, lm_scoring.SLOTS))
     for r in docs.collect():
         for bits, _ in model.coder.bits(model.coder.tokens(pa.array([r.text]))):
-            for s in bits.slots:
+            for s in bits.slots.T:
                 np.add.at(n, (bits.value, s), 1)
     want = np.rint(np.clip(np.log((n[1] + 0.4) / (n[0] + 0.4)), -12, 12) * lm_scoring.STEP)
     assert (model.mixer.slots == want).all()
@@ -465,7 +465,7 @@ def test_lm_two_words_and_one_byte_before(spark):
     def slots(kind, left, right, last):  # of the last of each row's symbols, by input
         bits = [coder.bits(coder.tokens(pa.array([t], pa.string())))[kind][0] for t in (left, right)]
         at = [b.first[-1 - last] for b in bits], [b.first[-last] for b in bits]
-        return [tuple(tuple(s[i][a:b]) for s, a, b in zip([b.slots for b in bits], *at)) for i in range(lm_scoring.INPUTS)]
+        return [tuple(tuple(s[i][a:b]) for s, a, b in zip([b.slots.T for b in bits], *at)) for i in range(lm_scoring.INPUTS)]
 
     assert any(a != b for a, b in slots(0, "aa bb cc", "dd bb cc", 2))  # cc, before the end
     assert any(a == b for a, b in slots(1, "zqw", "yqw", 2))  # w, before the end of the word
