@@ -463,7 +463,7 @@ def test_lm_two_words_and_one_byte_before(spark):
     coder = lm_scoring.learned(docs).coder
 
     def slots(kind, left, right, last):  # of the last of each row's symbols, by input
-        bits = [coder.bits(coder.tokens(pa.array([t], pa.string())))[kind][0] for t in (left, right)]
+        bits = [list(coder.bits(coder.tokens(pa.array([t], pa.string()))))[kind][0] for t in (left, right)]
         at = [b.first[-1 - last] for b in bits], [b.first[-last] for b in bits]
         return [tuple(tuple(s[i][a:b]) for s, a, b in zip([b.slots.T for b in bits], *at)) for i in range(lm_scoring.INPUTS)]
 
