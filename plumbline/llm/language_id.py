@@ -42,8 +42,8 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (text[1:] != 32) | (text[:-1] != 32) | (row[1:] != row[:-1])
     text, row = text[keep].astype(np.int64), row[keep]
     edge = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
-    at = np.concatenate([edge[:-1], edge[1:]])  # a space before and after each row
-    text, row = np.insert(text, at, 32), np.insert(row, at, np.concatenate([row[edge[:-1]], row[edge[1:] - 1]]))
+    at = np.concatenate([edge[1:], edge[:-1]])  # a space after and before each row; where two rows meet, first the one after
+    text, row = np.insert(text, at, 32), np.insert(row, at, np.concatenate([row[edge[1:] - 1], row[edge[:-1]]]))
     rows, codes = [], []
     for n in (1, 2, 3):
         m = len(text) - n + 1
@@ -101,8 +101,9 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """lang, code, place (0 to TOP - 1) of all rows with text and lang; ties go to the smaller code."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    return counts.withColumn("place", place).where(F.col("place") < TOP).select("lang", "code", "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    # the bare rank under a limit lets every task keep TOP rows a language before the shuffle
+    return counts.withColumn("rank", rank).where(F.col("rank") <= TOP).select("lang", "code", (F.col("rank") - 1).alias("place"))
 
 
 def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
@@ -83,12 +83,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: in where most documents have the same ratio (mostly none) and the quartiles give no scale.
 HIGH = [("symbols", "n_symbols", "word_chars", 0.01), ("dup_lines", "n_dup_lines", "n_lines", 0.1), ("repeats", "n_repeat_words", "n_words", 0.05)]
 SPREAD = 3.0
+FENCES = [*(name for name, *_ in HIGH), "shortest", "longest"]
 #: Mean word length: q50 -+ LENGTH_SPREAD * (q75 - q25), about 7.7 deviations of a normal distribution; least spread.
 LENGTH_SPREAD, LENGTH_LEAST = 5.7, 0.1
 #: Sketch size: rank errors of about 1.33/k; groups of under k documents are exact.
 SKETCH_K = 2000
-#: A group of fewer documents takes the fences of its language, and a language of fewer those of all.
-ENOUGH = 200
+#: A group's fences are drawn towards its language's, and a language's towards those of all, by as much as
+#: so many documents weigh: of n documents the own fence has n / (n + DRAWN) of the say, at every size.
+DRAWN = 50
 
 
 def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -120,11 +122,14 @@ def adaptive_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         low, top = q("word_length", 0.5) - wide, q("word_length", 0.5) + wide
         return df.select(*(c for c in ("lang", "source") if c in df.columns), "n", F.struct(*high, low.alias("shortest"), top.alias("longest")).alias(at))
 
+    def drawn(n: str, own: str, towards: str) -> Column:
+        share = F.col(n) / (F.col(n) + DRAWN)
+        return F.struct(*((share * F.col(own)[name] + (1 - share) * F.col(towards)[name]).alias(name) for name in FENCES))
+
     a, b, c = fences(sketches, "own"), fences(by_lang, "of_lang"), fences(overall, "of_all")
-    b = b.select(F.col("lang").alias("lang_b"), F.col("n").alias("n_b"), "of_lang")
-    groups = a.join(b, F.col("lang").eqNullSafe(F.col("lang_b")), "left").join(c.select("of_all"), how="left")
-    chosen = F.when(F.col("n") >= ENOUGH, F.col("own")).when(F.col("n_b") >= ENOUGH, F.col("of_lang")).otherwise(F.col("of_all"))
-    groups = groups.select(F.col("lang").alias("lang_g"), F.col("source").alias("source_g"), chosen.alias("fence"))
+    b = b.join(c.select("of_all"), how="left").select(F.col("lang").alias("lang_b"), drawn("n", "of_lang", "of_all").alias("of_lang"))
+    groups = a.join(b, F.col("lang").eqNullSafe(F.col("lang_b")), "left")
+    groups = groups.select(F.col("lang").alias("lang_g"), F.col("source").alias("source_g"), drawn("n", "own", "of_lang").alias("fence"))
 
     same = F.col("lang").eqNullSafe(F.col("lang_g")) & F.col("source").eqNullSafe(F.col("source_g"))
     joined = rows.join(groups, same, "left")

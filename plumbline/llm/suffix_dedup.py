@@ -32,6 +32,8 @@ LENGTH, GRAM = 100, 32
 BATCH = 384 << 10
 #: A minimizer with more different segments is dealt out again, by the hashes of its windows.
 CROWDED = 2048
+#: Segments among which a task settles equal ones before the shuffle, and settled windows it holds.
+DEALT, SETTLED = 1 << 20, 1 << 16
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -73,20 +75,34 @@ def repeats_of(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.
 
 
 def _segments(length: int, gram: int):
-    """(id, text) to (key, hash, id, start, span, again); again: an equal segment of this block comes earlier."""
+    """(id, text) to (key, hash, id, start, span, again); again: an equal segment among DEALT of the task's comes earlier.
+
+    So of a passage that all documents share, a task sends one row for DEALT segments under the passage's key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, hash_, ids, start, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            head, later = repeats_of(mix(key) ^ hash_, ids, start)
+            key[later] = mix(ids[later].view(U) ^ mix(start[later].view(U)))  # these are settled and go anywhere
+            at = np.concatenate([head, later])
+            again = np.arange(len(at)) >= len(head)
+            for k in range(0, len(at), 1 << 16):
+                some, of = at[k : k + (1 << 16)], again[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(hash_[some].view(np.int64)), pa.array(ids[some]), pa.array(start[some]), pa.array(span[some]), pa.array(of)], names=["key", "hash", "id", "start", "span", "again"])
+
         for batch in batches:
             for block in blocks(batch, "text"):
-                first, span, key, hash_, row = cut(*raw(block.column(1)), length, gram)
-                ids = block.column(0).to_numpy(zero_copy_only=False)[row]
-                start = first - raw(block.column(1))[1][row]
-                head, later = repeats_of(mix(key) ^ hash_, ids, start)
-                key = key.copy()
-                key[later] = mix(ids[later].view(U) ^ mix(start[later].view(U)))  # these are settled and go anywhere
-                at = np.concatenate([head, later])
-                again = np.arange(len(at)) >= len(head)
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(hash_[at].view(np.int64)), pa.array(ids[at]), pa.array(start[at]), pa.array(span[at]), pa.array(again)], names=["key", "hash", "id", "start", "span", "again"])
+                data, offsets = raw(block.column(1))
+                first, span, key, hash_, row = cut(data, offsets, length, gram)
+                held.append((key, hash_, block.column(0).to_numpy(zero_copy_only=False)[row], first - offsets[row], span))
+                if sum(len(h[0]) for h in held) > DEALT:
+                    yield from out()
+        if held:
+            yield from out()
 
     return run
 
@@ -249,6 +265,9 @@ def _compared(length: int):
             for key, doc, start, content, again in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "start", "content", "again")), strict=True):
                 if again:
                     settled[0].append(doc), settled[1].append(start)
+                    if len(settled[0]) > SETTLED:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in settled), pa.array(np.ones(len(settled[0]), np.int64))], names=["id", "start", "span"])
+                        settled = ([], [])
                     continue
                 if size > BATCH and key != held[-1][0]:
                     yield from out()
@@ -262,7 +281,7 @@ def _compared(length: int):
 
 
 def _kept(length: int):
-    """(id, text, runs) to (id, n_bytes, n_removed, n_spans, kept)."""
+    """(id, text, runs, of) to (id, of, n_bytes, n_removed, n_spans, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,22 +290,23 @@ def _kept(length: int):
                 for text, runs in zip(block.column(1), block.column(2).to_pylist(), strict=True):
                     data = np.frombuffer(text.as_buffer() or b"", np.uint8)
                     n.append(len(data))
-                    if not runs:
+                    if not runs or not len(data):
                         removed.append(0), spans.append(0), kept.append(data.tobytes())
                         continue
                     a = np.sort(np.array([(r["start"], r["start"] + r["span"] - 1 + length) for r in runs], np.int64), axis=0)
+                    a = np.minimum(a, len(data))  # another row of the id may be longer
                     mark = np.zeros(len(data) + 1, np.int64)
                     np.add.at(mark, a[:, 0], 1)
                     np.add.at(mark, a[:, 1], -1)
                     gone = np.cumsum(mark[:-1]) > 0
                     removed.append(int(gone.sum())), spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())), kept.append(data[~gone].tobytes())
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(3), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", "of", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per row of docs: id_col, n_bytes, n_removed, n_spans, and kept, the bytes that no earlier string of length bytes covers.
+    """Per row of docs: id_col, of (a hash of its text), n_bytes, n_removed, n_spans, and kept, the bytes that no earlier string of length bytes covers.
 
     Earlier: in a smaller id, or in the same text further ahead. Strings are judged on the input and never
     cross documents. Null and empty texts keep nothing. Rows with a null id take no part and keep their text.
@@ -306,25 +326,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length), "id long, start long, span long")
 
     runs = settled.where("key is null").select("id", "start", "span").unionByName(more).groupBy("id").agg(F.collect_list(F.struct("start", "span")).alias("runs"))
-    shape = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    out = known.hint("merge").join(runs, "id", "left").select("id", "text", "runs").mapInArrow(_kept(length), shape)
-    unknown = source.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    shape = "id long, of long, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = known.hint("merge").join(runs, "id", "left").select("id", "text", "runs", F.xxhash64("text").alias("of")).mapInArrow(_kept(length), shape)
+    unknown = source.where("id is null").select("id", F.xxhash64("text").alias("of"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return out.unionByName(unknown).withColumnRenamed("id", id_col)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["plumb_id", "plumb_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()], pa.string())], names=["plumb_id", "plumb_of", "plumb_text"])
 
 
 def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with text_col less what without_repeats removes (and less characters that this parts), and size_col, if there is one, to match.
 
-    Only rows that lose bytes change; null texts stay null. Rows that share an id are one document.
+    Only rows that lose bytes change; null texts stay null. Rows that share an id are one document, and each keeps
+    what is left of its own text.
     """
-    cut_ = without_repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("plumb_id"), "kept", "n_bytes")
-    cut_ = cut_.dropDuplicates(["plumb_id", "n_bytes"]).select("plumb_id", "kept").mapInArrow(_decoded, "plumb_id long, plumb_text string").dropDuplicates(["plumb_id"])
-    joined = docs.join(cut_, F.col(id_col).cast("long") == F.col("plumb_id"), "left")
+    cut_ = without_repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("n_removed > 0").select(F.col(id_col).alias("plumb_id"), "of", "kept")
+    cut_ = cut_.mapInArrow(_decoded, "plumb_id long, plumb_of long, plumb_text string").dropDuplicates(["plumb_id", "plumb_of"])
+    same = (F.col(id_col).cast("long") == F.col("plumb_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("plumb_of"))
+    joined = docs.join(cut_, same, "left")
     text = F.coalesce("plumb_text", docs[text_col])
     new = {text_col: text}
     if size_col in docs.columns:

@@ -52,7 +52,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
     # equal host and path are judged once, however often they come
-    urls = scratch.put(rows.groupBy("host", "path", "ruled").agg(F.count("*").alias("times")).withColumn("url", F.xxhash64("host", "path")), "urls")
+    urls = scratch.put(rows.groupBy("host", "path", "ruled").agg(F.count("*").alias("times")).withColumn("url", F.monotonically_increasing_id()), "urls")
     text = F.concat(F.lit("^" * ORDER), "host", "path")
     spots = F.explode(F.sequence(F.lit(1), F.length("host") + F.length("path")))
     runs = urls.where("host <> '' or path <> ''").select("url", "ruled", "times", text.alias("s"), spots.alias("i"))
@@ -79,9 +79,9 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     limit = class_of.agg(stat(F.avg, "allow").alias("ma"), stat(F.avg, "block").alias("mb"), spread("allow").alias("sa"), spread("block").alias("sb"))
     limit = limit.select(((F.col("ma") * F.col("sb") + F.col("mb") * F.col("sa")) / (F.col("sa") + F.col("sb"))).alias("limit"))
 
-    verdicts = urls.where("ruled is null").select("url").join(scores, "url").join(F.broadcast(limit))
-    verdicts = verdicts.select("url", F.when(F.col("score") < F.col("limit"), "block").otherwise("allow").alias("learned"))
-    out = rows.withColumn("url", F.xxhash64("host", "path")).join(verdicts, "url", "left")
+    verdicts = urls.where("ruled is null").select("url", "host", "path").join(scores, "url").join(F.broadcast(limit))
+    verdicts = verdicts.select("host", "path", F.when(F.col("score") < F.col("limit"), "block").otherwise("allow").alias("learned"))
+    out = rows.join(verdicts, ["host", "path"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "learned", F.lit("allow")).alias("verdict"))
 
 

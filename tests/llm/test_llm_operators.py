@@ -114,6 +114,37 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_distances_against_lists(spark, sf):
+    """Profiles and distances from n-grams counted in dictionaries, for texts whose letters fold by A-Z alone."""
+    docs = [r for r in table(spark, sf, "documents", "doc_id", "text", "lang").collect() if r.text]
+
+    def grams(text):
+        c = Counter()
+        for w in re.findall(rb"[a-z\x80-\xff]+", text.translate(UPPER).encode()):
+            w = b" " + w + b" "
+            c.update(bytes([x]) for x in w[1:-1])
+            c.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
+        return c
+
+    def order(c):  # by count, then by length and bytes
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][: language_id.TOP]
+
+    plain = [r for r in docs if not re.search("[\u00c0-\u00de]", r.text)]
+    model = language_id.profiles(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in plain], "doc_id long, text string, lang string"))
+    sums = {}
+    for r in plain:
+        sums.setdefault(r.lang, Counter()).update(grams(r.text))
+    place = {lang: {g: k for k, g in enumerate(order(c))} for lang, c in sums.items()}
+    got = {r.doc_id: r for r in language_id.identified(spark.createDataFrame([(r.doc_id, r.text) for r in plain], "doc_id long, text string"), model).collect()}
+    for r in plain:
+        mine = order(grams(r.text))
+        away = {lang: sum(abs(p[g] - k) if g in p else language_id.TOP for k, g in enumerate(mine)) for lang, p in place.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[r.doc_id].lang_pred in (best, "und")
+        if got[r.doc_id].lang_pred != "und":
+            assert got[r.doc_id].score == pytest.approx(1 - away[best] / (language_id.TOP * len(mine)))
+
+
 def test_language_odd_rows(odd, none):
     model = language_id.profiles(odd)
     got = {r.doc_id: r.lang_pred for r in language_id.identified(odd, model).collect()}
@@ -164,6 +195,14 @@ def test_repeats_odd_rows(odd, none):
     assert {r.doc_id: r.text for r in cut.collect()}[3] is None
 
 
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    same, rest = "a passage of enough bytes that comes again in every one of these texts, " * 2, ["first tail", "second tail", "third tail"]
+    docs = spark.createDataFrame([(1, same), *((2, same + x) for x in rest), (3, same), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in suffix_dedup.with_repeats_cut(docs).collect() if r.text is not None)
+    assert sum(i == 2 for i, _ in got) == 3 and {t[-5:] for i, t in got if i == 2} == {" tail"}
+    assert [any(t.endswith(x) for i, t in got if i == 2) for x in rest] == [True] * 3
+
+
 def test_transform_against_sorted_suffixes():
     random.seed(7)
     for _ in range(60):
@@ -263,24 +302,55 @@ def test_quality_measures(spark, odd, none, sf):
     assert quality_rules.adaptive_rules(none).count() == 0
 
 
-def test_quality_fences_of_all_documents(spark, sf):
-    """KLL sketches of few documents are exact, so the verdict can be had from sorted values."""
-    rows = quality_rules.op6_adaptive_quality(spark, sf).collect()
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_verdict_against_sorted_values(spark, size):
+    """KLL sketches of few documents are exact, so the verdict can be had from sorted values; groups differ in theirs."""
+    path = f"/root/testdata/{size}"
+    group = {r.doc_id: (r.lang, r.source) for r in table(spark, path, "documents", "doc_id", "lang", "source").collect()}
+    rows = quality_rules.op6_adaptive_quality(spark, path).collect()
     counted = [r for r in rows if not r.base_failed]
-    ratio = sorted(r.n_symbols / r.word_chars for r in counted)
-    q = lambda p: ratio[min(len(ratio) - 1, max(0, math.ceil(p * len(ratio)) - 1))]
-    fence = max(q(0.75) + quality_rules.SPREAD * (q(0.95) - q(0.5)), 0.04)
-    assert all(r.n_symbols / r.word_chars <= fence + 0.05 for r in counted if r.kept)
-
-
-@pytest.mark.parametrize("size, large", [("sf0.01", 0), ("sf0.1", 20)])
-def test_quality_junk_does_not_raise_its_own_fence(spark, size, large):
+    ratios = {name: {r.doc_id: getattr(r, what) / n if (n := r.n_lines if of == "n_lines" else getattr(r, of)) else 0.0 for r in counted} for name, what, of, _ in quality_rules.HIGH} if hasattr(rows[0], "n_lines") else None
+    lines = {r.doc_id: sum(1 for x in (r.text or "").split("\n") if WORD.search(x)) for r in table(spark, path, "documents", "doc_id", "text").collect()}
+    if ratios is None:
+        value = lambda r, of: lines[r.doc_id] if of == "n_lines" else getattr(r, of)
+        ratios = {name: {r.doc_id: getattr(r, what) / value(r, of) if value(r, of) else 0.0 for r in counted} for name, what, of, _ in quality_rules.HIGH}
+    ratios["length"] = {r.doc_id: r.word_chars / r.n_words for r in counted}
+
+    def fences(ids):
+        def q(name, p):
+            v = sorted(ratios[name][i] for i in ids)
+            return v[min(len(v) - 1, max(0, math.ceil(p * len(v)) - 1))]
+
+        wide = quality_rules.LENGTH_SPREAD * max(q("length", 0.75) - q("length", 0.25), quality_rules.LENGTH_LEAST)
+        high = [q(name, 0.75) + quality_rules.SPREAD * max(q(name, 0.75) - q(name, 0.25), least) for name, _, _, least in quality_rules.HIGH]
+        return [*high, q("length", 0.5) - wide, q("length", 0.5) + wide]
+
+    def drawn(ids, own, towards):
+        share = len(ids) / (len(ids) + quality_rules.DRAWN)
+        return [share * a + (1 - share) * b for a, b in zip(own, towards)]
+
+    all_ = [r.doc_id for r in counted]
+    whole, found, wrong = fences(all_), {}, 0
+    for lang in {group[i][0] for i in all_}:
+        of_lang = [i for i in all_ if group[i][0] == lang]
+        towards = drawn(of_lang, fences(of_lang), whole)
+        for source in {group[i][1] for i in of_lang}:
+            own = [i for i in of_lang if group[i][1] == source]
+            found[lang, source] = drawn(own, fences(own), towards)
+    for r in counted:
+        *high, low, top = found[group[r.doc_id]]
+        x = [ratios[name][r.doc_id] for name, *_ in quality_rules.HIGH]
+        wrong += r.kept != (all(a <= b + 1e-12 for a, b in zip(x, high)) and low <= ratios["length"][r.doc_id] <= top)
+    assert wrong == 0 and len({round(f[0], 9) for f in found.values()}) > 1
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_junk_does_not_raise_its_own_fence(spark, size):
     """Also where over 5% of a group is junk, so that q95 lies inside the junk."""
     path = f"/root/testdata/{size}"
     group = {r.doc_id: (r.lang, r.source) for r in table(spark, path, "documents", "doc_id", "lang", "source").collect()}
     rows = [r for r in quality_rules.op6_adaptive_quality(spark, path).collect() if not r.base_failed]
     n = Counter(group[r.doc_id] for r in rows)
-    assert sum(c >= quality_rules.ENOUGH for c in n.values()) >= large
     junk = [r for r in rows if r.n_symbols > 0.25 * r.word_chars]
     assert max(c / n[g] for g, c in Counter(group[r.doc_id] for r in junk).items()) > 0.05
     assert junk and not any(r.kept for r in junk)
