@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ LONGEST, SHORTEST, OVERLAP, TITLE_CHARS = 2000, 500, 200, 50
 CHILD, CHILD_OVERLAP = 450, 80
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", " "]
 UNKNOWN, NOTHING, SKIPPED = "未知属性", "无", {"-", "/", "\\", "无", ""}
+SUBJECT, COLUMN = "未知项目", "属性"
 HEADING = r"^\s*(#{1,6})\s+(.+)$"
 FENCE = r"^\s*(```|~~~)"
 
@@ -141,9 +143,6 @@ def headings_of(layout: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.col("x.text_level").alias("level"), F.trim("x.text").alias("text")).agg(F.min("ord").alias("ord")).select("doc_id", "ord", "level", "text")
 
 
-_CELL = re.compile(r"\s*\|\s*")
-
-
 def sentences(grid: list[list[str]], header: bool) -> list[str]:
     """Table rows as sentences; a table of two columns without header gives name-value pairs."""
     width = max(map(len, grid), default=0)
@@ -153,31 +152,76 @@ def sentences(grid: list[list[str]], header: bool) -> list[str]:
         return [f"- 【{k or UNKNOWN}】：{v or NOTHING}。" for k, v in rows if k or v]
     names = rows[0] if rows else []
     for row in rows[1:]:
-        if not any(row):
-            continue
-        facts = [f"{n}为{v}" for n, v in zip(names[1:], row[1:], strict=True) if v not in SKIPPED]
+        facts = "，".join(f"{n or f'{COLUMN}{k}'}为{v}" for k, (n, v) in enumerate(zip(names, row, strict=True)) if k and v and v not in SKIPPED)
         about = f"(对应{names[0]})" if names[0] else ""
-        out.append(f"- 【{row[0]}】{about}：" + "，".join(facts) + "。" if facts else f"- 【{row[0]}】。")
+        if facts:
+            out.append(f"- 【{row[0] or SUBJECT}】{about}：{facts}。")
+        elif row[0] and row[0] != SUBJECT:
+            out.append(f"- 【{row[0]}】")
     return out
 
 
-def table_text(md: str) -> str:
-    """Pipe tables replaced by their sentences."""
-    out, table = [], []
+class _Cells(HTMLParser):
+    """The cells of an HTML table by place: a cell fills all rows and columns that it spans."""
 
-    def flush() -> None:
-        grid = [_CELL.split(line.strip().strip("|").strip()) for line in table if not re.fullmatch(r"[\s|:\-]+", line)]
-        out.extend(sentences(grid, True) if grid else [])
-        table.clear()
+    def __init__(self) -> None:
+        super().__init__()
+        self.at: dict[tuple[int, int], list[str]] = {}
+        self.row, self.column, self.named, self.open = -1, 0, False, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.row, self.column, self.open = self.row + 1, 0, None
+        elif tag in ("td", "th") and self.row >= 0:
+            span = [max(1, min(int(n), 1000)) if (n := dict(attrs).get(name) or "1").isdecimal() else 1 for name in ("rowspan", "colspan")]
+            while (self.row, self.column) in self.at:
+                self.column += 1
+            self.named, self.open = self.named or tag == "th", []
+            self.at |= {(self.row + i, self.column + j): self.open for i in range(span[0]) for j in range(span[1])}
+            self.column += span[1]
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th", "tr"):
+            self.open = None
+
+    def handle_data(self, data):
+        if self.open is not None and data.strip():
+            self.open.append(data.strip())
+
+    def grid(self) -> list[list[str]]:
+        height, width = (max((p[k] for p in self.at), default=-1) + 1 for k in (0, 1))
+        return [[" ".join(self.at.get((i, j), [])) for j in range(width)] for i in range(max(height, self.row + 1))]
 
-    for line in md.split("\n"):
-        if line.strip().startswith("|") and line.count("|") >= 2:
-            table.append(line)
+
+def _html_table(found: re.Match) -> str:
+    cells = _Cells()
+    cells.feed(found.group())
+    cells.close()
+    grid = cells.grid()
+    if cells.row < 0:
+        return found.group()
+    if not grid or not grid[0]:
+        return ""
+    return "\n\n" + "\n".join(sentences(grid, cells.named or not grid[0][0] or len(grid[0]) > 2)) + "\n\n"
+
+
+_HTML_TABLE = re.compile(r"<table.*?>.*?</table>", re.I | re.S)
+_ROW, _RULE = re.compile(r"[ \t]*\|.*\|[ \t]*"), re.compile(r"[ \t]*\|[ \t]*[-:]+[-| :]*\|[ \t]*")
+
+
+def table_text(md: str) -> str:
+    """HTML and pipe tables (a row, a rule, more rows) replaced by their sentences, with a blank line on both sides."""
+    lines, out, i = _HTML_TABLE.sub(_html_table, md).split("\n"), [], 0
+    while i < len(lines):
+        if i + 2 < len(lines) and _ROW.fullmatch(lines[i]) and _RULE.fullmatch(lines[i + 1]):
+            end = next((k for k in range(i + 2, len(lines)) if not _ROW.fullmatch(lines[k])), len(lines))
+            grid = [[c.strip() for c in line.strip().strip("|").split("|")] for line in lines[i:end] if not re.fullmatch(r"[ \t]*\|[ \t\-|:]+\|[ \t]*", line)]
+            out.append("\n\n" + "\n".join(sentences(grid, True)) + "\n\n")
+            i = end
         else:
-            flush()
-            out.append(line)
-    flush()
-    return "\n".join(out)
+            out.append(lines[i] + "\n" * (i + 1 < len(lines)))
+            i += 1
+    return "".join(out)
 
 
 @F.pandas_udf(StringType())

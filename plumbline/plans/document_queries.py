@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import table_of
 from ..operators import layout, sections
 from ..sources.html import to_markdown
+from ..sources.session import shared_dir
 from ..streaming import progress
 
 QUERIES, SQL = {}, {}
@@ -56,9 +57,13 @@ def o44_children(spark, d):
     return sections.children(sections.chunks(_markdown(spark, d)).select("doc_id", "ord", "title", "content"))
 
 
-@query()
+@query("""SELECT p_partkey AS doc_id, 'parts' || chr(10) || chr(10) || chr(10) || '- 【' || p_name || '】(对应name)：key为' || p_partkey || '，属性2为' || p_type || '。' || chr(10) || '- 【' || p_name || '】' || chr(10) || '- 【未知项目】(对应name)：key为' || p_partkey || '。' || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || '- 【' || p_name || '】(对应' || p_name || ')：k为' || p_type || '，t为' || p_type || '。' || chr(10) || chr(10) AS text FROM part""")
 def o40_o43_table_sentences(spark, d):
-    return table_of(spark, d, "documents", "doc_id", "text").select("doc_id", sections.linear_tables("text").alias("text"))
+    """A pipe table and an HTML table with spans for every part, as sentences."""
+    name, key, kind = F.col("p_name"), F.col("p_partkey").cast("string"), F.col("p_type")
+    pipes = F.concat(F.lit("parts\n| name | key | |\n|---|---|---|\n| "), name, F.lit(" | "), key, F.lit(" | "), kind, F.lit(" |\n| "), name, F.lit(" | - | / |\n| | "), key, F.lit(" | |\nend"))
+    spans = F.concat(F.lit("<table><tr><td rowspan=2>"), name, F.lit("</td><td>k</td><td>t</td></tr><tr><td colspan='2'>"), kind, F.lit("</td></tr></table>"))
+    return table_of(spark, d, "part", "p_partkey", "p_name", "p_type").select(F.col("p_partkey").alias("doc_id"), sections.linear_tables(F.concat(pipes, spans)).alias("text"))
 
 
 @query("""SELECT page_id AS doc_id, regexp_replace(html, '(?i)<a href="/the">', '<a href="https://store/the.png" title="caption">', 'g') AS html FROM pages""")
@@ -77,11 +82,20 @@ def o32_layout_headings(spark, d):
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for the files there are now; the sink holds a row for each key."""
-    spark, name = df.sparkSession, f"plumb_{uuid.uuid4().hex}"
-    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives for the files there are now, written step by step to a table in the shared folder.
+
+    In mode complete the last step is the whole result, in mode update every step adds its rows.
+    """
+    root = f"{shared_dir(df.sparkSession)}/plumb-stream-{uuid.uuid4().hex}"
+    how = "overwrite" if mode == "complete" else "append"
+
+    def write(rows: DataFrame, step: int) -> None:
+        rows.write.mode(how).parquet(f"{root}/rows")
+
+    write(df.sparkSession.createDataFrame([], df.schema), -1)
+    run = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
@@ -92,9 +106,9 @@ def stream_daily_counts(spark, d):
 
 @query("""SELECT user_id AS task_id, list_aggregate(list_sort(list_distinct(list(event_type) FILTER (WHERE event_type IN ('click', 'view')))), 'string_agg', ',') AS done, max(ts) AS last_seen FROM events GROUP BY user_id""")
 def stream_task_progress(spark, d):
-    """The latest state of every task after the stream has drained; expiries are not asked for."""
-    updates = _drained(progress.task_progress(progress.events_stream(spark, f"{d}/events.parq*t")), "update").where("status <> 'expired'")
-    return updates.groupBy("task_id").agg(F.max_by("done", "last_seen").alias("done"), F.max("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    """Every task's finished nodes and last event after the stream has drained; a task that expired and came again keeps both lives' nodes."""
+    updates = _drained(progress.task_progress(progress.events_stream(spark, f"{d}/events.parq*t")), "update")
+    return progress.latest(updates).select("task_id", "done", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
 @query()

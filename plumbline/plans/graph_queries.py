@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import table_of
 from ..operators import graph
+from ..sources.session import stored
 
 QUERIES, SQL = {}, {}
 
@@ -80,9 +81,13 @@ fz AS (SELECT *, row_number() OVER (PARTITION BY query_id, item, asked ORDER BY
 seeds AS (SELECT * FROM ex UNION ALL SELECT query_id, item, asked, name, how FROM fz WHERE n <= 3)"""
 
 
+def _seeds(spark, d, edges: DataFrame) -> DataFrame:
+    return graph.seeds(_asked(spark, d), edges.where(F.col("kind") == graph.MENTION).select("item", F.col("head").alias("name")).distinct())
+
+
 @query(f"WITH {SEEDS} SELECT * FROM seeds")
 def o76_o118_o122_seeds(spark, d):
-    return graph.seeds(_asked(spark, d), _edges(spark, d).where(F.col("kind") == graph.MENTION).select("item", F.col("head").alias("name")).distinct())
+    return _seeds(spark, d, stored(_edges(spark, d)))
 
 
 HOPS = f"""{SEEDS},
@@ -91,9 +96,10 @@ hops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item
 
 
 def _hops(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = _edges(spark, d)
-    s = o76_o118_o122_seeds(spark, d)
-    return s, graph.one_hop(s, edges), edges
+    """Seeds, relations of the seeds, and all edges, each made once."""
+    edges = stored(_edges(spark, d))
+    s = stored(_seeds(spark, d, edges))
+    return s, stored(graph.one_hop(s, edges)), edges
 
 
 @query(f"WITH {HOPS} SELECT query_id, item, seed, head, kind, tail, other FROM hops")

@@ -191,13 +191,13 @@ def o71_title_key(spark, d):
 
 @query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS options, max(turn) AS t FROM conversations GROUP BY conv_id),
 q AS (SELECT conv_id, turn, text, lower(regexp_replace(text, '[\\s\\x{A0}\\x{3000}_-]', '', 'g')) AS key FROM conversations WHERE role = 'user')
-SELECT q.conv_id, q.turn, (SELECT min(i) FROM (SELECT unnest(range(1, len(options) + 1)) AS i) WHERE key <> '' AND (contains(lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')), key) OR contains(key, lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')))))::INTEGER AS choice
+SELECT q.conv_id, q.turn, (SELECT min(i) FROM (SELECT unnest(range(1, len(options) + 1)) AS i) WHERE key <> '' AND lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')) <> '' AND (contains(lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')), key) OR contains(key, lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')))))::INTEGER AS choice
 FROM q JOIN c USING (conv_id) WHERE options IS NOT NULL""")
 def o67_o68_match_option(spark, d):
     rows = table_of(spark, d, "conversations", "conv_id", "turn", "role", "text")
     offered = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("o"))
     asked = rows.where("role = 'user'").join(offered, "conv_id").withColumn("key", T.option_key(F.col("text")))
     keys = F.transform("o", lambda x: T.option_key(x["text"]))
-    fits = F.transform(keys, lambda k: (F.col("key") != "") & (F.contains(k, F.col("key")) | F.contains(F.col("key"), k)))
+    fits = F.transform(keys, lambda k: (F.col("key") != "") & (k != "") & (F.contains(k, F.col("key")) | F.contains(F.col("key"), k)))
     place = F.array_position(fits, True)
     return asked.select("conv_id", "turn", F.when(place > 0, place.cast("int")).alias("choice"))

@@ -48,6 +48,13 @@ def task_progress(events: DataFrame) -> DataFrame:
     return rows.groupBy("task_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def latest(updates: DataFrame) -> DataFrame:
+    """(task_id, done, last_seen) of all updates, expiries included: the names of all of them, whatever files they came in."""
+    names = updates.select("task_id", "last_seen", F.explode(F.split("done", ",")).alias("name"))
+    seen = names.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("name") != "", F.col("name")))), ",").alias("done"), F.max("last_seen").alias("last_seen"))
+    return seen.withColumn("done", F.when(F.col("done") != "", F.col("done")))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 day") -> DataFrame:
     """Events and their value by window and type; late ones within the watermark count."""
     return events.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")

@@ -119,7 +119,11 @@ def test_sections_and_chunks(spark):
 def test_splitter_and_tables():
     assert sections.pieces("a b c d", 3, 1) == ["a b", "b c", "c d"] and sections.pieces("x" * 20, 5, 1) == ["x" * 20] and sections.pieces("", 5, 1) == []
     text = sections.table_text("before\n| name | size |\n|---|---|\n| bolt | 3 |\n| nut | - |\nafter")
-    assert text == "before\n- 【bolt】(对应name)：size为3。\n- 【nut】。\nafter"
+    assert text == "before\n\n\n- 【bolt】(对应name)：size为3。\n- 【nut】\n\nafter"
+    spans = "<table><tr><th></th><th>a</th><th></th></tr><tr><td rowspan=2>x<br>y</td><td colspan=2>1</td></tr><tr><td>2</td><td>-</td></tr></table>"
+    assert sections.table_text(spans) == "\n\n- 【x y】：a为1，属性2为1。\n- 【x y】：a为2。\n\n"
+    assert sections.table_text("<table><tr><td>k</td><td>v</td></tr><tr><td></td><td>w</td></tr></table>") == "\n\n- 【k】：v。\n- 【未知属性】：w。\n\n"
+    assert sections.table_text("| no | rule |\n| a | b |") == "| no | rule |\n| a | b |"
     assert sections.sentences([["k", "v"], ["", "w"], ["", ""]], False) == ["- 【k】：v。", "- 【未知属性】：w。"]
 
 
@@ -132,3 +136,15 @@ def test_html():
     page = "<html><head><title>t</title></head><body><h2>Head</h2><p>One <b>bold</b> two<script>x()</script><ul><li>a<li>b</ul><ol><li>c</li></ol><table><tr><th>h</th><th>k</th></tr><tr><td>1</td></tr></table><pre>x\n y</pre><hr><img src='i.png' alt='pic'><img alt='no'><div>loose</div></body></html>"
     assert markdown_of(page, "T") == "# T\n\n## Head\n\nOne bold two\n\n- a\n\n- b\n\n1. c\n\n| h | k |\n| --- | --- |\n| 1 |  |\n\n```\nx\n y\n```\n\n---\n\n![pic](i.png)\n\nloose"
     assert markdown_of("") == "" and markdown_of(None) == "" and markdown_of("<h1>x", "T") == "# x"
+
+
+def test_progress_over_several_files(spark, tmp_path):
+    """A task that expires between two files keeps what it had finished."""
+    from plumbline.plans.document_queries import stream_task_progress
+
+    day = lambda n: f"2024-01-0{n} 00:00:00"
+    for k, rows in enumerate(([(1, 7, "click", day(1))], [(2, 8, "view", day(3))], [(3, 8, "error", day(5))], [(4, 7, "view", day(7))])):
+        df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        df.withColumn("value", F.lit(1.0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = {r.task_id: (r.done, str(r.last_seen)) for r in stream_task_progress(spark, str(tmp_path)).collect()}
+    assert got == {7: ("click,view", day(7)), 8: ("view", day(5))}
