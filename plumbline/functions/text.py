@@ -11,6 +11,8 @@ CHINESE, ACCENTED = r"[一-鿿]", r"[À-ÿ]"
 CONTENTS = r"\.{6,}|·{6,}|…{4,}|-{6,}"
 HEADING = r"^\s*(#{1,6})\s+(.+)"
 SUFFIXES = {"pdf": "pdf", "md": "md", "txt": "md", "html": "html", "htm": "html", "docx": "docx"}
+ORDINAL = r"^第?([一二两三四五1-5])[个条款]?$"
+ORDINALS = {"一": 1, "两": 2, "二": 2, "三": 3, "四": 4, "五": 5, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5}
 INTENT_LEGS = {"chitchat": [], "meta": ["web"], "troubleshoot": ["vector", "kg"], "product_qa": ["vector", "hyde", "kg", "web"], "compare": ["vector", "hyde", "kg", "web"]}
 
 
@@ -29,6 +31,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """No blanks at the ends."""
+    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
 def script_ratio(text: Column, script: str = CHINESE) -> Column:
     """Share of a script's characters among those that are not blank; 0 for none."""
     solid = F.length(F.regexp_replace(text, BLANKS, ""))
@@ -77,6 +84,45 @@ def option_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[\s\x{A0}\x{3000}_-]", ""))
 
 
+def ordinal(key: Column) -> Column:
+    """The place (from 1) that a reply such as 第2个 names; null for other replies."""
+    places = F.create_map(*(F.lit(x) for pair in ORDINALS.items() for x in pair))
+    return F.element_at(places, F.nullif(F.regexp_extract(key, ORDINAL, 1), F.lit("")))
+
+
+def chosen(key: Column, keys: Column) -> Column:
+    """The place (from 1) of the option that a reply means, both as option keys; null for none.
+
+    An ordinal names it if there are so many options; otherwise it is the first that holds the reply or is
+    held by it. Empty replies and options fit nothing.
+    """
+    fits = F.transform(keys, lambda k: (key != "") & (k != "") & (F.contains(k, key) | F.contains(key, k)))
+    place = F.nullif(F.array_position(fits, True), F.lit(0)).cast("int")
+    return F.when(ordinal(key) <= F.size(keys), ordinal(key)).otherwise(place)
+
+
+def without_item(question: Column, item: Column) -> Column:
+    """The question without the item's name, in any case and with any blanks between its characters; blanks squeezed."""
+    pattern = F.regexp_replace(F.replace(item, F.lit(" "), F.lit("")), "(?s)(.)", r"\\Q$1\\E\\s*")
+    bare = F.when(pattern != "", F.regexp_replace(question, F.concat(F.lit("(?i)"), F.regexp_replace(pattern, r"\\s\*$", "")), F.lit(""))).otherwise(question)
+    return squeezed(bare)
+
+
+def extracted_items(reply: Column, question: Column) -> tuple[Column, Column]:
+    """(item names, rewritten question) of a model's JSON reply, which may be fenced.
+
+    Names are the strings that are not blank of a list, any other value gives none; a rewritten question that
+    is no string or blank, and a reply that is no JSON, leave the question as it was.
+    """
+    parsed = F.try_parse_json(without_fence(reply))
+    listed = F.coalesce(F.try_variant_get(parsed, "$.item_names", "array<variant>"), F.array().cast("array<variant>"))
+    strings = F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING")
+    names = F.filter(F.transform(strings, lambda v: F.variant_get(v, "$", "string")), lambda s: stripped(s) != "")
+    rewritten = F.try_variant_get(parsed, "$.rewritten_query", "variant")
+    told = F.when(F.schema_of_variant(rewritten) == "STRING", stripped(F.variant_get(rewritten, "$", "string")))
+    return names, F.when(F.length(told) > 0, told).otherwise(question)
+
+
 def without_fence(text: Column) -> Column:
     """The inside of a fenced block, or the text itself."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 # Names and numbers of the graph rules.
 MENTION, DEFAULT_KIND = "MENTIONED_IN", "RELATED_TO"
 SEED_WEIGHT, NEIGHBOUR_WEIGHT = 2.0, 1.0
 NAME_CHARS = 15
+PER_PAIR, PER_QUERY, TRIPLES = 3, 30, 50
 
 
 def entity_name(name: Column) -> Column:
-    return F.substring(F.trim(name), 1, NAME_CHARS)
+    return F.substring(stripped(name), 1, NAME_CHARS)
 
 
 def merged_entities(mentions: DataFrame) -> DataFrame:
@@ -25,6 +28,26 @@ def merged_entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("item", "name").agg(F.min(F.struct("ord", "chunk_id"))["chunk_id"].alias("source_chunk_id"), F.max(told)["description"].alias("description"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
+def clean_entities(entities: DataFrame, labels: list[str], scope: str = "chunk_id") -> DataFrame:
+    """(scope, name, label, description) from (scope, ord, name, label, description): named entities of the labels, each once a scope.
+
+    The first by ord stays, with its description or null (of equal ord null, then the least). A partial minimum, so repeats of a common entity cost one row a task.
+    """
+    rows = entities.select(scope, "ord", entity_name(F.col("name")).alias("name"), stripped(F.col("label")).alias("label"), F.nullif(stripped(F.col("description")), F.lit("")).alias("description"))
+    first = rows.where((F.col("name") != "") & F.col("label").isin(*labels)).groupBy(scope, "name", "label").agg(F.min(F.struct("ord", "description")).alias("first"))
+    return first.select(scope, "name", "label", "first.description")
+
+
+def clean_seeds(rows: DataFrame) -> DataFrame:
+    """Rows whose item and name are not blank, both trimmed; nulls are blank."""
+    return rows.withColumns({c: stripped(F.col(c)) for c in ("item", "name")}).where("item <> '' and name <> ''")
+
+
+def cleared(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Nodes or edges without those of the items (a column item)."""
+    return rows.join(items.select("item").distinct(), "item", "left_anti")
+
+
 def clean_relations(relations: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
     """Distinct relations with both ends among the nodes of their item; unknown kinds become the default."""
     kind = F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise(DEFAULT_KIND)
@@ -34,10 +57,11 @@ def clean_relations(relations: DataFrame, nodes: DataFrame, kinds: list[str]) ->
     return named.select("item", "head", "kind", "tail").distinct()
 
 
-def seeds(asked: DataFrame, nodes: DataFrame, exact: int = 1, fuzzy: int = 3) -> DataFrame:
+def seeds(asked: DataFrame, nodes: DataFrame, exact: int = 1, fuzzy: int = PER_PAIR, total: int = PER_QUERY) -> DataFrame:
     """(query_id, item, asked, name, how): the node of that name, or else up to so many of the item whose name contains it or is contained.
 
-    Fuzzy pairs meet by item, and only for names that no node has; ties go by name.
+    Fuzzy pairs meet by item, and only for names that no node has; ties go by name. A question has at most total
+    seeds, in order of item, asked and name.
     """
     pairs = asked.select("query_id", "item", "asked").distinct()
     same = pairs.join(nodes.select("item", F.col("name")).distinct(), "item").where(F.col("asked") == F.col("name")).withColumn("how", F.lit("exact"))
@@ -45,18 +69,29 @@ def seeds(asked: DataFrame, nodes: DataFrame, exact: int = 1, fuzzy: int = 3) ->
     low = lambda c: F.lower(F.col(c))
     near = open_.join(nodes.select("item", "name").distinct(), "item").where((F.col("asked") != "") & (F.contains(low("name"), low("asked")) | F.contains(low("asked"), low("name")))).withColumn("how", F.lit("fuzzy"))
     n = F.row_number().over(Window.partitionBy("query_id", "item", "asked").orderBy("name"))
-    return same.unionByName(near).withColumn("n", n).where(F.col("n") <= F.when(F.col("how") == "exact", exact).otherwise(fuzzy)).drop("n")
+    some = same.unionByName(near).withColumn("n", n).where(F.col("n") <= F.when(F.col("how") == "exact", exact).otherwise(fuzzy))
+    return _first(some, total, "query_id", "item", "asked", "name").drop("n")
+
 
+def _first(rows: DataFrame, k: int, of: str, *order: str) -> DataFrame:
+    return rows.withColumn("plumb_n", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where(F.col("plumb_n") <= k).drop("plumb_n")
 
-def one_hop(seed_rows: DataFrame, edges: DataFrame, per_seed: int = 50) -> DataFrame:
-    """(query_id, item, seed, head, kind, tail, other): relations of a seed in both directions, mentions left out."""
+
+def one_hop(seed_rows: DataFrame, edges: DataFrame, per_seed: int = TRIPLES, total: int = TRIPLES) -> DataFrame:
+    """(query_id, item, seed, head, kind, tail, other): relations of a seed in both directions, mentions left out.
+
+    A triple counts once a question, for the first of its seeds; a question has at most total triples, in order
+    of item, seed, head, kind and tail.
+    """
     s = seed_rows.select("query_id", "item", F.col("name").alias("seed")).distinct()
     e = edges.where(F.col("kind") != MENTION)
     shape = ["query_id", "item", "seed", "head", "kind", "tail", "other"]
     out = s.join(e.withColumns({"seed": F.col("head"), "other": F.col("tail")}), ["item", "seed"]).select(*shape)
     back = s.join(e.withColumns({"seed": F.col("tail"), "other": F.col("head")}), ["item", "seed"]).select(*shape)
     n = F.row_number().over(Window.partitionBy("query_id", "item", "seed").orderBy("head", "kind", "tail"))
-    return out.unionByName(back).distinct().withColumn("n", n).where(F.col("n") <= per_seed).drop("n")
+    near = out.unionByName(back).distinct().withColumn("n", n).where(F.col("n") <= per_seed)
+    once = near.groupBy("query_id", "item", "head", "kind", "tail").agg(F.min(F.struct("seed", "other")).alias("s"))
+    return _first(once.select("query_id", "item", "s.seed", "head", "kind", "tail", "s.other"), total, "query_id", "item", "seed", "head", "kind", "tail")
 
 
 def node_weights(seed_rows: DataFrame, hops: DataFrame) -> DataFrame:

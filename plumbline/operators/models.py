@@ -5,6 +5,8 @@ Stand-ins let pipelines and tests run without a network; their scores have other
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,8 +16,12 @@ from pyspark.sql import functions as F
 DIMENSIONS = 64
 
 
-def applied(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], added: str, batch: int = 16) -> DataFrame:
-    """df with the columns that a model adds (as DDL). load runs once a task; a batch that fails passes with nulls."""
+def applied(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], added: str, batch: int = 16, attempts: int = 3, delay: float = 0.5, error: str | None = None) -> DataFrame:
+    """df with the columns that a model adds (as DDL). load runs once a task.
+
+    A batch that fails is tried again, after delay seconds, then twice as long, and so on; after the last attempt it
+    passes with nulls, and with the exception's text in the column that error names, if any.
+    """
     names = [part.split()[0] for part in added.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,14 +29,25 @@ def applied(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFr
         for frame in frames:
             for at in range(0, len(frame), batch):
                 some = frame.iloc[at : at + batch].reset_index(drop=True)
-                try:
-                    made = model(some)[names]
-                except Exception:  # a model's failure costs its batch, not the job
+                made, failed = None, None
+                for attempt in range(attempts):
+                    try:
+                        made = model(some)[names].reset_index(drop=True)
+                        break
+                    except Exception as e:  # a model's failure costs its batch, not the job
+                        failed = repr(e)
+                        if attempt + 1 < attempts:
+                            time.sleep(delay * 2**attempt)
+                if made is None:
+                    logging.getLogger(__name__).warning("a batch of %d rows failed %d times: %s", len(some), attempts, failed)
                     made = pd.DataFrame({n: [None] * len(some) for n in names})
-                yield pd.concat([some, made], axis=1)
+                    made[error or "plumb_error"] = failed
+                elif error:
+                    made[error] = None
+                yield pd.concat([some, made[names + ([error] if error else [])]], axis=1)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{shape}, {added}")
+    return df.mapInPandas(run, f"{shape}, {added}" + (f", {error} string" if error else ""))
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_key, table_of
+from ..functions.text import item_key, table_of, without_item
 from ..operators import context, store
 
 QUERIES, SQL = {}, {}
@@ -218,13 +218,14 @@ def o14_newest_per_title(spark, d):
     return docs.groupBy("source").agg(F.max(F.struct("n_chars", "doc_id")).alias("m")).select("source", "m.doc_id", "m.n_chars")
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, lower(split_part(text, ' ', 1)), ' ', 'gi'), '\\s+', ' ', 'g')) AS question FROM conversations WHERE role = 'user' AND regexp_matches(split_part(text, ' ', 1), '^[A-Za-z]+$')")
+@query("""SELECT p_partkey, trim(regexp_replace('how does  the' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE '' END || ' ' || p_type || '\t work', '\\s+', ' ', 'g')) AS question FROM part""")
 def o66_question_without_item(spark, d):
-    """The item's name (here the first word) taken out of the question."""
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    rows = table_of(spark, d, "conversations", "conv_id", "turn", "role", "text").where((F.col("role") == "user") & first.rlike("^[A-Za-z]+$"))
-    bare = F.regexp_replace(F.col("text"), F.concat(F.lit("(?i)"), F.lower(first)), F.lit(" "))
-    return rows.select("conv_id", "turn", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("question"))
+    """An item's brand and name taken out of a question that writes it in capitals and with other blanks; another item's stay."""
+    item = F.concat("p_brand", F.lit(" "), "p_name")
+    told = F.upper(F.concat(F.lit(" "), F.regexp_replace(item, "(?<=[A-Za-z])(?=[A-Za-z#0-9])|#", "$0 ")))
+    rest = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise("")
+    question = F.concat(F.lit("how does "), told, F.lit("  the"), rest, F.lit(" "), "p_type", F.lit("\t work"))
+    return table_of(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_type").select("p_partkey", without_item(question, item).alias("question"))
 
 
 @query("SELECT p_partkey, list_aggregate(list_distinct([lower(p_brand), lower(p_type)]), 'count') AS names, lower(p_brand) AS first_name FROM part")

@@ -60,6 +60,33 @@ def o24_merge_entities(spark, d):
     return graph.merged_entities(_mentions(spark, d))
 
 
+@query(f"WITH {BASE} SELECT item, kind, count(*) AS n FROM edges WHERE item NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY 1, 2")
+def o25_graph_clear(spark, d):
+    """What is left of the edges, by kind, when the items of one region are cleared."""
+    items = table_of(spark, d, "nation", F.col("n_name").alias("item"), "n_regionkey").where("n_regionkey = 1")
+    return graph.cleared(_edges(spark, d), items).groupBy("item", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT chunk_id, name, label, description FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, name, label ORDER BY ord, description NULLS FIRST) AS n FROM
+(SELECT l_orderkey AS chunk_id, l_linenumber AS ord, substr(trim(CASE WHEN l_linenumber % 5 = 0 THEN '  ' ELSE '  ' || p_brand END), 1, 15) AS name, trim(p_type || ' ') AS label, CASE WHEN l_returnflag <> 'R' THEN p_name END AS description FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE name <> '' AND label IN ('ECONOMY', 'SMALL', 'LARGE')) WHERE n = 1""")
+def o63_clean_entities(spark, d):
+    """Brands as entities of an order, their types as labels; some names and descriptions are blank."""
+    line = table_of(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").join(table_of(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    name = F.when(F.col("l_linenumber") % 5 == 0, "  ").otherwise(F.concat(F.lit("  "), "p_brand"))
+    told = F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("p_name"))
+    rows = line.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"), name.alias("name"), F.concat("p_type", F.lit(" ")).alias("label"), told.alias("description"))
+    return graph.clean_entities(rows, ["ECONOMY", "SMALL", "LARGE"])
+
+
+@query("SELECT c_custkey AS query_id, n_name AS item, trim(c_mktsegment) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0")
+def o128_seed_rows(spark, d):
+    """Found nodes with blanks at the ends of their names; those without an item or a name go."""
+    c = table_of(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(table_of(spark, d, "nation", "n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"))
+    item = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("\t"), "n_name", F.lit(" ")))
+    name = F.when(F.col("c_custkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit("\n")))
+    return graph.clean_seeds(c.select(F.col("c_custkey").alias("query_id"), item.alias("item"), name.alias("name")))
+
+
 @query(f"WITH {BASE} SELECT item, kind, count(*) AS n FROM edges GROUP BY 1, 2")
 def o97_graph_counts(spark, d):
     return _edges(spark, d).groupBy("item", "kind").agg(F.count("*").alias("n"))
@@ -77,7 +104,7 @@ SEEDS = f"""{BASE},
 asked AS (SELECT c_custkey AS query_id, n_name AS item, CASE WHEN c_custkey % 3 = 0 THEN format('Supplier#{{:09d}}', c_custkey % 50) ELSE ['small ring', 'Widget', 'blue', 'none such'][c_custkey % 4 + 1] END AS asked FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING'),
 ex AS (SELECT query_id, a.item, asked, name, 'exact' AS how FROM asked a JOIN nodes n ON a.item = n.item AND asked = name),
 fz AS (SELECT *, row_number() OVER (PARTITION BY query_id, item, asked ORDER BY name) AS n FROM (SELECT query_id, a.item, asked, name, 'fuzzy' AS how FROM asked a JOIN nodes n ON a.item = n.item WHERE (contains(lower(name), lower(asked)) OR contains(lower(asked), lower(name))) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = a.query_id))),
-seeds AS (SELECT * FROM ex UNION ALL SELECT query_id, item, asked, name, how FROM fz WHERE n <= 3)"""
+seeds AS (SELECT query_id, item, asked, name, how FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item, asked, name) AS total FROM (SELECT * FROM ex UNION ALL SELECT query_id, item, asked, name, how FROM fz WHERE n <= 3)) WHERE total <= 30)"""
 
 
 @query(f"WITH {SEEDS} SELECT * FROM seeds")
@@ -87,7 +114,8 @@ def o76_o118_o122_seeds(spark, d):
 
 HOPS = f"""{SEEDS},
 h AS (SELECT DISTINCT query_id, e.item, name AS seed, head, kind, tail, tail AS other FROM seeds s JOIN edges e ON e.item = s.item AND head = name WHERE kind <> 'MENTIONED_IN' UNION SELECT DISTINCT query_id, e.item, name, head, kind, tail, head FROM seeds s JOIN edges e ON e.item = s.item AND tail = name WHERE kind <> 'MENTIONED_IN'),
-hops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, seed ORDER BY head, kind, tail) AS n FROM h) WHERE n <= 50)"""
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, seed ORDER BY head, kind, tail) AS n FROM h) WHERE n <= 50),
+hops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item, seed, head, kind, tail) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, head, kind, tail ORDER BY seed) AS again FROM near) WHERE again = 1) WHERE total <= 50)"""
 
 
 def _hops(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -162,6 +162,26 @@ def o58_o61_fenced_json(spark, d):
     return table_of(spark, d, "events", "event_id", "props").select("event_id", F.from_json(inner, "k int").getField("k").alias("k"))
 
 
+@query("""WITH r AS (SELECT event_id, event_type, 'how to ' || event_type AS asked, CASE event_id % 6 WHEN 0 THEN '{"item_names": ["' || event_type || '", " ", 3, null, "b x"], "rewritten_query": "  more  "}' WHEN 1 THEN '{"item_names": "' || event_type || '", "rewritten_query": 5}' WHEN 2 THEN 'no ' || props WHEN 3 THEN props WHEN 4 THEN '{"item_names": [], "rewritten_query": " "}' ELSE '["a"]' END AS reply FROM events),
+j AS (SELECT *, CASE WHEN json_valid(reply) THEN reply ELSE '{}' END::JSON AS v FROM r)
+SELECT event_id, coalesce(CASE WHEN json_type(v, '$.item_names') = 'ARRAY' THEN list_aggregate(list_transform(list_filter(json_extract(v, '$.item_names[*]'), lambda x: json_type(x) = 'VARCHAR' AND trim(json_extract_string(x, '$')) <> ''), lambda x: json_extract_string(x, '$')), 'string_agg', '|') END, '') AS items,
+CASE WHEN json_type(v, '$.rewritten_query') = 'VARCHAR' AND trim(v->>'$.rewritten_query') <> '' THEN trim(v->>'$.rewritten_query') ELSE asked END AS question FROM j""")
+def o61_extracted_items(spark, d):
+    """A model's replies, fenced: lists with odd values, other types, no JSON, no such fields, blanks, and a list."""
+    kind = F.col("event_type")
+    replies = [
+        F.concat(F.lit('{"item_names": ["'), kind, F.lit('", " ", 3, null, "b x"], "rewritten_query": "  more  "}')),
+        F.concat(F.lit('{"item_names": "'), kind, F.lit('", "rewritten_query": 5}')),
+        F.concat(F.lit("no "), "props"),
+        F.col("props"),
+        F.lit('{"item_names": [], "rewritten_query": " "}'),
+        F.lit('["a"]'),
+    ]
+    reply = F.element_at(F.array(*replies), (F.col("event_id") % 6 + 1).cast("int"))
+    names, question = T.extracted_items(F.concat(F.lit("```json\n"), reply, F.lit("\n```")), F.concat(F.lit("how to "), kind))
+    return table_of(spark, d, "events", "event_id", "event_type", "props").select("event_id", F.array_join(names, "|").alias("items"), question.alias("question"))
+
+
 @query("SELECT event_id, CASE WHEN event_type IN ('chitchat', 'meta', 'troubleshoot', 'compare') THEN event_type ELSE CASE event_type WHEN 'error' THEN 'troubleshoot' WHEN 'view' THEN 'meta' WHEN 'signup' THEN 'chitchat' ELSE 'product_qa' END END AS intent FROM events")
 def o69_intent(spark, d):
     label = F.element_at(F.create_map(*(F.lit(x) for x in ("error", "troubleshoot", "view", "meta", "signup", "chitchat"))), F.col("event_type"))
@@ -194,10 +214,24 @@ q AS (SELECT conv_id, turn, text, lower(regexp_replace(text, '[\\s\\x{A0}\\x{300
 SELECT q.conv_id, q.turn, (SELECT min(i) FROM (SELECT unnest(range(1, len(options) + 1)) AS i) WHERE key <> '' AND lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')) <> '' AND (contains(lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')), key) OR contains(key, lower(regexp_replace(options[i], '[\\s\\x{A0}\\x{3000}_-]', '', 'g')))))::INTEGER AS choice
 FROM q JOIN c USING (conv_id) WHERE options IS NOT NULL""")
 def o67_o68_match_option(spark, d):
-    rows = table_of(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    return _matched(table_of(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def _matched(rows: DataFrame) -> DataFrame:
+    """For every line of a user the place of the option that it means, among the lines of the assistant."""
     offered = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("o"))
     asked = rows.where("role = 'user'").join(offered, "conv_id").withColumn("key", T.option_key(F.col("text")))
-    keys = F.transform("o", lambda x: T.option_key(x["text"]))
-    fits = F.transform(keys, lambda k: (F.col("key") != "") & (k != "") & (F.contains(k, F.col("key")) | F.contains(F.col("key"), k)))
-    place = F.array_position(fits, True)
-    return asked.select("conv_id", "turn", F.when(place > 0, place.cast("int")).alias("choice"))
+    return asked.withColumn("keys", F.transform("o", lambda x: T.option_key(x["text"]))).select("conv_id", "turn", T.chosen(F.col("key"), F.col("keys")).alias("choice"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, list(text ORDER BY turn) AS options FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+q AS (SELECT conv_id, turn, text, turn % 3 AS way, (conv_id + turn) % 6 + 1 AS k FROM conversations WHERE role = 'user'),
+p AS (SELECT *, CASE way WHEN 0 THEN [1, 2, 3, 4, 5, 6][k] WHEN 1 THEN [1, 2, 2, 3, 4, 5][k] END AS place FROM q)
+SELECT conv_id, turn, (CASE WHEN way < 2 AND k <= CASE way WHEN 0 THEN 5 ELSE 6 END AND place <= n THEN place
+ELSE (SELECT min(i) FROM (SELECT unnest(range(1, n + 1)) AS i) WHERE contains(lower(regexp_replace(options[i], '[\\s_-]', '', 'g')), CASE way WHEN 0 THEN '第' || k || '个' WHEN 1 THEN ['一', '二', '两', '三', '四', '五'][k] ELSE lower(regexp_replace(substr(text, 1, 12), '[\\s_-]', '', 'g')) END)) END)::INTEGER AS choice FROM p JOIN c USING (conv_id)""")
+def o68_ordinal_reply(spark, d):
+    """Replies by ordinals (two of three lines of a user), and by the first characters of the line."""
+    rows = table_of(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    k = ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")
+    reply = F.when(F.col("turn") % 3 == 0, F.format_string("第 %d 个", k)).when(F.col("turn") % 3 == 1, F.element_at(F.array(*map(F.lit, "一二两三四五")), k)).otherwise(F.substring("text", 1, 12))
+    return _matched(rows.withColumn("text", F.when(F.col("role") == "user", reply).otherwise(F.col("text"))))

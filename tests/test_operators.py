@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import cleaning, context, graph, ranking, search, sections, store
+from plumbline.operators import cleaning, context, graph, models, ranking, search, sections, store
 from plumbline.sources.html import markdown_of
 
 
@@ -148,3 +148,62 @@ def test_progress_over_several_files(spark, tmp_path):
         df.withColumn("value", F.lit(1.0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     got = {r.task_id: (r.done, str(r.last_seen)) for r in stream_task_progress(spark, str(tmp_path)).collect()}
     assert got == {7: ("click,view", day(7)), 8: ("view", day(5))}
+
+
+@pytest.mark.parametrize(
+    ("reply", "options", "place"),
+    [("第 2 个", ["a", "b"], 2), ("两", ["a", "b"], 2), ("第三款", ["a", "b"], None), ("5", ["x", "rs-5"], 2), ("RS 12", ["other", "the rs-12 meter"], 2), ("none", ["", "x"], None), ("", ["a"], None), ("第", ["a"], None)],
+)
+def test_chosen_option(spark, reply, options, place):
+    keys = F.transform(F.array(*map(F.lit, options)), lambda x: T.option_key(x))
+    assert one(spark, T.chosen(T.option_key(F.lit(reply)), keys)) == place
+
+
+@pytest.mark.parametrize(
+    ("question", "item", "bare"),
+    [("how does rs -1 2 work", "RS-12", "how does work"), ("a+b (c) d", "A+B (C)", "d"), ("keep  this", "", "keep this"), ("a\\E. x", "\\e.", "a x"), ("(RS12 y", "rs12", "( y")],
+)
+def test_question_without_item(spark, question, item, bare):
+    assert one(spark, T.without_item(F.lit(question), F.lit(item))) == bare
+
+
+def test_extracted_items(spark):
+    rows = [('```json\n{"item_names": ["a", "\u3000", 3], "rewritten_query": " q "}\n```', ["a"], "q"), ("{", [], "asked"), ("", [], "asked"), (None, [], "asked"), ("[1]", [], "asked"), ('{"item_names": {"a": 1}, "rewritten_query": null}', [], "asked")]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, reply string")
+    names, question = T.extracted_items(F.col("reply"), F.lit("asked"))
+    got = df.select("i", names.alias("n"), question.alias("q")).orderBy("i").collect()
+    assert [(r.n, r.q) for r in got] == [r[1:] for r in rows]
+
+
+def test_caps_of_seeds_and_triples(spark):
+    asked = spark.createDataFrame([(1, f"i{k:02}", "n") for k in range(40)], "query_id int, item string, asked string")
+    nodes = spark.createDataFrame([(f"i{k:02}", f"n{j}") for k in range(40) for j in range(4)], "item string, name string")
+    got = graph.seeds(asked, nodes)
+    assert got.count() == 30 and {r["item"] for r in got.collect()} == {f"i{k:02}" for k in range(10)}
+    edges = spark.createDataFrame([("i00", "n0", "HAS_PART", "n1")] + [("i01", "n0", "HAS_PART", f"p{k:03}") for k in range(70)], "item string, head string, kind string, tail string")
+    hops = graph.one_hop(got, edges).collect()
+    assert len(hops) == 50 and sum(r["item"] == "i00" for r in hops) == 1  # once, though both of its ends are seeds
+
+
+def test_clean_entities_keep_the_first(spark):
+    rows = [(1, 1, " a ", "Part", " "), (1, 2, "a", "Part", "late"), (1, 3, "a", "Tool", "t"), (1, 4, "b", "Other", "x"), (1, 5, None, "Part", "x"), (1, 6, "x" * 20, "Part", None), (2, 1, "a", "Part", " d ")]
+    df = spark.createDataFrame(rows, "chunk_id int, ord int, name string, label string, description string")
+    got = sorted(tuple(r) for r in graph.clean_entities(df, ["Part", "Tool"]).collect())
+    assert got == [(1, "a", "Part", None), (1, "a", "Tool", "t"), (1, "x" * 15, "Part", None), (2, "a", "Part", "d")]
+
+
+def test_model_is_tried_again(spark):
+    def load():
+        calls = []
+
+        def model(frame):
+            calls.append(1)
+            if frame.v.min() < 0 or len(calls) == 1:
+                raise ValueError("no")
+            return frame.assign(w=frame.v * 2)
+
+        return model
+
+    df = spark.createDataFrame([(1,), (2,), (-1,), (-2,)], "v int").coalesce(1)
+    got = sorted(tuple(r) for r in models.applied(df, load, "w int", batch=2, delay=0.0, error="failed").collect())
+    assert got == [(-2, None, "ValueError('no')"), (-1, None, "ValueError('no')"), (1, 2, None), (2, 4, None)]
