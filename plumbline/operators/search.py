@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 #: Queries that are compared with a partition of rows at once.
 BLOCK = 512
 
@@ -91,3 +93,15 @@ def weighted(a: DataFrame, b: DataFrame, weights: tuple[float, float] = (0.5, 0.
     part = lambda i: F.coalesce(F.max(F.when(F.col("leg") == i, F.col("x"))), F.lit(0.0))
     both = leg(a, 0).unionByName(leg(b, 1)).groupBy("query_id", "id").agg(F.round(weights[0] * part(0) + weights[1] * part(1), digits).alias("score"))
     return top_k(both, k)
+
+
+def united(local: DataFrame, web: DataFrame) -> DataFrame:
+    """(origin, content, title, chunk_id, url) of local rows (content, title, chunk_id) and web rows (content, snippet, title, url).
+
+    A web row without content has its snippet. Rows without either, or with a blank local content, go; nulls are empty.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    a = local.select(F.lit("local").alias("origin"), stripped(text(F.col("content"))).alias("content"), stripped(text(F.col("title"))).alias("title"), "chunk_id")
+    content = F.coalesce(F.nullif(F.col("content"), F.lit("")), stripped(text(F.col("snippet"))))
+    b = web.select(F.lit("web").alias("origin"), content.alias("content"), stripped(text(F.col("title"))).alias("title"), stripped(text(F.col("url"))).alias("url"))
+    return a.unionByName(b, allowMissingColumns=True).where("content <> ''").select("origin", "content", "title", "chunk_id", "url")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import table_of
+from ..functions.text import BLANKS, table_of
 from ..operators import ranking, search
 
 QUERIES, SQL = {}, {}
@@ -217,3 +217,14 @@ def o120_source_union(spark, d):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     web = table_of(spark, d, "pages", "url", "html").select(F.lit("web").alias("origin"), "url", title.alias("title")).where(F.trim("title") != "")
     return local.unionByName(web, allowMissingColumns=True).select("origin", "chunk_id", "url", "title", "query_id")
+
+
+@query(f"""WITH u AS (SELECT 'local' AS origin, regexp_replace(text, '^{BLANKS}+|{BLANKS}+$', '', 'g') AS content, source AS title, doc_id AS chunk_id, NULL::VARCHAR AS url FROM documents
+UNION ALL SELECT 'web', coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END, ''), CASE WHEN page_id % 3 = 1 THEN '' ELSE trim(url) END), regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^{BLANKS}+|{BLANKS}+$', '', 'g'), NULL, trim(url) FROM pages)
+SELECT origin, md5(content) AS content_md5, title, chunk_id, url FROM u WHERE content <> ''""")
+def o120_content_union(spark, d):
+    """Documents, and pages with their title as content, else the address as snippet, else nothing."""
+    local = table_of(spark, d, "documents", F.col("text").alias("content"), F.col("source").alias("title"), F.col("doc_id").alias("chunk_id"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    web = table_of(spark, d, "pages", "page_id", "url", "html").select(F.when(F.col("page_id") % 3 == 0, title).alias("content"), F.when(F.col("page_id") % 3 == 1, "  ").otherwise(F.concat("url", F.lit(" "))).alias("snippet"), title.alias("title"), "url")
+    return search.united(local, web).select("origin", F.md5(F.col("content").cast("binary")).alias("content_md5"), "title", "chunk_id", "url")
