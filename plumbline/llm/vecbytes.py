@@ -83,7 +83,7 @@ def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, U)
             p[0] = 1
             both.append(np.cumprod(p))
-        if n > 8 << 20:
+        if n > 1 << 20:  # longer ones would stay in the memory of each worker
             return tuple(both)
         _powers[base] = tuple(both)
     return _powers[base]
