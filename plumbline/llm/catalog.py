@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, infill, language_id, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
+from . import bpe, decontaminate, infill, language_id, lexical_search, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_scoring.op8_lm_score,
         "op9_url_filter": url_filters.op9_url_filter,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op9_url_filter": url_filters.OP9_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
         "op12_fill_in_middle": infill.OP12_SQL,
     }
