@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, infill, language_id, lexical_search, lm_scoring, minhash_dedup, quality_rules, suffix_dedup, toxicity, url_filters, warc
+from . import bpe, decontaminate, infill, language_id, lexical_search, lm_scoring, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc_round_trip": warc.op10_warc_round_trip,
         "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_substring_dedup": substring_dedup.op13_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_warc_round_trip": warc.OP10_SQL,
         "op11_lexical_search": lexical_search.OP11_SQL,
         "op12_fill_in_middle": infill.OP12_SQL,
+        "op13_substring_dedup": substring_dedup.OP13_SQL,
     }
