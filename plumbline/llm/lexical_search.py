@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
-from .vecbytes import LOWER, raw, words
+from .vecbytes import LOWER, blocks, raw, words
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 INSIDE = np.zeros(256, bool)
@@ -140,6 +140,15 @@ def _index(n_docs: int, n_terms: int, block_docs: int, block_bytes: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a term, and all terms, of each batch."""
+    for batch in batches:
+        for block in blocks(batch, "text"):
+            data, offsets = raw(block.column(0))
+            row = words(data, offsets, INSIDE[data])[2]
+            yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(row))]), pa.array([len(row)])], names=["docs", "terms"])
+
+
 def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> Index:
     """The index of docs, written in the shared folder: every row with an id, and every term of its whole text.
 
@@ -151,8 +160,8 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scr
         raise ValueError(f"a block has 1 to {BLOCK_DOCS} documents")
     scratch = scratch or Scratch(docs.sparkSession, "lexical")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    counted = source.select(F.regexp_count("text", F.lit(TERM)).alias("n"))
-    n_docs, n_terms = counted.agg(F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counted = source.select("text").mapInArrow(_counted, "docs long, terms long")
+    n_docs, n_terms = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "terms"))).first()
     return Index(scratch.put(source.mapInArrow(_index(n_docs, n_terms, block_docs, block_bytes), _SHAPE), "index"), n_docs, n_terms)
 
 
