@@ -16,6 +16,7 @@ questions' weights and are gathered by block; each block gives its k best; (e) t
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,6 +178,16 @@ class Tree:
         while len(self.levels) <= height:
             node, top = self.levels[-1]
             self.levels.append(parents(np.zeros(len(node), np.int64), node, top)[1:])
+        self.root = int(self.levels[height][1].max())
+        self._first: dict[int, array] = {}
+
+    def first(self, level: int) -> array:
+        """Where the nodes of level that each node above it covers begin, by the node above; made when first asked for."""
+        if level not in self._first:
+            node = self.levels[level][0]
+            ends = node.searchsorted(np.arange(0, int(node[-1]) + 2 * FAN, FAN))
+            self._first[level] = array("i", ends.astype(np.int32).tobytes())
+        return self._first[level]
 
 
 def height_of(n_docs: int) -> int:
@@ -189,7 +200,9 @@ def height_of(n_docs: int) -> int:
 
 def search(asked: list[tuple[int, Tree]], height: int, k: int) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, position) of a block for (weight, tree) pairs, best first and equal ones by position; nodes opened."""
-    heap = [(-sum(w * int(t.levels[height][1].max()) for w, t in asked), 0, height)]
+    most = sum(w * t.root for w, t in asked)
+    heap = [(-most, 0, height)] if most else []
+    below = [[(w, t.first(level), *t.levels[level]) for w, t in asked] for level in range(height)]
     found: list[tuple[int, int]] = []
     best: list[int] = []  # the k highest scores of documents seen so far
     opened = 0
@@ -199,14 +212,13 @@ def search(asked: list[tuple[int, Tree]], height: int, k: int) -> tuple[list[tup
             found.append((-bound, first))
             continue
         opened += 1
-        low = first // FAN ** (level - 1)
+        at = first // FAN**level
+        low = at * FAN
         sums = np.zeros(FAN, np.int64)
-        for w, tree in asked:
-            node, top = tree.levels[level - 1]
-            a = node.searchsorted(low)
-            b = node.searchsorted(low + FAN)
-            if b > a:
-                sums[node[a:b] - low] += w * top[a:b]
+        for w, cuts, node, top in below[level - 1]:
+            if at + 1 < len(cuts) and cuts[at] < cuts[at + 1]:
+                some = slice(cuts[at], cuts[at + 1])
+                sums[node[some] - low] += w * top[some]
         least = max(best[0], 1) if len(best) == k else 1
         step = FAN ** (level - 1)
         for c in np.flatnonzero(sums >= least).tolist():
