@@ -8,10 +8,11 @@ each text once with the number of its occurrences; a suffix automaton of them co
 of words occurs. Segments of documents stream past the automaton, whose states give for every word the longest
 string ending there that occurs twice or more (matching statistics); maximal ones of LENGTH words or more go.
 
-A shard's reference is broadcast to every slice of the stream that needs it. Its size is bounded: shards take
-SHARD_WORDS words on average, and a minimizer with over CROWDED different segments is dealt out by whole windows
-instead. A minimizer that very many documents share has as many slices as its rows need, and equal segments of a
-task travel as one row. Hashes choose shards only; strings are compared by their words.
+A minimizer that very many documents share has as many slices of the stream as its rows need, and its reference
+is broadcast to every one of them; where one slice is enough, the segments in it are their own reference. Sizes
+are bounded: shards take SHARD_WORDS words on average, and a minimizer with over CROWDED different segments is
+dealt out by whole windows instead. Equal segments of a task travel as one row. Hashes choose shards only;
+strings are compared by their words.
 
 Plan: (a) minimizers are counted, map-side first; (b) those that repeat meet their documents' ids; (c) documents
 are cut again, beside their repeated minimizers, and their segments become reference and stream; (d) automata,
@@ -39,6 +40,8 @@ SHARD_WORDS = 1 << 17
 CROWDED, SLICE = 1024, 1 << 14
 #: Bytes of segments among which a task sends equal ones as one row, and occurrences that a row holds at most.
 DEALT, HITS = 16 << 20, 1 << 12
+#: Kinds of rows of a shard, in the order in which they come.
+REFERENCE, WHOLE, STREAMS = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
 _HIT = np.dtype([("id", "<i8"), ("of", "<i8"), ("start", "<i4")])
 
@@ -235,29 +238,62 @@ def hash_of(content: bytes) -> int:
 
 
 def _matched(length: int):
-    """Rows by shard and slice, the reference first: (id, of, start, size) of runs of words that also occur elsewhere."""
+    """Rows by shard, slice and kind: (id, of, start, size) of runs of words that also occur elsewhere.
+
+    Kinds: a text of the reference with its occurrences; a segment whose minimizer has all its segments here, so
+    it is held as reference, too, until all are; a segment that only streams past.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, automaton, symbols, known = None, SuffixAutomaton(), {}, {}
-        for batch in batches:
-            found: list[bytes] = []
-            times, starts, sizes = [], [], []
-            for shard, slice_, streams, content, n, hits in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "streams", "content", "n", "hits")), strict=True):
-                if (shard, slice_) != at:
-                    at, automaton, symbols, known = (shard, slice_), SuffixAutomaton(), {}, {}
-                if not streams:
-                    automaton.add([symbols.setdefault(w, len(symbols)) for w in content.split(b" ")], n)
-                    continue
-                if not automaton.again:
-                    automaton.finish()
-                if content not in known:
-                    known[content] = automaton.spans([symbols.get(w, -1) for w in content.split(b" ")], length)
-                for a, b in known[content]:
-                    found.append(hits), times.append(n), starts.append(a), sizes.append(b - a)
+        at, automaton, symbols, known, held = None, SuffixAutomaton(), {}, {}, {}
+        found: list[bytes] = []
+        times, starts, sizes = [], [], []
+
+        def match(content: bytes, n: int, hits: list[bytes]) -> None:
+            if content not in known:
+                known[content] = automaton.spans([symbols.get(w, -1) for w in content.split(b" ")], length)
+            for a, b in known[content]:
+                found.extend(hits), times.append(n), starts.append(a), sizes.append(b - a)
+
+        def add(content: bytes, n: int) -> None:
+            automaton.add([symbols.setdefault(w, len(symbols)) for w in content.split(b" ")], n)
+
+        def finish() -> None:
+            for content, (n, _) in held.items():
+                add(content, n)
+            automaton.finish()
+            for content, (n, hits) in held.items():
+                match(content, n, hits)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
             if found:
                 rows = np.frombuffer(b"".join(found), _HIT)
                 start, size = (np.repeat(np.array(x, np.int32), times) for x in (starts, sizes))
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c])) for c in ("id", "of")), pa.array(rows["start"] + start), pa.array(size)], names=["id", "of", "start", "size"])
+                for x in (found, times, starts, sizes):
+                    x.clear()
+
+        for batch in batches:
+            for shard, slice_, kind, content, n, hits in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice", "kind", "content", "n", "hits")), strict=True):
+                if (shard, slice_) != at:
+                    if held:
+                        finish()
+                    at, automaton, symbols, known = (shard, slice_), SuffixAutomaton(), {}, {}
+                if kind == REFERENCE:
+                    add(content, n)
+                elif kind == WHOLE:
+                    one = held.setdefault(content, [0, []])
+                    one[0] += n
+                    one[1].append(hits)
+                else:
+                    if not automaton.again:
+                        finish()
+                    match(content, n, [hits])
+            yield from out()
+        if held:
+            finish()
+        yield from out()
 
     return run
 
@@ -301,14 +337,18 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a segment has some 1.4 windows' words; one that is dealt out by windows has half its windows times theirs
     n = open_.count() + bodies.agg(F.coalesce(F.sum("crowd"), F.lit(0))).first()[0] * (length - gram) // 3
     shards = max(1, -(-n * (length + length // 2) // shard_words))
-    wanted = marked.groupBy("id").agg(F.collect_set(F.struct("key", "slices", "crowded")).alias("wanted"))
-    pieces = known.hint("merge").join(wanted, "id").select("id", "of", "text", "wanted").mapInArrow(_pieces(length, gram, shards), _PIECE)
-    reference = pieces.groupBy("shard", "content", "alone").agg(F.sum("n").alias("n"), F.max("slices").alias("slices")).where("n > 1 or not alone")
-    reference = reference.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    shape = ["shard", "slice", "streams", "content", "n", "hits"]
-    stream = pieces.withColumn("streams", F.lit(True)).select(*shape)
-    both = reference.withColumns({"streams": F.lit(False), "hits": F.lit(None).cast("binary")}).select(*shape).unionByName(stream)
-    return both.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "streams").mapInArrow(_matched(length), "id long, of long, start int, size int")
+
+    def pieces(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy("id").agg(F.collect_set(F.struct("key", "slices", "crowded")).alias("wanted"))
+        return known.hint("merge").join(wanted, "id").select("id", "of", "text", "wanted").mapInArrow(_pieces(length, gram, shards), _PIECE)
+
+    # where all segments of a minimizer are in one slice, they are their own reference
+    shape = ["shard", "slice", "kind", "content", "n", "hits"]
+    stream = pieces(marked).withColumn("kind", F.when((F.col("slices") == 1) & ~F.col("alone"), WHOLE).otherwise(STREAMS)).select(*shape)
+    reference = pieces(marked.where("slices > 1 or crowded")).groupBy("shard", "content", "alone").agg(F.sum("n").alias("n"), F.max("slices").alias("slices")).where("n > 1 or not alone")
+    reference = reference.withColumns({"slice": F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "kind": F.lit(REFERENCE), "hits": F.lit(None).cast("binary")})
+    both = reference.select(*shape).unionByName(stream)
+    return both.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind").mapInArrow(_matched(length), "id long, of long, start int, size int")
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
