@@ -40,6 +40,8 @@ SHARD_WORDS = 1 << 17
 CROWDED, SLICE = 1024, 1 << 14
 #: Bytes of segments among which a task sends equal ones as one row, and occurrences that a row holds at most.
 DEALT, HITS = 16 << 20, 1 << 12
+#: Bytes of text that are cut at once; a worker's arrays take some 60 times as much.
+BLOCK = 512 << 10
 #: Kinds of rows of a shard, in the order in which they come.
 REFERENCE, WHOLE, STREAMS = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
@@ -177,7 +179,7 @@ class SuffixAutomaton:
 def _cuts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 row, _, _, key, body = cut(*raw(block.column(1)), length, gram)
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(row)), signed(key), signed(body)], names=["id", "key", "body"])
 
@@ -200,7 +202,7 @@ def _pieces(length: int, gram: int, shards: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK):
                 data, offsets = raw(block.column("text"))
                 row, first, span, key, _ = (x.tolist() for x in cut(data, offsets, length, gram))
                 ids, of = block.column("id").to_pylist(), block.column("of").to_pylist()
