@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Patterns and classes whose results must agree with what users have today.
 BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CHINESE, ACCENTED = r"[一-鿿]", r"[À-ÿ]"
+PUNCTUATION = "，。、；：？！（）【】《》“”‘’'\"()[]{}.,;:?!-—_/\\|+*#@&%"  # does not count when copies are compared
 CONTENTS = r"\.{6,}|·{6,}|…{4,}|-{6,}"
 HEADING = r"^\s*(#{1,6})\s+(.+)"
 SUFFIXES = {"pdf": "pdf", "md": "md", "txt": "md", "html": "html", "htm": "html", "docx": "docx"}
@@ -46,10 +47,14 @@ def is_contents(text: Column) -> Column:
     return text.rlike(CONTENTS)
 
 
+#: Blanks and PUNCTUATION as one class of a pattern.
+UNCOMPARED = BLANKS[:-1] + "".join(f"\\{c}" if c.isascii() else c for c in PUNCTUATION) + "]"
+
+
 def compared_form(text: Column, digits: bool = False) -> Column:
-    """Letters (and digits, if asked) only, for comparing copies."""
-    bare = F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
-    return bare if digits else F.regexp_replace(bare, r"\p{N}", "")
+    """A text without blanks, PUNCTUATION and (unless asked for) decimal digits, for comparing copies."""
+    bare = F.regexp_replace(text, UNCOMPARED, "")
+    return bare if digits else F.regexp_replace(bare, r"\p{Nd}", "")
 
 
 def char_shingles(text: Column, n: int = 8) -> Column:

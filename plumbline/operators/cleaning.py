@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import Scratch
+from . import similarity
 
 # The thresholds in effect.
-DROP_SCRIPT, MIXED_SCRIPT, REPEAT_CHARS, SAMPLE = 0.05, 0.20, 20, 24
+DROP_SCRIPT, MIXED_SCRIPT, REPEAT_CHARS, SAMPLE, BOILERPLATE, BOILERPLATE_DOCS, ALIKE = 0.05, 0.20, 20, 24, 0.60, 2, 0.60
+HEALTH = {"hard_split": 0.10, "no_title": 0.05, "fragments": 0.10, "low_script": 0.10, "contents": 0.05, "repeated": 0.15}
+SPLIT_TITLE, PAGE_OF_CONTENTS = r"-\d+$", r"\.{6,}|·{6,}|…{4,}"
 
 
-def cleaned(chunks: DataFrame, script: str = T.CHINESE, drop: float = DROP_SCRIPT, mixed: float = MIXED_SCRIPT) -> DataFrame:
+def cleaned(chunks: DataFrame, script: str = T.CHINESE, drop: float = DROP_SCRIPT, mixed: float = MIXED_SCRIPT, boilerplate: float | None = BOILERPLATE, docs: int = BOILERPLATE_DOCS) -> DataFrame:
     """chunks (doc_id, ord, text) with action and lang; the first rule that hits decides.
 
     Blank: drop_short; dotted contents: drop_contents; too little of the script: drop_script; an equal
-    compared form of 20 characters or more earlier among those left: drop_repeat; else keep, as mixed or
-    main. A document that would lose every chunk keeps them all, as fallback without lang.
+    compared form of 20 characters or more earlier among those left: drop_repeat; what so many earlier documents
+    have, see boilerplate_chunks: drop_boilerplate; else keep, as mixed or main. A document that would lose
+    every chunk keeps them all, as fallback without lang. Without a threshold nothing is boilerplate.
     """
     text = F.col("text")
-    ratio, key = T.script_ratio(text, script), T.compared_form(text)
+    ratio, key = T.script_ratio(text, script), T.compared_form(text, digits=True)
     blank = F.length(F.regexp_replace(text, T.BLANKS, "")) == 0
     early = F.when(blank, "drop_short").when(T.is_contents(text), "drop_contents").when(ratio < drop, "drop_script")
     rows = chunks.withColumns({"plumb_ratio": ratio, "plumb_key": key, "plumb_early": early})
@@ -28,26 +33,77 @@ def cleaned(chunks: DataFrame, script: str = T.CHINESE, drop: float = DROP_SCRIP
     rows = rows.withColumn("plumb_nth", nth)
     act = F.coalesce("plumb_early", F.when((F.length("plumb_key") >= REPEAT_CHARS) & (F.col("plumb_nth") > 1), "drop_repeat").otherwise("keep"))
     rows = rows.withColumn("plumb_act", act)
+    if boilerplate is not None:
+        left = rows.where("plumb_act = 'keep'").select("doc_id", "ord", "text", (F.length("plumb_key") >= REPEAT_CHARS).alias("told"))
+        hit = boilerplate_chunks(left, boilerplate, docs).select("doc_id", "ord", F.lit(True).alias("plumb_boiler"))
+        rows = rows.join(hit, ["doc_id", "ord"], "left").withColumn("plumb_act", F.when(F.col("plumb_boiler"), "drop_boilerplate").otherwise(F.col("plumb_act")))
     kept = F.max((F.col("plumb_act") == "keep").cast("int")).over(Window.partitionBy("doc_id"))
     rows = rows.withColumn("plumb_kept", kept)
     lang = F.when((F.col("plumb_kept") == 1) & (F.col("plumb_act") == "keep"), F.when(F.col("plumb_ratio") < mixed, "mixed").otherwise("main"))
     return rows.withColumns({"action": F.when(F.col("plumb_kept") == 0, "fallback").otherwise(F.col("plumb_act")), "lang": lang}).select(*chunks.columns, "action", "lang")
 
 
+def fingerprints(chunks: DataFrame, docs: int = BOILERPLATE_DOCS, k: int = SAMPLE) -> DataFrame:
+    """print, sample, since: the k least shingles that chunks (doc_id, text) of so many documents share, and the last of the first so many ids."""
+    sets = chunks.select("doc_id", T.least_of(T.char_shingles(T.compared_form(F.col("text"))), k).alias("sample"))
+    members, samples = similarity.classes(sets, "sample")
+    nth = F.row_number().over(Window.partitionBy("class").orderBy("doc_id"))
+    since = members.distinct().withColumn("nth", nth).where(F.col("nth") <= docs).where(F.col("nth") == docs)
+    return since.select(F.col("class").alias("print"), F.col("doc_id").alias("since")).join(samples.withColumnRenamed("class", "print"), "print")
+
+
+def boilerplate_chunks(chunks: DataFrame, threshold: float = BOILERPLATE, docs: int = BOILERPLATE_DOCS) -> DataFrame:
+    """Of chunks (doc_id, ord, text, told), those that fit a stored sample of so many earlier documents.
+
+    Chunks that are told to the store leave the sample of their shingles there. A chunk is boilerplate if the
+    Jaccard similarity of its full shingles with a sample that at least so many documents of smaller id have left
+    is threshold or more: the first copies stay, later ones go, whatever the layout of the data.
+    """
+    store = fingerprints(chunks.where("told"), docs)
+    # a sample has k members at most, so larger sets than k / threshold are similar to none
+    sets = chunks.select("doc_id", "ord", T.char_shingles(T.compared_form(F.col("text"))).alias("items")).where(F.size("items") * threshold <= SAMPLE)
+    members, wholes = similarity.classes(sets, "items")
+    pairs = similarity.similar_pairs(wholes, store.select("print", F.col("sample").alias("items")), threshold, left_key="class", right_key="print")
+    first = pairs.join(store.select("print", "since"), "print").groupBy("class").agg(F.min("since").alias("since"))
+    return members.join(first, "class").where("since < doc_id").select("doc_id", "ord")
+
+
 def sketch_neighbours(docs: DataFrame, least: float, k: int = SAMPLE) -> DataFrame:
     """(doc_id, others): with how many other documents a document's k least shingles have a Jaccard similarity of least or more.
 
-    Documents of equal sketches are one class, so copies are counted and never paired; classes meet by shingle.
+    Documents of equal sketches are one class, so copies are counted and never paired; classes meet by rare shingles.
     """
-    sketches = docs.select("doc_id", T.least_of(T.char_shingles(T.compared_form(F.col("text"))), k).alias("sketch")).where(F.size("sketch") > 0)
-    sketches = sketches.select("doc_id", "sketch", F.xxhash64("sketch").alias("class"))
-    classes = sketches.groupBy("class", "sketch").agg(F.count("*").alias("size"))
-    grams = classes.select("class", "size", F.size("sketch").alias("n"), F.explode("sketch").alias("gram"))
-    other = grams.select(F.col("class").alias("c2"), F.col("size").alias("s2"), F.col("n").alias("n2"), "gram")
-    both = grams.join(other, "gram").where(F.col("class") != F.col("c2")).groupBy("class", "c2", "n", "n2", "s2").agg(F.count("*").alias("both"))
-    near = both.where(F.col("both") / (F.col("n") + F.col("n2") - F.col("both")) >= least).groupBy("class").agg(F.sum("s2").alias("near"))
-    counted = classes.select("class", "size").join(near, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("others")).where("others > 0")
-    return sketches.select("doc_id", "class").join(counted, "class").select("doc_id", "others")
+    sketches = docs.select("doc_id", T.least_of(T.char_shingles(T.compared_form(F.col("text"))), k).alias("items"))
+    members, sets = similarity.classes(sketches, "items")
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+    pairs = similarity.similar_pairs(sets, None, least, left_key="class", right_key="other").select("class", "other")
+    both = pairs.unionByName(pairs.select(F.col("other").alias("class"), F.col("class").alias("other")))
+    near = both.join(sizes.withColumnsRenamed({"class": "other", "size": "s2"}), "other").groupBy("class").agg(F.sum("s2").alias("near"))
+    counted = sizes.join(near, "class", "left").select("class", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("others")).where("others > 0")
+    return members.select("doc_id", "class").join(counted, "class").select("doc_id", "others")
+
+
+def repeated_elsewhere(chunks: DataFrame, threshold: float = ALIKE, n: int = 8) -> DataFrame:
+    """Per doc_id: chunks, pairs, ratio: how often a chunk (doc_id, ord, text) has one like it in another document.
+
+    A pair is a chunk and another document with a chunk whose n-grams (blanks left out) have a Jaccard similarity
+    of threshold or more; ratio is pairs by chunks and can pass 1. Chunks of equal text are one class; classes
+    that are alike are found by the prefix join. Chunks without a character are like none.
+    """
+    bare = F.regexp_replace("text", T.BLANKS, "")
+    members = chunks.select("doc_id", bare.alias("bare")).where("bare <> ''").select("doc_id", "bare", F.md5(F.col("bare").cast("binary")).alias("class"))
+    wholes = members.select("class", "bare").dropDuplicates(["class"])
+    pairs = similarity.similar_pairs(wholes, None, threshold, "bare", "class", "other", lambda text: T.char_shingles(text, n)).select("class", "other")
+    pairs = Scratch(chunks.sparkSession, "alike").put(pairs, "pairs")
+    near = pairs.unionByName(pairs.select(F.col("other").alias("class"), F.col("class").alias("other")))
+    at = members.select("class", "doc_id").distinct()
+    # documents of a class and of those like it; a class without any like it needs no join
+    far = near.join(at.withColumnRenamed("class", "other"), "other").select("class", "doc_id").unionByName(at.join(near.select("class").distinct(), "class", "left_semi"))
+    spread = far.groupBy("class").agg(F.count_distinct("doc_id").alias("docs")).unionByName(at.join(near.select("class").distinct(), "class", "left_anti").groupBy("class").agg(F.count("*").alias("docs")))
+    pairs_of = members.groupBy("doc_id", "class").agg(F.count("*").alias("c")).join(spread, "class").groupBy("doc_id").agg(F.sum(F.col("c") * (F.col("docs") - 1)).alias("pairs"))
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    found = sizes.join(pairs_of, "doc_id", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0).cast("long")))
+    return found.select("doc_id", "chunks", "pairs", F.round(F.col("pairs") / F.col("chunks"), 6).alias("ratio"))
 
 
 def profile(chunks: DataFrame, by: str, script: str = T.CHINESE, low: float = 0.30, fragment: int = 80) -> DataFrame:
@@ -64,6 +120,27 @@ def profile(chunks: DataFrame, by: str, script: str = T.CHINESE, low: float = 0.
     return rates.join(median, by).select(by, "n", "median", "longest", "fragments", "low_script", "contents")
 
 
+def health(chunks: DataFrame, script: str = T.CHINESE, low: float = 0.30, fragment: int = 80, limits: dict[str, float] | None = None) -> DataFrame:
+    """Per document of chunks (doc_id, ord, file_title, title, text): n, median, longest, six rates and the faults among them.
+
+    hard_split: titles that end in -number, as the splitter gives them; no_title: chunks under the file's own
+    title; fragments; low_script; contents; repeated: like chunks in other documents, by chunks. Faults are the rates
+    over their limits. Null titles and texts are empty.
+    """
+    limits = HEALTH if limits is None else limits
+    title, text = T.stripped(F.coalesce("title", F.lit(""))), F.coalesce("text", F.lit(""))
+    rows = chunks.select("doc_id", "ord", "file_title", title.alias("title"), text.alias("text"))
+    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    own = F.col("title").eqNullSafe(F.col("file_title"))
+    each = rows.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.element_at(F.array_sort(F.collect_list(F.length("text"))), (F.count("*") / 2).cast("int") + 1).alias("median"), F.max(F.length("text")).alias("longest"),
+        rate(F.col("title").rlike(SPLIT_TITLE) & ~own).alias("hard_split"), rate(own).alias("no_title"), rate(F.length("text") < fragment).alias("fragments"),
+        rate(T.script_ratio(F.col("text"), script) < low).alias("low_script"), rate(F.col("text").rlike(PAGE_OF_CONTENTS)).alias("contents"),
+    )
+    rows = each.join(repeated_elsewhere(rows).select("doc_id", F.col("ratio").alias("repeated")), "doc_id")
+    return rows.join(verdict(rows, "doc_id", limits), "doc_id")
+
+
 def verdict(profiles: DataFrame, by: str, limits: dict[str, float]) -> DataFrame:
     """The rates over their limits, joined by commas."""
     return profiles.select(by, F.concat_ws(",", *(F.when(F.col(name) > limit, name) for name, limit in limits.items())).alias("faults"))

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
+
 # Budgets and limits in effect.
 BUDGET, HISTORY, CLARIFY_TURNS = 12_000, 10, 2
 
 
-def within_budget(rows: DataFrame, key: str, order: str, cost: Column, budget: Column) -> DataFrame:
-    """Rows of each key up to the first that would pass the budget; later, shorter rows are not considered. used: what they cost together."""
+def within_budget(rows: DataFrame, key: str, order: str, cost: Column, budget: Column, spread: bool = False) -> DataFrame:
+    """Rows of each key up to the first that would pass the budget; later, shorter rows are not considered. used: what they cost together.
+
+    spread: keys may have very many rows, so their sums are taken in ranges and no task holds a key.
+    """
+    if spread:
+        return prefix.running(rows, key, order, used=cost).where(F.col("used") <= budget)
     running = F.sum(cost).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", running).where(F.col("used") <= budget)
 

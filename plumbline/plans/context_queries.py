@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import item_key, table_of, without_item
-from ..operators import context, store
+from ..operators import context, prefix, store
 
 QUERIES, SQL = {}, {}
 
@@ -44,7 +44,8 @@ DOCS = """docs AS (SELECT source, doc_id, n, used FROM (SELECT source, doc_id, r
 
 @query(f"WITH {DOCS} SELECT source, doc_id, used::BIGINT AS used FROM docs")
 def o104_document_budget(spark, d):
-    return context.within_budget(table_of(spark, d, "documents", "source", "doc_id", "text"), "source", "doc_id", F.length("text") + 2, F.lit(context.BUDGET)).select("source", "doc_id", "used")
+    rows = table_of(spark, d, "documents", "source", "doc_id", (F.length("text") + 2).alias("cost"))
+    return context.within_budget(rows, "source", "doc_id", F.col("cost"), F.lit(context.BUDGET), spread=True).select("source", "doc_id", "used")
 
 
 @query(f"""WITH {DOCS}, left_ AS (SELECT source, 12000 - max(used) AS rest FROM docs GROUP BY source),
@@ -55,14 +56,13 @@ def o106_o107_chained_budgets(spark, d):
     docs = o104_document_budget(spark, d).groupBy("source").agg((F.lit(context.BUDGET) - F.max("used")).alias("rest"))
     events = table_of(spark, d, "events", "event_id", "user_id", "event_type", "props")
     facts = events.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"), "event_id", (F.length("event_type") + F.length("props") + 1).alias("cost"))
-    return context.within_budget(facts.join(docs, "source"), "source", "event_id", F.col("cost"), F.col("rest")).select("source", "event_id", "used")
+    return context.within_budget(facts.join(docs, "source"), "source", "event_id", F.col("cost"), F.col("rest"), spread=True).select("source", "event_id", "used")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, '[' || n || '] [source=' || source || '] [chunk_id=' || doc_id || ']' AS header FROM docs")
 def o129_citation_header(spark, d):
-    docs = table_of(spark, d, "documents", "source", "doc_id", "text")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    kept = context.within_budget(docs.withColumn("n", n), "source", "doc_id", F.length("text") + 2, F.lit(context.BUDGET))
+    docs = table_of(spark, d, "documents", "source", "doc_id", (F.length("text") + 2).alias("cost"))
+    kept = prefix.running(docs, "source", "doc_id", n=F.lit(1), used=F.col("cost")).where(F.col("used") <= context.BUDGET)
     return kept.select("doc_id", context.citation(F.col("n"), source=F.col("source"), chunk_id=F.col("doc_id"), url=F.lit(None).cast("string")).alias("header"))
 
 

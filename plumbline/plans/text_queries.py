@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import table_of
-from ..operators import cleaning
+from ..operators import cleaning, prefix
 
 QUERIES, SQL = {}, {}
 
@@ -25,7 +25,17 @@ def query(sql: str | None = None):
 B = T.BLANKS
 #: Character 8-grams of t, or t itself.
 GRAMS = "CASE WHEN length(t) >= 8 THEN list_distinct(list_transform(range(1, length(t) - 6), lambda i: substr(t, i, 8))) WHEN length(t) > 0 THEN [t] ELSE []::VARCHAR[] END"
-FORM = r"regexp_replace(regexp_replace({t}, '[^\p{{L}}\p{{N}}]', '', 'g'), '\p{{N}}', '', 'g')"
+UNCOMPARED = T.UNCOMPARED.replace("'", "''")
+
+
+def bare(t: str) -> str:
+    return f"regexp_replace({t}, '{UNCOMPARED}', '', 'g')"
+
+
+def form(t: str) -> str:
+    return f"regexp_replace({bare(t)}, '\\p{{Nd}}', '', 'g')"
+
+
 
 
 @query("SELECT page_id, CASE lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'md' WHEN 'txt' THEN 'md' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'docx' THEN 'docx' END AS reader, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/.]*)(\\.[^/]*)?$', 1) AS title FROM pages")
@@ -66,34 +76,39 @@ def o48_contents_page(spark, d):
     return table_of(spark, d, "documents", "doc_id", "text").select("doc_id", T.is_contents(F.col("text")).alias("contents"))
 
 
-@query(f"SELECT doc_id, md5({FORM.format(t='text')}) AS form_md5, length({FORM.format(t='text')})::INTEGER AS size FROM documents")
+@query(f"SELECT doc_id, md5({form('text')}) AS form_md5, length({form('text')})::INTEGER AS size FROM documents")
 def o49_compared_form(spark, d):
     form = T.compared_form(F.col("text"))
     return table_of(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(form.cast("binary")).alias("form_md5"), F.length(form).alias("size"))
 
 
-@query(f"SELECT doc_id, len({GRAMS}) AS n, list_aggregate(list_slice(list_sort({GRAMS}), 1, 24), 'string_agg', '|') AS sample FROM (SELECT doc_id, {FORM.format(t='text')} AS t FROM documents)")
+@query(f"SELECT doc_id, len({GRAMS}) AS n, list_aggregate(list_slice(list_sort({GRAMS}), 1, 24), 'string_agg', '|') AS sample FROM (SELECT doc_id, {form('text')} AS t FROM documents)")
 def o50_o51_shingle_sample(spark, d):
     rows = table_of(spark, d, "documents", "doc_id", "text").select("doc_id", T.char_shingles(T.compared_form(F.col("text"))).alias("g"))
     return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.when(F.size("g") > 0, F.array_join(T.least_of(F.col("g")), "|")).alias("sample"))
 
 
-@query(f"""WITH g AS (SELECT doc_id, source, {GRAMS} AS g FROM (SELECT doc_id, source, {FORM.format(t='text')} AS t FROM documents)),
+@query(f"""WITH g AS (SELECT doc_id, source, {GRAMS} AS g FROM (SELECT doc_id, source, {form('text')} AS t FROM documents)),
 p AS (SELECT doc_id, g, lag(g) OVER (PARTITION BY source ORDER BY doc_id) AS h FROM g)
 SELECT doc_id, CASE WHEN len(g) > 0 AND len(h) > 0 THEN round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) ELSE 0.0 END::DOUBLE AS similarity FROM p WHERE h IS NOT NULL""")
 def o52_neighbour_jaccard(spark, d):
     rows = table_of(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", T.char_shingles(T.compared_form(F.col("text"))).alias("g"))
-    pairs = rows.withColumn("h", F.lag("g").over(Window.partitionBy("source").orderBy("doc_id"))).where("h is not null")
+    pairs = prefix.with_previous(rows, "source", "doc_id", h="g").where("h is not null")
     return pairs.select("doc_id", T.rounded(T.jaccard(F.col("g"), F.col("h"))).alias("similarity"))
 
 
 LINES = """l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS line FROM documents)"""
 CASCADE = f"""WITH {LINES},
-m AS (SELECT *, CASE WHEN length(regexp_replace(line, '{B}', '', 'g')) > 0 THEN len(regexp_extract_all(line, '[À-ÿ]')) / length(regexp_replace(line, '{B}', '', 'g')) ELSE 0.0 END AS ratio, {FORM.format(t='line')} AS key FROM l),
+m AS (SELECT *, CASE WHEN length(regexp_replace(line, '{B}', '', 'g')) > 0 THEN len(regexp_extract_all(line, '[À-ÿ]')) / length(regexp_replace(line, '{B}', '', 'g')) ELSE 0.0 END AS ratio, {bare('line')} AS key FROM l),
 a AS (SELECT *, CASE WHEN length(regexp_replace(line, '{B}', '', 'g')) = 0 THEN 'drop_short' WHEN regexp_matches(line, '\\.{{6,}}|·{{6,}}|…{{4,}}|-{{6,}}') THEN 'drop_contents' WHEN ratio < 0.05 THEN 'drop_script' END AS early FROM m),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, early IS NULL, key ORDER BY ord) AS nth FROM a),
-c AS (SELECT *, coalesce(early, CASE WHEN length(key) >= 20 AND nth > 1 THEN 'drop_repeat' ELSE 'keep' END) AS act FROM b),
-e AS (SELECT *, max((act = 'keep')::INTEGER) OVER (PARTITION BY doc_id) AS any_kept FROM c)"""
+c AS (SELECT *, coalesce(early, CASE WHEN length(key) >= 20 AND nth > 1 THEN 'drop_repeat' ELSE 'keep' END) AS early_act FROM b),
+shingled AS (SELECT doc_id, ord, length(key) >= 20 AS told, {GRAMS} AS g FROM (SELECT doc_id, ord, key, {form('line')} AS t FROM c WHERE early_act = 'keep')),
+store AS (SELECT sample, doc_id AS since FROM (SELECT DISTINCT list_slice(list_sort(g), 1, 24) AS sample, doc_id FROM shingled WHERE told AND len(g) > 0) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY doc_id) = 2),
+alike AS (SELECT DISTINCT x.doc_id, x.ord FROM (SELECT doc_id, ord, len(g) AS n, unnest(g) AS gram FROM shingled WHERE len(g) <= 40) x JOIN (SELECT sample, since, unnest(sample) AS gram FROM store) y ON x.gram = y.gram AND y.since < x.doc_id
+  GROUP BY x.doc_id, x.ord, x.n, y.sample HAVING count(*) / (x.n + len(y.sample) - count(*)) >= 0.6),
+d AS (SELECT c.*, CASE WHEN alike.doc_id IS NOT NULL THEN 'drop_boilerplate' ELSE early_act END AS act FROM c LEFT JOIN alike ON c.doc_id = alike.doc_id AND c.ord = alike.ord),
+e AS (SELECT *, max((act = 'keep')::INTEGER) OVER (PARTITION BY doc_id) AS any_kept FROM d)"""
 
 
 @query(CASCADE + " SELECT doc_id, ord::INTEGER AS ord, CASE WHEN any_kept = 0 THEN 'fallback' ELSE act END AS action, CASE WHEN any_kept = 1 AND act = 'keep' THEN CASE WHEN ratio < 0.10 THEN 'mixed' ELSE 'main' END END AS lang FROM e")
@@ -106,11 +121,26 @@ def o92_clean_counters(spark, d):
     return cleaning.cleaned(_lines(spark, d), script=T.ACCENTED, mixed=0.10).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+REPEATED = f"""{LINES}, s AS (SELECT doc_id, ord, {GRAMS} AS g FROM (SELECT doc_id, ord, regexp_replace(line, '{B}', '', 'g') AS t FROM l)),
+sets AS (SELECT DISTINCT list_sort(g) AS g FROM s WHERE len(g) > 0), named AS (SELECT row_number() OVER () AS k, g FROM sets), grams AS (SELECT k, len(g) AS n, unnest(g) AS gram FROM named),
+near AS (SELECT x.k, y.k AS other FROM grams x JOIN grams y ON x.gram = y.gram GROUP BY x.k, y.k, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.6),
+member AS (SELECT doc_id, ord, k FROM s JOIN named ON list_sort(s.g) = named.g),
+spread AS (SELECT near.k, count(DISTINCT doc_id) AS docs FROM near JOIN member ON near.other = member.k GROUP BY near.k),
+pairs AS (SELECT doc_id, sum(docs - 1)::BIGINT AS pairs FROM member JOIN spread USING (k) GROUP BY doc_id),
+repeated AS (SELECT doc_id, count(*) AS chunks, coalesce(any_value(pairs), 0)::BIGINT AS pairs, round(coalesce(any_value(pairs), 0) / count(*), 6) AS ratio FROM l LEFT JOIN pairs USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(f"WITH {REPEATED} SELECT * FROM repeated")
+def o83_o94_cross_document_ratio(spark, d):
+    """Per document, (line, other document) pairs with a like line, by lines; the prefix join finds them."""
+    return cleaning.repeated_elsewhere(_lines(spark, d))
+
+
 def _lines(spark, d) -> DataFrame:
     return table_of(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
 
 
-SAMPLES = f"""g AS (SELECT doc_id, source, {GRAMS} AS g FROM (SELECT doc_id, source, {FORM.format(t='text')} AS t FROM documents)),
+SAMPLES = f"""g AS (SELECT doc_id, source, {GRAMS} AS g FROM (SELECT doc_id, source, {form('text')} AS t FROM documents)),
 s AS (SELECT doc_id, source, unnest(list_slice(list_sort(g), 1, 24)) AS gram FROM g),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS doc_id, b.doc_id AS other, count(*) AS common FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -130,6 +160,21 @@ def o94_cross_document_share(spark, d):
     return docs.select("doc_id", "source").join(hit, "doc_id", "left").groupBy("source").agg(F.count("*").alias("docs"), F.count("hit").alias("repeated"), F.round(F.count("hit") / F.count("*"), 6).alias("share"))
 
 
+@query(f"""WITH {REPEATED},
+c AS (SELECT doc_id, ord, line, 'doc' || doc_id AS file_title, CASE WHEN ord % 9 = 8 THEN 'doc' || doc_id WHEN length(line) > 600 THEN lang || '-' || ord ELSE lang END AS title FROM l JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
+p AS (SELECT doc_id, count(*) AS n, list_extract(list_sort(list(length(line))), (count(*) // 2 + 1)::BIGINT)::INTEGER AS median, max(length(line))::INTEGER AS longest,
+round(avg((regexp_matches(title, '-\\d+$') AND title <> file_title)::INTEGER), 6) AS hard_split, round(avg((title = file_title)::INTEGER), 6) AS no_title, round(avg((length(line) < 80)::INTEGER), 6) AS fragments,
+round(avg((CASE WHEN length(regexp_replace(line, '{B}', '', 'g')) > 0 THEN len(regexp_extract_all(line, '[À-ÿ]')) / length(regexp_replace(line, '{B}', '', 'g')) ELSE 0.0 END < 0.05)::INTEGER), 6) AS low_script,
+round(avg(regexp_matches(line, '\\.{{6,}}|·{{6,}}|…{{4,}}')::INTEGER), 6) AS contents FROM c GROUP BY doc_id)
+SELECT p.*, ratio AS repeated, concat_ws(',', CASE WHEN hard_split > 0.10 THEN 'hard_split' END, CASE WHEN no_title > 0.05 THEN 'no_title' END, CASE WHEN fragments > 0.10 THEN 'fragments' END, CASE WHEN low_script > 0.10 THEN 'low_script' END, CASE WHEN contents > 0.05 THEN 'contents' END, CASE WHEN ratio > 0.15 THEN 'repeated' END) AS faults FROM p JOIN repeated USING (doc_id)""")
+def o93_o95_document_health(spark, d):
+    """All rates and limits per document; every ninth line stands under the file's title, long ones under a numbered title."""
+    rows = table_of(spark, d, "documents", "doc_id", "text", "lang").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    file = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    title = F.when(F.col("ord") % 9 == 8, F.concat(file, F.lit(" "))).when(F.length("text") > 600, F.concat("lang", F.lit("-"), F.col("ord").cast("string"))).otherwise(F.col("lang"))
+    return cleaning.health(rows.select("doc_id", "ord", file.alias("file_title"), title.alias("title"), "text"), T.ACCENTED, 0.05)
+
+
 PROFILE = f"""p AS (SELECT source, count(*) AS n, list_extract(list_sort(list(length(text))), (count(*) // 2 + 1)::BIGINT)::INTEGER AS median, max(length(text))::INTEGER AS longest,
 round(avg((length(text) < 80)::INTEGER), 6) AS fragments, round(avg((CASE WHEN length(regexp_replace(text, '{B}', '', 'g')) > 0 THEN len(regexp_extract_all(text, '[À-ÿ]')) / length(regexp_replace(text, '{B}', '', 'g')) ELSE 0.0 END < 0.05)::INTEGER), 6) AS low_script,
 round(avg(regexp_matches(text, '\\.{{6,}}|·{{6,}}|…{{4,}}|-{{6,}}')::INTEGER), 6) AS contents FROM documents GROUP BY source)"""
