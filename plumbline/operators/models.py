@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import tokens
+
 DIMENSIONS = 64
 
 
@@ -60,6 +62,21 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(F.array(sums), lambda v: F.transform(v, lambda x: F.coalesce(x / F.nullif(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(0.0)), F.lit(0.0)).cast("float")))[0]
 
 
+def sparse_embeddings(df: DataFrame, id_col: str, text_col: str, bits: int = 24, digits: int = 6) -> DataFrame:
+    """(id_col, vector): a text's sparse vector as a map from token number to weight, in place of a learned sparse encoder.
+
+    A token's number is the first bits of its MD5; its weight is ln(1 + count), by the norm of the vector. Texts
+    without tokens and null texts have no row. Built-in functions only.
+    """
+    counted = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token"))
+    number = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, bits // 4), 16, 10).cast("int")
+    weighed = counted.select("id", number.alias("token")).groupBy("id", "token").agg(F.log1p(F.count("*")).alias("weight"))
+    entries = F.collect_list(F.struct("token", "weight"))
+    vectors = weighed.groupBy("id").agg(entries.alias("entries"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    scaled = F.transform("entries", lambda x: F.struct(x["token"], F.round(x["weight"] / F.col("norm"), digits).cast("double")))
+    return vectors.select(F.col("id").alias(id_col), F.map_from_entries(scaled).alias("vector"))
+
+
 def overlap_score(question: Column, content: Column, low: float = -7.0, high: float = 5.0) -> Column:
     """The share of a question's words that the content has, on the scale of a cross-encoder."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))

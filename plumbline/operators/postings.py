@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .search import token_counts, top_k
+from .search import tokens, top_k
 
 #: Documents of a range, about; ranges that give a question its first threshold; (question, token) rows that are broadcast.
 RANGE, FIRST, BROADCAST_ROWS = 256, 4, 1_000_000
@@ -47,32 +47,50 @@ def vector_maps(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("vector"))
 
 
+def _placed(rows: DataFrame, total: Column, documents: int) -> DataFrame:
+    """rows (with id) and their band and range by total weight; there are under 5,000 classes, as doubles have exponents of -1074 to 1023."""
+    rows = rows.withColumn("plumb_class", F.floor(4 * F.log2(total)).cast("long"))
+    shares = rows.groupBy("plumb_class").agg(F.ceil(F.count("*") / documents).alias("plumb_shares"))
+    share = F.pmod(F.xxhash64("id"), F.col("plumb_shares"))
+    named = {"band": F.floor(F.col("plumb_class") / 4).cast("int"), "range": F.col("plumb_class") * 10**12 + share}
+    return rows.join(F.broadcast(shares), "plumb_class").withColumns(named).drop("plumb_class", "plumb_shares")
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("band", "range", "token").agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("top"), F.collect_list(F.struct("id", "weight")).alias("postings"))
+
+
+def _written(lists: DataFrame, scratch: Scratch) -> Postings:
+    # a folder for each power of two, so that bands no question opens are not read
+    return Postings(scratch.put(lists.sortWithinPartitions("band", "token"), "lists", by="band"), scratch)
+
+
 def indexed(rows: DataFrame, documents: int = RANGE) -> Postings:
     """The index of sparse vectors (id, token, weight above 0), one row for a token of an id, written in the shared folder.
 
     Rows with a null id or token or a weight that is not above 0 take no part. Nothing is sorted as a whole: a
-    range is a class of total weights (two to the power of quarters) and a share of its ids by hash. A list of postings holds
-    some documents of one range, so the most common token has no long row.
+    range is a class of total weights (two to the power of quarters) and a share of its ids by hash. A list of
+    postings holds documents of one range, so the most common token has no long row.
     """
     scratch = Scratch(rows.sparkSession, "postings")
     good = rows.where("id is not null and token is not null and weight > 0")
-    vectors = good.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("vector"), F.floor(4 * F.log2(F.sum("weight"))).cast("long").alias("class"))
-    vectors = scratch.put(vectors, "vectors")
-    # under 5,000 classes: doubles have exponents of -1074 to 1023
-    shares = F.broadcast(vectors.groupBy("class").agg(F.ceil(F.count("*") / documents).alias("shares")))
-    share = F.pmod(F.xxhash64("id"), F.col("shares"))
-    placed = vectors.join(shares, "class").select(F.floor(F.col("class") / 4).cast("int").alias("band"), (F.col("class") * 10**12 + share).alias("range"), "id", F.inline("vector"))
-    lists = placed.groupBy("band", "range", "token").agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("top"), F.collect_list(F.struct("id", "weight")).alias("postings"))
-    # a folder for each power of two, so that bands no question opens are not read
-    out = scratch.put(lists.sortWithinPartitions("band", "token"), "lists", by="band")
+    vectors = scratch.put(good.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("vector"), F.sum("weight").alias("total")), "vectors")
+    placed = _placed(vectors, F.col("total"), documents).select("band", "range", "id", F.inline("vector"))
+    out = _written(_lists(placed), scratch)
     scratch.drop("vectors")
-    return Postings(out, scratch)
+    return out
 
 
 def indexed_texts(docs: DataFrame, id_col: str, text_col: str, documents: int = RANGE) -> Postings:
-    """The index of a text's token counts, one row of docs for an id; texts are shuffled once by id, not token by token."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return indexed(token_counts(named.repartition("id"), "id", "text"), documents)
+    """The index of the token counts of texts, lower-cased. id_col is unique.
+
+    Whole texts are shuffled once, by range (a class of lengths, as likely totals); their tokens are counted and
+    listed where they lie.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''")
+    here = _placed(named, F.octet_length("text"), documents).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "range")  # a number, as tokens take far more work than their bytes show
+    counted = here.select("band", "range", "id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("band", "range", "token", "id").agg(F.count("*").alias("weight"))
+    return _written(_lists(counted), Scratch(docs.sparkSession, "postings"))
 
 
 @dataclass(frozen=True)
@@ -88,23 +106,25 @@ class Search:
         return some or 0, all_ or 0
 
 
-def search(index: Postings, queries: DataFrame, k: int = 5, first: int = FIRST) -> Search:
+def search(index: Postings, queries: DataFrame, k: int = 5, first: int = FIRST, digits: int | None = None) -> Search:
     """The k best inner products of queries (id, token, weight above 0) with the index; ties go to the smaller id.
 
     Exact: a range is skipped only if its bound is below the score of the k-th hit found before. Queries may be
-    any number; their tokens are broadcast up to BROADCAST_ROWS rows and shuffled beyond.
+    any number; their tokens are broadcast up to BROADCAST_ROWS rows and shuffled beyond. With digits, scores are
+    rounded before they are ranked, and bounds allow for it.
     """
     asked = queries.where("id is not null and weight > 0").select(F.col("id").alias("query_id"), "token", F.col("weight").alias("asked"))
     scratch = Scratch(queries.sparkSession, "search")
     asked = scratch.put(asked, "asked")
     rows = asked.count()
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
-    bound = index.rows.select("band", "range", "token", "n", "top").join(small(asked), "token").groupBy("query_id", "band", "range").agg((F.sum(F.col("top") * F.col("asked")) * (1 + 1e-9)).alias("bound"), F.sum("n").alias("n"))
+    bound = index.rows.select("band", "range", "token", "n", "top").join(small(asked), "token").groupBy("query_id", "band", "range").agg((F.sum(F.col("top") * F.col("asked")) * (1 + 1e-9) + (0 if digits is None else 10**-digits)).alias("bound"), F.sum("n").alias("n"))
     bounds = scratch.put(bound, "bounds")
 
     def scored(wanted: DataFrame) -> DataFrame:
         met = index.rows.select("band", "range", "token", "postings").join(wanted, ["band", "range", "token"])
-        return met.select("query_id", "asked", F.inline("postings")).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).cast("double").alias("score"))
+        score = F.sum(F.col("weight") * F.col("asked")).cast("double")
+        return met.select("query_id", "asked", F.inline("postings")).groupBy("query_id", "id").agg((score if digits is None else F.round(score, digits)).alias("score"))
 
     firsts = scratch.put(top_k(bounds, first, score="bound", tie="range").select("query_id", "band", "range"), "firsts")
     few = F.broadcast if rows * first <= BROADCAST_ROWS else (lambda df: df)

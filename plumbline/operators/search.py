@@ -66,10 +66,14 @@ def dense_hits(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 6)
     return top_k(met.mapInArrow(run, "query_id long, id long, score double"), k)
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, pattern: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
-    """(id, token, weight): a text's sparse vector of token counts, lower-cased."""
-    tokens = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pattern), F.lit(0)))
-    return df.select(F.col(id_col).alias("id"), tokens.alias("token")).groupBy("id", "token").agg(F.count("*").alias("weight"))
+def tokens(text: Column) -> Column:
+    """The words of a text in order, lower-cased: runs of characters other than [\\x20\\x09-\\x0D]. Split at one character, which is far faster than a pattern."""
+    return F.array_remove(F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " "), "")
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, weight): a text's sparse vector of token counts."""
+    return df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("weight"))
 
 
 def sparse_hits(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, table_of
-from ..operators import ranking, search
+from ..operators import models, postings, ranking, search
+from ..sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -42,13 +43,17 @@ qt AS (SELECT id, token, count(*) AS w FROM (SELECT item_id AS id, unnest(regexp
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, t.id, sum(q.w * t.w)::DOUBLE AS score FROM qt q JOIN dt t USING (token) GROUP BY 1, 2) QUALIFY rank <= 5)"""
 
 
-def _tokens(spark, d) -> tuple[DataFrame, DataFrame]:
-    return search.token_counts(table_of(spark, d, "benchmark", "item_id", "text"), "item_id", "text"), search.token_counts(table_of(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+def _asked(spark, d) -> DataFrame:
+    return search.token_counts(table_of(spark, d, "benchmark", "item_id", "text"), "item_id", "text")
+
+
+def _index(spark, d) -> postings.Postings:
+    return postings.indexed_texts(table_of(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query(f"WITH {TOKENS} SELECT query_id, id, score, rank::INTEGER AS rank FROM sparse")
 def o113_sparse_topk(spark, d):
-    return search.sparse_hits(*_tokens(spark, d))
+    return postings.search(_index(spark, d), _asked(spark, d)).hits
 
 
 LABELS = """near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, (10 - abs(a.label - b.label))::DOUBLE AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0) QUALIFY rank <= 5)"""
@@ -68,6 +73,32 @@ def o114_hybrid_weighted(spark, d):
     return search.weighted(_dense(spark, d), near)
 
 
+SPARSE = f"""words AS (SELECT id, ('0x' || substr(md5(token), 1, 6))::INTEGER AS token, sum(w) AS c FROM dt GROUP BY 1, 2), lns AS (SELECT id, token, ln(1 + c) AS weight FROM words),
+norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM lns GROUP BY id), sv AS (SELECT id, token, round(weight / norm, 6) AS weight FROM lns JOIN norms USING (id))"""
+
+
+@query(f"WITH {TOKENS}, {SPARSE} SELECT id AS doc_id, count(*) AS terms, sum(round(weight * 1000000)::BIGINT)::BIGINT AS millionths, sum(token::BIGINT)::BIGINT AS tokens FROM sv GROUP BY id")
+def o147_sparse_embeddings(spark, d):
+    """Sparse vectors of documents as maps, told by their size and sums."""
+    vectors = models.sparse_embeddings(table_of(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    millionths = F.transform(F.map_values("vector"), lambda w: F.round(w * 1_000_000).cast("long"))
+    return vectors.select("doc_id", F.size("vector").cast("long").alias("terms"), total(millionths).alias("millionths"), total(F.map_keys("vector")).alias("tokens"))
+
+
+@query(f"""WITH {DENSE}, {TOKENS}, {SPARSE}, corpus AS (SELECT sv.* FROM sv JOIN embeddings ON vec_id = id),
+other AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, c.id, round(sum(q.weight * c.weight), 6) AS score FROM corpus q JOIN corpus c USING (token) WHERE q.id % 20 = 0 GROUP BY 1, 2) QUALIFY rank <= 5),
+m AS (SELECT query_id, id, max(CASE WHEN leg = 0 THEN x END) AS a, max(CASE WHEN leg = 1 THEN x END) AS b FROM (SELECT query_id, id, (1 + score) / 2 AS x, 0 AS leg FROM dense UNION ALL SELECT query_id, id, 0.5 + atan(score) / 3.141592653589793e0, 1 FROM other) GROUP BY 1, 2),
+s AS (SELECT query_id, id, round(0.5 * coalesce(a, 0.0) + 0.5 * coalesce(b, 0.0), 6)::DOUBLE AS score FROM m)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5""")
+def o114_hybrid_dense_sparse(spark, d):
+    """Documents that have an embedding: cosine of embeddings and inner product of sparse vectors, searched apart and fused by weight."""
+    docs = table_of(spark, d, "documents", "doc_id", "text").join(table_of(spark, d, "embeddings", F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    rows = postings.vector_rows(models.sparse_embeddings(docs, "doc_id", "text"), "doc_id", "vector")
+    sparse = postings.search(postings.indexed(rows), rows.where("id % 20 = 0"), digits=6).hits
+    return search.weighted(_dense(spark, d), sparse)
+
+
 # Legs of a question: sparse hits; documents with most of its least shingles; documents of the sources of sparse hits.
 LEGS = f"""{TOKENS},
 lt AS (SELECT id, token FROM (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY length(token) DESC, token) AS n FROM qt) WHERE n <= 8),
@@ -81,13 +112,14 @@ f AS (SELECT *, round(coalesce(1.0e0 / (a + 60), 0) + coalesce(1.0e0 / (b + 60),
 fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(a, 1073741824), coalesce(b, 1073741824), coalesce(c, 1073741824), id) AS rank FROM f QUALIFY rank <= 10)"""
 
 
-def _legs(spark, d) -> DataFrame:
-    asked, rows = _tokens(spark, d)
+def _legs(spark, d, index: postings.Postings | None = None) -> DataFrame:
+    asked, index = _asked(spark, d), index or _index(spark, d)
     docs = table_of(spark, d, "documents", "doc_id", "source")
-    sparse = search.sparse_hits(asked, rows)
+    sparse = postings.search(index, asked).hits
     longest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("token")), "token"))
-    telling = asked.withColumn("n", longest).where("n <= 8").select("id", "token", F.lit(1).alias("weight"))
-    long = search.sparse_hits(telling, rows.withColumn("weight", F.lit(1)))
+    telling = asked.withColumn("n", longest).where("n <= 8").select(F.col("id").alias("query_id"), "token")
+    counted = index.rows.join(telling, "token").select("query_id", F.inline("postings")).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    long = search.top_k(counted, 5)
     first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
     support = sparse.join(docs, sparse.id == docs.doc_id).groupBy("query_id", "source").agg(F.count("*").cast("double").alias("score"))
     kg = search.top_k(support.join(first, "source").select("query_id", F.col("doc_id").alias("id"), "score"), 5)
@@ -118,13 +150,14 @@ rr AS (SELECT query_id, id, round(12.0e0 * hit / n - 7, 6) AS score FROM ov JOIN
 reranked AS (SELECT rr.query_id, rr.id, rr.score, row_number() OVER (PARTITION BY rr.query_id ORDER BY rr.score DESC, fused.rank) AS rank FROM rr JOIN fused USING (query_id, id))"""
 
 
-def _reranked(spark, d) -> DataFrame:
-    asked, rows = _tokens(spark, d)
-    candidates = ranking.fused(_legs(spark, d))
-    q = asked.select(F.col("id").alias("query_id"), "token")
-    sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = candidates.join(q, "query_id").join(rows.select("id", "token", F.lit(1).alias("hit")), ["id", "token"], "left").groupBy("query_id", "id", "rank").agg(F.count("hit").alias("hit"))
-    scored = found.join(sizes, "query_id").select("query_id", "id", F.round(F.lit(12.0) * F.col("hit") / F.col("n") - 7, 6).alias("score"), F.col("rank").alias("before"))
+def _reranked(spark, d, index: postings.Postings | None = None) -> DataFrame:
+    """The fused hits by the share of the question's distinct tokens that the document has, counted in the texts themselves."""
+    words = lambda c: F.array_distinct(search.tokens(F.col(c)))
+    q = table_of(spark, d, "benchmark", F.col("item_id").alias("query_id"), "text").select("query_id", words("text").alias("asked"))
+    candidates = Scratch(spark, "fused").put(ranking.fused(_legs(spark, d, index)), "fused")
+    docs = table_of(spark, d, "documents", F.col("doc_id").alias("id"), "text")
+    found = docs.join(candidates.join(q, "query_id"), "id").select("query_id", "id", "rank", F.size("asked").alias("n"), F.size(F.array_intersect("asked", words("text"))).alias("hit"))
+    scored = found.select("query_id", "id", F.round(F.lit(12.0) * F.col("hit") / F.col("n") - 7, 6).alias("score"), F.col("rank").alias("before"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "before"))
     return scored.withColumn("rank", rank).drop("before")
 
@@ -173,26 +206,28 @@ def _containing(spark, items: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select(F.explode("found.item_id").alias("item_id"), "doc_id")
 
 
-def _cases(spark, d) -> DataFrame:
+def _cases(spark, d, index: postings.Postings | None = None) -> DataFrame:
     """(query_id, id) of questions and documents that contain their text.
 
     Candidates meet by the question's longest inner token, so no text meets all others; questions of one or
     two tokens have none and are looked for in every document.
     """
-    _, rows = _tokens(spark, d)
+    index = index or _index(spark, d)
     items, docs = table_of(spark, d, "benchmark", "item_id", "text").where("text is not null"), table_of(spark, d, "documents", "doc_id", F.col("text").alias("body"))
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    tokens = search.tokens(F.col("text"))
     # the first and last tokens may be parts of longer ones in a document
     inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
     keyed = items.withColumn("token", F.reduce(inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)))
-    long = keyed.where("token <> ''").join(rows.select(F.col("id").alias("doc_id"), "token"), "token").join(docs, "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
+    met = index.rows.join(keyed.where("token <> ''"), "token").select("item_id", "text", F.explode("postings.id").alias("doc_id"))
+    long = met.join(docs, "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
     return long.unionByName(_containing(spark, keyed.where("token = ''").drop("token"), docs)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
 
 
 @query(f"WITH {METRICS} SELECT * FROM e")
 def o101_o103_case_metrics(spark, d):
-    pairs = _cases(spark, d)
-    return ranking.pair_metrics(pairs.groupBy("query_id").agg(F.count("*").alias("wanted")), pairs, ranking.cliff_cut(_reranked(spark, d)))
+    index = _index(spark, d)
+    pairs = Scratch(spark, "cases").put(_cases(spark, d, index), "pairs")
+    return ranking.pair_metrics(pairs.groupBy("query_id").agg(F.count("*").alias("wanted")), pairs, ranking.cliff_cut(_reranked(spark, d, index)))
 
 
 @query(f"WITH {METRICS} SELECT count(*) AS cases, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('hit_1', 'hit_3', 'hit_5', 'recall_1', 'recall_3', 'recall_5', 'mrr', 'ndcg'))} FROM e")
