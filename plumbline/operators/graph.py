@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..sources.scratch import Scratch
 
 # Names and numbers of the graph rules.
 MENTION, DEFAULT_KIND = "MENTIONED_IN", "RELATED_TO"
@@ -57,17 +61,99 @@ def clean_relations(relations: DataFrame, nodes: DataFrame, kinds: list[str]) ->
     return named.select("item", "head", "kind", "tail").distinct()
 
 
+@dataclass(frozen=True)
+class Store:
+    """Edges written once, clustered so that a join from a node needs no shuffle of edges.
+
+    out, back: relations (item, head, kind, tail) by (item, head) and by (item, tail); mentions: (item, name,
+    chunk_id) by (item, name); names: distinct (item, name) of mentions.
+    """
+
+    out: DataFrame
+    back: DataFrame
+    mentions: DataFrame
+    names: DataFrame
+
+
+def stored(edges: DataFrame, buckets: int | None = None) -> Store:
+    """edges (item, head, kind, tail) as bucketed tables in the shared folder; their number is that of shuffle partitions."""
+    spark = edges.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch, label = Scratch(spark, "graph"), uuid.uuid4().hex
+    all_ = scratch.put(edges.select("item", "head", "kind", "tail").distinct(), "edges", by="kind")
+
+    def clustered(df: DataFrame, name: str, *by: str) -> DataFrame:
+        table = f"plumb_{name}_{label}"
+        df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", f"{scratch.root}/{name}").saveAsTable(table)
+        return spark.table(table)
+
+    relations = all_.where(F.col("kind") != MENTION).select("item", "head", "kind", "tail")
+    mentions = all_.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
+    by_name = clustered(mentions, "mentions", "item", "name")
+    return Store(clustered(relations, "out", "item", "head"), clustered(relations, "back", "item", "tail"), by_name, scratch.put(by_name.select("item", "name").distinct(), "names"))
+
+
+def once(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked (query_id, item, asked) of one question for each set of pairs, and (query_id, first) of all: equal questions are answered once."""
+    pairs = asked.select("query_id", "item", "asked").distinct()
+    sets = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("item", "asked"))).alias("pairs"))
+    firsts = sets.groupBy("pairs").agg(F.min("query_id").alias("first"))
+    return firsts.select(F.col("first").alias("query_id"), F.inline("pairs")), sets.join(firsts, "pairs").select("query_id", "first")
+
+
+def for_all(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows of the questions that were answered, for every question that equals one."""
+    return rows.withColumnRenamed("query_id", "first").join(members, "first").select("query_id", *(c for c in rows.columns if c != "query_id"))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters; none for shorter texts."""
+    places = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+#: Length of the grams by which names meet; shorter names and questions meet by themselves.
+GRAM = 3
+
+
+def near_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, item, asked, name, fits: pairs of one item that may contain each other, and whether they do, in any case.
+
+    A name that contains what is asked holds its rarest gram among the item's names; what is asked contains a name
+    only if it holds the name's rarest gram. So pairs meet by one gram, not all names of an item with all questions.
+    Empty names and questions meet nothing.
+    """
+    low, short = F.lower("name"), F.least(F.length("name"), F.lit(GRAM))
+    known = names.select("item", "name").distinct().where("name <> ''")
+    index = known.select("item", "name", F.explode(F.concat(*(_grams(low, n) for n in range(1, GRAM + 1)))).alias("gram"))
+    often = index.groupBy("item", "gram").agg(F.count("*").alias("names"))
+    pairs = asked.select("query_id", "item", "asked").distinct().where("asked <> ''").withColumn("low", F.lower("asked"))
+    own = F.concat(*(F.when(F.least(F.length("low"), F.lit(GRAM)) == n, _grams(F.col("low"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))
+    # one gram that no name has, and no name contains the question
+    wanted = pairs.select("item", "asked", own.alias("grams")).distinct().select("item", "asked", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, ["item", "gram"])
+    rare = wanted.groupBy("item", "asked", "n").agg(F.count("*").alias("found"), F.min(F.struct("names", "gram")).alias("least")).where("found = n")
+    holding = rare.select("item", "asked", F.col("least.gram").alias("gram")).join(index, ["item", "gram"]).select("item", "asked", "name")
+    # the other way round: names by their rarest gram, questions by all of theirs
+    signed = index.where(F.length("gram") == short).join(often, ["item", "gram"]).groupBy("item", "name").agg(F.min(F.struct("names", "gram")).alias("least"))
+    all_grams = F.concat(*(_grams(F.col("low"), n) for n in range(1, GRAM + 1)))
+    spread = pairs.select("item", "asked", all_grams.alias("grams")).distinct().select("item", "asked", F.explode("grams").alias("gram"))
+    held = spread.join(signed.select("item", "name", F.col("least.gram").alias("gram")), ["item", "gram"]).select("item", "asked", "name")
+    met = holding.unionByName(held).distinct()
+    fits = F.contains(F.lower("name"), F.lower("asked")) | F.contains(F.lower("asked"), F.lower("name"))
+    return pairs.select("query_id", "item", "asked").join(met, ["item", "asked"]).select("query_id", "item", "asked", "name", fits.alias("fits"))
+
+
 def seeds(asked: DataFrame, nodes: DataFrame, exact: int = 1, fuzzy: int = PER_PAIR, total: int = PER_QUERY) -> DataFrame:
     """(query_id, item, asked, name, how): the node of that name, or else up to so many of the item whose name contains it or is contained.
 
-    Fuzzy pairs meet by item, and only for names that no node has; ties go by name. A question has at most total
-    seeds, in order of item, asked and name.
+    Fuzzy pairs meet by rare grams (see near_pairs), and only for names that no node has; ties go by name. A
+    question has at most total seeds, in order of item, asked and name.
     """
     pairs = asked.select("query_id", "item", "asked").distinct()
-    same = pairs.join(nodes.select("item", F.col("name")).distinct(), "item").where(F.col("asked") == F.col("name")).withColumn("how", F.lit("exact"))
+    known = nodes.select("item", "name").distinct()
+    same = pairs.join(known.withColumn("asked", F.col("name")), ["item", "asked"]).select("query_id", "item", "asked", "name").withColumn("how", F.lit("exact"))
     open_ = pairs.join(same, ["query_id", "item", "asked"], "left_anti")
-    low = lambda c: F.lower(F.col(c))
-    near = open_.join(nodes.select("item", "name").distinct(), "item").where((F.col("asked") != "") & (F.contains(low("name"), low("asked")) | F.contains(low("asked"), low("name")))).withColumn("how", F.lit("fuzzy"))
+    near = near_pairs(open_, known).where("fits").drop("fits").withColumn("how", F.lit("fuzzy"))
     n = F.row_number().over(Window.partitionBy("query_id", "item", "asked").orderBy("name"))
     some = same.unionByName(near).withColumn("n", n).where(F.col("n") <= F.when(F.col("how") == "exact", exact).otherwise(fuzzy))
     return _first(some, total, "query_id", "item", "asked", "name").drop("n")
@@ -77,17 +163,18 @@ def _first(rows: DataFrame, k: int, of: str, *order: str) -> DataFrame:
     return rows.withColumn("plumb_n", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where(F.col("plumb_n") <= k).drop("plumb_n")
 
 
-def one_hop(seed_rows: DataFrame, edges: DataFrame, per_seed: int = TRIPLES, total: int = TRIPLES) -> DataFrame:
+def one_hop(seed_rows: DataFrame, edges: DataFrame | Store, per_seed: int = TRIPLES, total: int = TRIPLES) -> DataFrame:
     """(query_id, item, seed, head, kind, tail, other): relations of a seed in both directions, mentions left out.
 
     A triple counts once a question, for the first of its seeds; a question has at most total triples, in order
     of item, seed, head, kind and tail.
     """
     s = seed_rows.select("query_id", "item", F.col("name").alias("seed")).distinct()
-    e = edges.where(F.col("kind") != MENTION)
+    e, f = (edges.out, edges.back) if isinstance(edges, Store) else (edges.where(F.col("kind") != MENTION),) * 2
     shape = ["query_id", "item", "seed", "head", "kind", "tail", "other"]
-    out = s.join(e.withColumns({"seed": F.col("head"), "other": F.col("tail")}), ["item", "seed"]).select(*shape)
-    back = s.join(e.withColumns({"seed": F.col("tail"), "other": F.col("head")}), ["item", "seed"]).select(*shape)
+    # the seed's own columns are the join keys, so that edges clustered by them stay where they are
+    out = s.join(e, (s["item"] == e["item"]) & (s["seed"] == e["head"])).select("query_id", s["item"], "seed", "head", "kind", "tail", F.col("tail").alias("other"))
+    back = s.join(f, (s["item"] == f["item"]) & (s["seed"] == f["tail"])).select("query_id", s["item"], "seed", "head", "kind", "tail", F.col("head").alias("other")).select(*shape)
     n = F.row_number().over(Window.partitionBy("query_id", "item", "seed").orderBy("head", "kind", "tail"))
     near = out.unionByName(back).distinct().withColumn("n", n).where(F.col("n") <= per_seed)
     once = near.groupBy("query_id", "item", "head", "kind", "tail").agg(F.min(F.struct("seed", "other")).alias("s"))
@@ -102,9 +189,9 @@ def node_weights(seed_rows: DataFrame, hops: DataFrame) -> DataFrame:
     return s.unionByName(n).groupBy("query_id", "item", "name").agg(F.max("weight").alias("weight"))
 
 
-def chunk_evidence(weights: DataFrame, edges: DataFrame, top: int = 50) -> DataFrame:
+def chunk_evidence(weights: DataFrame, edges: DataFrame | Store, top: int = 50) -> DataFrame:
     """(query_id, chunk_id, score, entities, rank): chunks that mention weighted nodes; order by score, entities, chunk id, all descending."""
-    m = edges.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
+    m = edges.mentions if isinstance(edges, Store) else edges.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
     scored = weights.join(m, ["item", "name"]).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("entities"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("entities"), F.desc("chunk_id")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)

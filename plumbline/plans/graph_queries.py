@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import table_of
 from ..operators import graph
+from ..sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -109,7 +110,8 @@ seeds AS (SELECT query_id, item, asked, name, how FROM (SELECT *, row_number() O
 
 @query(f"WITH {SEEDS} SELECT * FROM seeds")
 def o76_o118_o122_seeds(spark, d):
-    return graph.seeds(_asked(spark, d), _edges(spark, d).where(F.col("kind") == graph.MENTION).select("item", F.col("head").alias("name")).distinct())
+    asked, members = graph.once(_asked(spark, d))
+    return graph.for_all(graph.seeds(asked, _mentions(spark, d).select("item", "name").distinct()), members)
 
 
 HOPS = f"""{SEEDS},
@@ -118,20 +120,24 @@ near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item
 hops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY item, seed, head, kind, tail) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item, head, kind, tail ORDER BY seed) AS again FROM near) WHERE again = 1) WHERE total <= 50)"""
 
 
-def _hops(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = _edges(spark, d)
-    s = o76_o118_o122_seeds(spark, d)
-    return s, graph.one_hop(s, edges), edges
+def _hops(spark, d) -> tuple[DataFrame, DataFrame, graph.Store, DataFrame]:
+    """Seeds and relations of the first of equal questions, the store of edges, and the questions that equal each."""
+    store = graph.stored(_edges(spark, d))
+    asked, members = graph.once(_asked(spark, d))
+    scratch = Scratch(spark, "hops")
+    s = scratch.put(graph.seeds(asked, store.names), "seeds")
+    return s, scratch.put(graph.one_hop(s, store), "hops"), store, members
 
 
 @query(f"WITH {HOPS} SELECT query_id, item, seed, head, kind, tail, other FROM hops")
 def o77_one_hop(spark, d):
-    return _hops(spark, d)[1]
+    _, hops, _, members = _hops(spark, d)
+    return graph.for_all(hops, members)
 
 
 @query(f"WITH {HOPS} SELECT DISTINCT query_id, '[' || item || '] ' || head || ' -(' || kind || ')-> ' || tail AS triple FROM hops")
 def o121_o127_triple_text(spark, d):
-    return _hops(spark, d)[1].select("query_id", graph.triple_text(F.col("item"), F.col("head"), F.col("kind"), F.col("tail")).alias("triple")).distinct()
+    return o77_one_hop(spark, d).select("query_id", graph.triple_text(F.col("item"), F.col("head"), F.col("kind"), F.col("tail")).alias("triple")).distinct()
 
 
 WEIGHTS = f"""{HOPS},
@@ -140,8 +146,8 @@ weights AS (SELECT query_id, item, name, max(weight) AS weight FROM (SELECT quer
 
 @query(f"WITH {WEIGHTS} SELECT * FROM weights")
 def o89_node_weights(spark, d):
-    s, hops, _ = _hops(spark, d)
-    return graph.node_weights(s, hops)
+    s, hops, _, members = _hops(spark, d)
+    return graph.for_all(graph.node_weights(s, hops), members)
 
 
 EVIDENCE = f"""{WEIGHTS},
@@ -151,8 +157,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query(f"WITH {EVIDENCE} SELECT query_id, chunk_id, score, entities, rank::INTEGER AS rank FROM ranked")
 def o78_o88_o117_chunk_evidence(spark, d):
-    s, hops, edges = _hops(spark, d)
-    return graph.chunk_evidence(graph.node_weights(s, hops), edges)
+    s, hops, store, members = _hops(spark, d)
+    return graph.for_all(graph.chunk_evidence(graph.node_weights(s, hops), store), members)
 
 
 @query(f"WITH {EVIDENCE} SELECT query_id, rank::INTEGER AS rank, chunk_id, o_orderpriority, o_totalprice FROM ranked LEFT JOIN orders ON o_orderkey = chunk_id::BIGINT AND o_orderstatus = 'F'")
