@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,7 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 # Sizes, separators in order, and wording of table sentences.
 LONGEST, SHORTEST, OVERLAP, TITLE_CHARS = 2000, 500, 200, 50
 CHILD, CHILD_OVERLAP = 450, 80
-SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", " "]
+SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ".", "!", "?", ";", " "]
 UNKNOWN, NOTHING, SKIPPED = "未知属性", "无", {"-", "/", "\\", "无", ""}
 SUBJECT, COLUMN = "未知项目", "属性"
 HEADING = r"^\s*(#{1,6})\s+(.+)$"
@@ -52,7 +54,7 @@ def pieces(text: str, size: int, overlap: int, separators: list[str] = SEPARATOR
     """Splits at the first separator there is, joins parts up to size with a tail of overlap, and goes on with the rest inside long parts."""
     here = next((i for i, s in enumerate(separators) if s in text), None)
     if here is None:
-        return [text.strip()] if text.strip() else []
+        return [text] if len(text) >= size else [text.strip()] if text.strip() else []
     mark, out, run = separators[here], [], []
 
     def flush() -> None:
@@ -78,43 +80,67 @@ def pieces(text: str, size: int, overlap: int, separators: list[str] = SEPARATOR
 def _splitter(size: int, overlap: int):
     @F.pandas_udf(ArrayType(StringType()))
     def split(text: pd.Series, room: pd.Series) -> pd.Series:
-        return pd.Series([pieces(t, int(min(size, r)), min(overlap, int(min(size, r)) // 2)) for t, r in zip(text, room, strict=True)])
+        return pd.Series([None if t is None else pieces(t, int(min(size, r)), min(overlap, int(min(size, r)) // 2)) for t, r in zip(text, room, strict=True)])
 
     return split
 
 
 def split_long(sections: DataFrame, longest: int = LONGEST, overlap: int = OVERLAP) -> DataFrame:
-    """Sections over longest characters (title, gap and body) become title-1, title-2, ...; others stay as they are, part null."""
+    """Sections over longest characters (title, gap and body) become title-1, title-2, ...; others stay as they are, part null.
+
+    A body with a table is measured and split with its tables as sentences. A section that fits, or gives one
+    piece, or whose title leaves no room, is left as it was.
+    """
     title = F.substring("title", 1, TITLE_CHARS)
+    rows = sections.withColumn("plumb_text", F.coalesce(linear_tables(F.when(F.contains("body", F.lit("<table>")), F.col("body"))), "body"))
     room = F.lit(longest) - F.length(title) - 2
-    over = F.length(title) + 2 + F.length("body") > longest
-    parts = F.when(over, _splitter(longest, overlap)(F.col("body"), room))
-    rows = sections.withColumn("plumb_parts", parts).withColumn("plumb_many", F.coalesce(F.size("plumb_parts") > 1, F.lit(False)))
+    over = (F.length("plumb_text") > room) & (room > 0)
+    rows = rows.withColumn("plumb_parts", _splitter(longest, overlap)(F.when(over, F.col("plumb_text")), room))
+    rows = rows.withColumn("plumb_many", F.coalesce(F.size("plumb_parts") > 1, F.lit(False)))
     opened = rows.select("*", F.posexplode(F.when(F.col("plumb_many"), F.col("plumb_parts")).otherwise(F.array("body"))).alias("plumb_i", "plumb_body"))
     many = F.col("plumb_many")
     named = {"body": F.col("plumb_body"), "part": F.when(many, F.col("plumb_i") + 1), "title": F.when(many, F.concat(title, F.lit("-"), (F.col("plumb_i") + 1).cast("string"))).otherwise(F.col("title"))}
-    return opened.withColumns(named).drop("plumb_parts", "plumb_many", "plumb_i", "plumb_body")
+    return opened.withColumns(named).drop("plumb_text", "plumb_parts", "plumb_many", "plumb_i", "plumb_body")
+
+
+def _merged(shortest: int):
+    """Rows sorted by document and place: neighbours of one parent gathered, each row looked at once."""
+    names = ["doc_id", "file_title", "ord", "title", "parent_title", "body", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None  # the section in hand; a document's sections go on in the next batch
+        for batch in batches:
+            done = []
+            for doc, file, title, parent, body, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "file_title", "title", "parent_title", "body", "part")), strict=True):
+                body = body or ""
+                if now and now[:2] == [doc, file] and now[4] == parent and len(now[5]) < shortest:
+                    now[3], now[5], now[6] = parent, now[5].rstrip() + "\n\n" + body.lstrip(), 0
+                    continue
+                if now:
+                    done.append(now)
+                now = [doc, file, now[2] + 1 if now and now[:2] == [doc, file] else 0, title, parent, body, part]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in done], schema(batch))
+        if now:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, now, strict=True))], schema(batch))
+
+    def schema(batch: pa.RecordBatch) -> pa.Schema:
+        return pa.schema([(n, pa.int32() if n in ("ord", "part") else batch.schema.field(n).type) for n in names])
+
+    return run
 
 
 def merge_short(sections: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """Neighbours of one parent are joined while what is gathered is under shortest characters; then parts are numbered by parent.
 
-    A fold over a document's sections in order (an aggregate over its sorted array), so documents stay apart.
+    One pass over the sections in their order, so its cost is linear in a document's sections; documents spread over tasks.
     """
-    item = F.struct("ord", F.coalesce("part", F.lit(0)).alias("sub"), "title", "parent_title", "body", "part")
-    kept = "array<struct<title:string,parent_title:string,body:string,part:int>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["parent_title"].alias("title"), last["parent_title"].alias("parent_title"), F.concat(F.rtrim(last["body"]), F.lit("\n\n"), F.ltrim(x["body"])).alias("body"), F.lit(0).alias("part"))
-        own = F.struct(x["title"].alias("title"), x["parent_title"].alias("parent_title"), x["body"].alias("body"), x["part"].cast("int").alias("part"))
-        fits = (F.size(done) > 0) & (last["parent_title"] == x["parent_title"]) & (F.length(last["body"]) < shortest)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(own))).cast(kept)
-
-    folded = sections.groupBy("doc_id", "file_title").agg(F.array_sort(F.collect_list(item)).alias("s")).select("doc_id", "file_title", F.posexplode(F.aggregate("s", F.array().cast(kept), step)).alias("ord", "m"))
-    rows = folded.select("doc_id", "file_title", "ord", "m.*")
+    rows = sections.select("doc_id", "file_title", "ord", F.coalesce("part", F.lit(0)).alias("sub"), "title", "parent_title", "body", F.col("part").cast("int").alias("part"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    shape = f"doc_id {kind['doc_id']}, file_title string, ord int, title string, parent_title string, body string, part int"
+    sorted_ = rows.repartition("doc_id", "file_title").sortWithinPartitions("doc_id", "file_title", "ord", "sub")
+    merged = sorted_.mapInArrow(_merged(shortest), shape)
     n = F.sum(F.col("part").isNotNull().cast("int")).over(Window.partitionBy("doc_id", "parent_title").orderBy("ord"))
-    numbered = rows.withColumn("part", F.when(F.col("part").isNotNull(), n))
+    numbered = merged.withColumn("part", F.when(F.col("part").isNotNull(), n))
     return numbered.withColumn("title", F.when(F.col("part").isNotNull(), F.concat("parent_title", F.lit("-"), F.col("part").cast("string"))).otherwise(F.col("title")))
 
 
@@ -193,29 +219,57 @@ class _Cells(HTMLParser):
         return [[" ".join(self.at.get((i, j), [])) for j in range(width)] for i in range(max(height, self.row + 1))]
 
 
-def _html_table(found: re.Match) -> str:
+def _html_table(table: str) -> str:
     cells = _Cells()
-    cells.feed(found.group())
+    cells.feed(table)
     cells.close()
     grid = cells.grid()
     if cells.row < 0:
-        return found.group()
+        return table
     if not grid or not grid[0]:
         return ""
     return "\n\n" + "\n".join(sentences(grid, cells.named or not grid[0][0] or len(grid[0]) > 2)) + "\n\n"
 
 
-_HTML_TABLE = re.compile(r"<table.*?>.*?</table>", re.I | re.S)
-_ROW, _RULE = re.compile(r"[ \t]*\|.*\|[ \t]*"), re.compile(r"[ \t]*\|[ \t]*[-:]+[-| :]*\|[ \t]*")
+#: Where a table begins or ends.
+_TABLE_TAG = re.compile(r"<(/?)table", re.I)
+
+
+def _without_html_tables(md: str) -> str:
+    """HTML tables as sentences. A table ends at the first closing tag, so of nested ones what follows the inner one is left as it is."""
+    out, done, begun = [], 0, None
+    for tag in _TABLE_TAG.finditer(md):
+        closes = bool(tag.group(1)) and md[tag.end() : tag.end() + 1] == ">"
+        if begun is None and not tag.group(1) and tag.start() >= done:
+            begun = tag.start()
+        elif begun is not None and closes and ">" in md[begun : tag.start()]:
+            out += [md[done:begun], _html_table(md[begun : tag.end() + 1])]
+            done, begun = tag.end() + 1, None
+    return "".join([*out, md[done:]])
+
+
+def _cells_of(line: str) -> list[str] | None:
+    """The cells of a line between pipes; None for other lines."""
+    bare = line.strip(" \t")
+    return bare[1:-1].split("|") if len(bare) > 1 and bare[0] == bare[-1] == "|" else None
+
+
+def _only_marks(cells: list[str]) -> bool:
+    """Nothing but dashes, colons and blanks: such a row divides a table and says nothing."""
+    return not "".join(cells).strip("-: \t") and any(cells)
 
 
 def table_text(md: str) -> str:
     """HTML and pipe tables (a row, a rule, more rows) replaced by their sentences, with a blank line on both sides."""
-    lines, out, i = _HTML_TABLE.sub(_html_table, md).split("\n"), [], 0
+    lines = _without_html_tables(md).split("\n")
+    cells, out, i = [_cells_of(line) for line in lines], [], 0
     while i < len(lines):
-        if i + 2 < len(lines) and _ROW.fullmatch(lines[i]) and _RULE.fullmatch(lines[i + 1]):
-            end = next((k for k in range(i + 2, len(lines)) if not _ROW.fullmatch(lines[k])), len(lines))
-            grid = [[c.strip() for c in line.strip().strip("|").split("|")] for line in lines[i:end] if not re.fullmatch(r"[ \t]*\|[ \t\-|:]+\|[ \t]*", line)]
+        rule = cells[i + 1] if i + 2 < len(lines) else None
+        if cells[i] is not None and rule is not None and _only_marks(rule) and rule[0].strip(" \t"):
+            end = i
+            while end < len(lines) and cells[end] is not None:
+                end += 1
+            grid = [[c.strip() for c in lines[k].strip().strip("|").split("|")] for k in range(i, end) if not _only_marks(cells[k])]
             out.append("\n\n" + "\n".join(sentences(grid, True)) + "\n\n")
             i = end
         else:

@@ -41,6 +41,38 @@ def o07_page_heading(spark, d):
     return _markdown(spark, d).select("doc_id", F.regexp_extract("md", r"(?m)^(# .*)$", 1).alias("heading"))
 
 
+@query("""SELECT p_partkey AS doc_id, '# ' || p_name || E'\\n\\n' || p_brand || E'\\n\\none ' || p_type || ' two' || E'\\n\\n- ' || p_name || E'\\n\\n- ' || p_brand || E' tail\\n\\n  1. a\\n\\n  2. ' || p_type || E'\\n\\n| k | ' || p_name || E' |\\n| --- | --- |\\n| ' || p_type || E' |  |\\n\\n> ' || p_brand || E'\\n\\n> - q\\n\\n```\\n' || p_name || E'\\n x\\n```\\n\\n---\\n\\n![' || p_type || '](i.png)' AS md FROM part""")
+def o06_o10_nested_blocks(spark, d):
+    """A page for every part with blocks inside blocks: paragraphs in items, cells and quotations, text after a nested list, open elements."""
+    page = (
+        "<html><head><title>no</title><script>no()</script></head><body><h1><b>%1$s</b></h1><div>%2$s<p>one <b>%3$s</b> two</div><style>no</style>"
+        "<ul><li><p>%1$s</p></li><li>%2$s<ol><li>a</li><li><p>%3$s</p></li></ol>tail</li></ul><table><tr><th>k<td><p>%1$s</p></td></tr><tr><td><div>%3$s</div></td></tr></table>"
+        "<blockquote><p>%2$s</p><ul><li>q</ul></blockquote><pre>%1$s\n x</pre><hr/><section><img alt='no'><img src=' i.png ' alt='%3$s'></section></body></html>"
+    )
+    rows = table_of(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    return rows.select(F.col("p_partkey").alias("doc_id"), to_markdown(F.format_string(page, "p_name", "p_brand", "p_type"), F.lit("unused title")).alias("md"))
+
+
+GENERATED = r"""p AS (SELECT p_partkey AS doc_id, p_name, p_type, rpad(p_name, 99, 'x') AS s FROM part),
+c AS (SELECT doc_id, 0 AS ord, '# ' || p_name AS title, '# ' || p_name AS parent_title, 'short ' || p_type || E'\n```\n# no heading\n```\n' || repeat('m', 480) AS body, NULL::INTEGER AS part FROM p
+UNION ALL SELECT doc_id, 1, '# ' || p_name || '-1', '# ' || p_name, '- 【k】：' || p_type || '。' || E'
+
+' || repeat(s || '。', 18) || s, 1 FROM p
+UNION ALL SELECT doc_id, 2, '# ' || p_name || '-2', '# ' || p_name, repeat(s || '。', 12) || s, 2 FROM p
+UNION ALL SELECT doc_id, 3, '## Last', '# ' || p_name, '<table><tr><td>stays</td></tr></table>', NULL FROM p)"""
+
+
+@query(f"WITH {GENERATED} SELECT doc_id, ord::INTEGER AS ord, title, parent_title, part, md5(body) AS body_md5, length(body)::INTEGER AS size FROM c")
+def o35_o39_generated_chunks(spark, d):
+    """A manual for every part: a fenced mark that is no heading, a long section with a table that is split, short ones that are not merged over a full one."""
+    s = F.rpad("p_name", 99, "x")
+    table = F.concat(F.lit("<table><tr><td>k</td><td>"), "p_type", F.lit("</td></tr></table>"))
+    first = F.concat(F.lit("# "), "p_name", F.lit("\nshort "), "p_type", F.lit("\n```\n# no heading\n```\n"), F.lit(f"{'m' * 480}\n"))
+    md = F.concat(first, F.lit("## Body\n"), table, F.repeat(F.concat(s, F.lit("。")), 29), s, F.lit("\n## Last\n<table><tr><td>stays</td></tr></table>"))
+    docs = table_of(spark, d, "part", "p_partkey", "p_name", "p_type").select(F.col("p_partkey").alias("doc_id"), F.lit("manual").alias("file_title"), md.alias("md"))
+    return sections.chunks(docs).select("doc_id", "ord", "title", "parent_title", "part", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.length("body").alias("size"))
+
+
 @query()
 def o35_o109_sections(spark, d):
     return sections.headed(_markdown(spark, d))

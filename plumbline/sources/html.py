@@ -1,8 +1,15 @@
-"""HTML pages as Markdown: a small event parser inside an Arrow UDF, so pages spread over tasks."""
+"""HTML pages as Markdown: a small tree of elements inside an Arrow UDF, so pages spread over tasks.
+
+A heading, paragraph, list item, cell or code block owns all text inside it, whatever elements lie between; lists
+right below an item come after it, indented; a quotation marks every line of what it holds; other elements are
+looked through, and each text in them is a line. Paragraphs, items, cells and rows that are left open end where
+the next one begins, as browsers read them.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,106 +17,152 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Which elements do what.
-DROPPED = {"script", "style", "noscript", "head", "iframe"}
-VOID = {"br", "hr", "img", "meta", "link", "input"}
-BLOCKS = {"p", "li", "tr", "td", "th", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-def _squeeze(text: str) -> str:
-    return " ".join(text.split())
-
-
-class _Markdown(HTMLParser):
-    """Collects one line a block; text outside blocks is a line of its own. Unclosed elements end with their parent's end."""
-
-    def __init__(self):
+DROPPED = {"script", "style", "noscript", "head", "iframe", "meta", "link"}
+VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ENDS_PARAGRAPH = HEADINGS | {"p", "ul", "ol", "li", "table", "tr", "td", "th", "pre", "blockquote", "hr", "div", "section", "article", "nav", "header", "footer", "main", "form"}
+#: What an element that begins ends, and the elements past which it does not reach.
+ENDED = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
+#: Elements nested deeper count as their ancestor of this depth.
+DEEPEST = 200
+
+
+class Element:
+    __slots__ = ("tag", "attrs", "inside")
+
+    def __init__(self, tag: str, attrs: dict):
+        self.tag, self.attrs, self.inside = tag, attrs, []
+
+    def texts(self) -> Iterator[str]:
+        for x in self.inside:
+            if isinstance(x, str):
+                yield x
+            else:
+                yield from x.texts()
+
+    def text(self) -> str:
+        return " ".join(" ".join(self.texts()).split())
+
+    def of(self, *tags: str) -> Iterator[Element]:
+        """Elements of these tags inside, at any depth, in their order."""
+        for x in self.inside:
+            if not isinstance(x, str):
+                if x.tag in tags:
+                    yield x
+                yield from x.of(*tags)
+
+
+class _Tree(HTMLParser):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[str] = []
-        self.open: list[str] = []
-        self.text: list[str] = []
-        self.lists: list[list] = []
-        self.rows: list[list[str]] | None = None
-        self.dropped = 0
-
-    def flush(self, tag: str = "") -> None:
-        raw, self.text = "".join(self.text), []
-        text = raw.strip("\n") if tag == "pre" else _squeeze(raw)
-        if tag in ("td", "th"):
-            if self.rows is not None:
-                (self.rows or self.rows.append([]) or self.rows)[-1].append(text)
-        elif not text:
-            return
-        elif re.fullmatch("h[1-6]", tag):
-            self.lines.append("#" * int(tag[1]) + " " + text)
-        elif tag == "li" and self.lists:
-            kind = self.lists[-1]
-            kind[1] += 1
-            mark = f"{kind[1]}." if kind[0] == "ol" else "-"
-            self.lines.append("  " * (len(self.lists) - 1) + f"{mark} {text}")
-        elif tag == "pre":
-            self.lines.append(f"```\n{text}\n```")
-        else:
-            self.lines.append(f"> {text}" if tag == "blockquote" else text)
-
-    def block(self) -> str:
-        return next((t for t in reversed(self.open) if t in BLOCKS), "")
+        self.root = Element("", {})
+        self.open = [self.root]
+        self.dropped: list[str] = []
+
+    def _end(self, tags: set[str], short_of: set[str]) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                del self.open[i:]
+                return
+            if self.open[i].tag in short_of:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in DROPPED:
-            self.dropped += 1
-        if self.dropped:
+        if self.dropped or tag in DROPPED:
+            if tag not in VOID:
+                self.dropped.append(tag)
             return
-        if tag in BLOCKS or tag in ("ul", "ol", "table", "div", "article", "section", "nav", "body"):
-            self.flush(self.block())
-        if tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-        elif tag == "table":
-            self.rows = []
-        elif tag == "tr" and self.rows is not None:
-            self.rows.append([])
-        elif tag == "hr":
-            self.flush(self.block())
-            self.lines.append("---")
-        elif tag == "br":
-            self.flush(self.block()) if not self.block() else self.text.append(" ")
-        elif tag == "img" and (found := dict(attrs)).get("src"):
-            self.flush(self.block())
-            self.lines.append(f"![{found.get('alt') or ''}]({found['src']})")
+        if tag in ENDS_PARAGRAPH:
+            self._end({"p"}, ENDS_PARAGRAPH - {"p"})
+        if tag in ENDED:
+            self._end(*ENDED[tag])
+        made = Element(tag, dict(attrs))
+        self.open[-1].inside.append(made)
+        if tag not in VOID and len(self.open) < DEEPEST:
+            self.open.append(made)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.append(tag)
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED:
-            self.dropped = max(0, self.dropped - 1)
-            return
-        if self.dropped or tag not in self.open:
-            return
-        if tag in BLOCKS or tag in ("ul", "ol", "table", "div", "article", "section", "nav", "body"):
-            self.flush(self.block())
-        while self.open and self.open.pop() != tag:
-            pass
-        if tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-        elif tag == "table" and self.rows is not None:
-            grid, self.rows = [r for r in self.rows if r], None
-            width = max(map(len, grid), default=0)
-            grid = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in grid]
-            if grid:
-                self.lines.append("\n".join([grid[0], "|" + " --- |" * width, *grid[1:]]))
+        if self.dropped:
+            if tag in self.dropped:
+                while self.dropped.pop() != tag:
+                    pass
+        elif any(x.tag == tag for x in self.open):
+            while self.open.pop().tag != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            self.text.append(data)
-            if not self.block():
-                self.flush()
+            self.open[-1].inside.append(data)
+
+
+def _table(table: Element) -> list[str]:
+    rows = [cells for row in table.of("tr") if (cells := [c.text() for c in row.of("td", "th")])]
+    if not rows:
+        return []
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(cells + [""] * (width - len(cells))) + " |" for cells in rows]
+    return ["\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])]
+
+
+def _items(of: Element, depth: int = 0) -> Iterator[str]:
+    """The items right below a list, each followed by the lists right below it; numbers count empty items, too."""
+    for n, item in enumerate((x for x in of.inside if not isinstance(x, str) and x.tag == "li"), 1):
+        own = Element("li", {})
+        lists = []
+        for x in item.inside:
+            (lists if not isinstance(x, str) and x.tag in ("ul", "ol") else own.inside).append(x)
+        if text := own.text():
+            yield "  " * depth + (f"{n}. " if of.tag == "ol" else "- ") + text
+        for x in lists:
+            yield from _items(x, depth + 1)
+
+
+def _lines(of: Element) -> Iterator[str]:
+    for x in of.inside:
+        if isinstance(x, str):
+            if text := " ".join(x.split()):
+                yield text
+        elif x.tag in HEADINGS or x.tag == "p":
+            if text := x.text():
+                yield ("#" * int(x.tag[1]) + " " if x.tag in HEADINGS else "") + text
+        elif x.tag in ("ul", "ol"):
+            yield from _items(x)
+        elif x.tag == "table":
+            yield from _table(x)
+        elif x.tag == "pre":
+            code = "".join(x.texts())
+            if code.strip():
+                yield f"```\n{code}\n```"
+        elif x.tag == "blockquote":
+            yield from ("> " + line for line in _lines(x))
+        elif x.tag == "hr":
+            yield "---"
+        elif x.tag == "br":
+            yield ""
+        elif x.tag == "img":
+            if src := (x.attrs.get("src") or "").strip():
+                yield f"![{(x.attrs.get('alt') or '').strip()}]({src})"
+        else:
+            yield from _lines(x)
 
 
 def markdown_of(html: str, title: str = "") -> str:
-    """Blocks joined by blank lines, with the title on top if there is no first-level heading."""
-    parser = _Markdown()
-    parser.feed(html or "")
-    parser.flush(parser.block())
-    text = "\n\n".join(parser.lines)
+    """Lines of a page's body joined by blank lines, with the title on top if there is no first-level heading; a blank page is empty."""
+    if not html or not html.strip():
+        return ""
+    parser = _Tree()
+    parser.feed(html)
+    parser.close()
+    lines = []
+    for line in _lines(next(parser.root.of("body"), parser.root)):
+        if line or (lines and lines[-1]):  # a line break counts once
+            lines.append(line)
+    text = "\n\n".join(lines).strip()
     return text if not title or re.search(r"(?m)^#\s+", text) else f"# {title}\n\n{text}"
 
 
