@@ -615,3 +615,14 @@ def test_column_helpers_take_slices():
     assert bytes(data) == "çd".encode() and list(offsets) == [0, 0, 0, 3]
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10] * 7)], names=["text"])
     assert [b.num_rows for b in blocks(batch, "text", 25)] == [2, 2, 2, 1]
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scores = []
+    for parts in (1, 4, 16):
+        model = lm_scoring.learned(docs.repartition(parts, "doc_id"), ~lm_scoring.held_out())
+        assert model.groups.where("mix").count() > 0
+        scores.append({r.doc_id: r.score for r in lm_scoring.scored(model).collect()})
+    for other in scores[1:]:
+        assert max(abs(other[i] - x) / max(1, abs(x)) for i, x in scores[0].items()) < 1e-6
