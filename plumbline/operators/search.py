@@ -33,7 +33,12 @@ def dense_hits(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 6)
     blocks = F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks")))
     q = queries.join(blocks).select(F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), "id", "vector")
     r = rows.join(blocks).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"), "id", "vector")
-    met = q.unionByName(r).repartition("block", "slice").sortWithinPartitions("block", "slice", F.desc("asks"))
+    return top_k(products(q.unionByName(r), k, digits), k)
+
+
+def products(met: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, id, score) of rows (block, slice, asks, id, vector): in each block and slice the k best of every query for a batch of rows."""
+    met = met.repartition("block", "slice").sortWithinPartitions("block", "slice", F.desc("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ask_ids, asks = None, [], []
@@ -63,7 +68,7 @@ def dense_hits(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 6)
             columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
 
-    return top_k(met.mapInArrow(run, "query_id long, id long, score double"), k)
+    return met.select("block", "slice", "asks", "id", "vector").mapInArrow(run, "query_id long, id long, score double")
 
 
 def tokens(text: Column) -> Column:

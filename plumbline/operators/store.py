@@ -11,10 +11,10 @@ def replaced(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upserted(stored: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """One row a key, the new one if there is one; one shuffle."""
     both = stored.withColumn("plumb_new", F.lit(0)).unionByName(new.withColumn("plumb_new", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("plumb_new")))
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("plumb_new")))
     return both.withColumn("plumb_n", last).where("plumb_n = 1").drop("plumb_n", "plumb_new")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import item_key, table_of, without_item
 from ..operators import context, prefix, store
+from ..operators.written import ItemTable
+from ..sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -144,6 +146,22 @@ def o28_upsert(spark, d):
     return store.upserted(events.select("event_id", "value"), new, "event_id")
 
 
+@query("""WITH s AS (SELECT p_partkey, p_brand, p_name, p_size FROM part), n AS (SELECT p_partkey + 1000000 AS p_partkey, p_brand, 'new ' || p_name AS p_name, p_size FROM part WHERE p_brand IN ('Brand#11', 'Brand#23') AND p_size > 25),
+r AS (SELECT * FROM s WHERE p_brand NOT IN (SELECT p_brand FROM n) UNION ALL SELECT * FROM n),
+u AS (SELECT p_partkey, p_brand, p_name, -p_size AS p_size FROM r WHERE p_brand = 'Brand#31' UNION ALL SELECT p_partkey + 2000000, p_brand, 'added', 0 FROM s WHERE p_brand = 'Brand#32')
+SELECT p_partkey, p_brand, p_name, p_size FROM (SELECT * FROM r WHERE p_partkey NOT IN (SELECT p_partkey FROM u) UNION ALL SELECT * FROM u) WHERE p_brand <> 'Brand#44'""")
+def o19_o20_o25_o28_written_table(spark, d):
+    """A table in the shared folder keyed by brand: filled, two brands replaced, one upserted, one added to, one cleared; then read."""
+    parts = table_of(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_size")
+    held = ItemTable(spark, f"{Scratch(spark, 'items').root}/parts", "p_partkey long, p_brand string, p_name string, p_size int", "p_brand", 16)
+    held.replace(parts)
+    held.replace(parts.where("p_brand in ('Brand#11', 'Brand#23') and p_size > 25").select((F.col("p_partkey") + 1_000_000).alias("p_partkey"), "p_brand", F.concat(F.lit("new "), "p_name").alias("p_name"), "p_size"))
+    held.upsert(held.of(parts.where("p_brand = 'Brand#31'")).withColumn("p_size", -F.col("p_size")), "p_partkey")
+    held.upsert(parts.where("p_brand = 'Brand#32'").select((F.col("p_partkey") + 2_000_000).alias("p_partkey"), "p_brand", F.lit("added").alias("p_name"), F.lit(0).alias("p_size")), "p_partkey")
+    held.clear(parts.where("p_brand = 'Brand#44'"))
+    return held.rows()
+
+
 @query("SELECT conv_id, turn, CASE WHEN coalesce(trim(CASE WHEN turn % 2 = 0 THEN role END), '') = '' THEN 'item' || conv_id ELSE role END AS item_names FROM conversations")
 def o141_backfill(spark, d):
     known = F.when(F.col("turn") % 2 == 0, F.col("role"))
