@@ -11,7 +11,7 @@ from ..functions.text import table_of
 from ..operators import layout, sections
 from ..sources.html import to_markdown
 from ..sources.session import shared_dir
-from ..streaming import progress
+from ..streaming import progress, sessions
 
 QUERIES, SQL = {}, {}
 
@@ -119,15 +119,16 @@ def _drained(df: DataFrame, mode: str) -> DataFrame:
     In mode complete the last step is the whole result, in mode update every step adds its rows.
     """
     root = f"{shared_dir(df.sparkSession)}/plumb-stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
 
     def write(rows: DataFrame, step: int) -> None:
-        rows.write.mode(how).parquet(f"{root}/rows")
+        # a step that is repeated after a failure takes the place of what it wrote before
+        rows.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/step={step}")
 
-    write(df.sparkSession.createDataFrame([], df.schema), -1)
     run = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/rows")
+    if run.lastProgress is None:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).option("basePath", f"{root}/rows").parquet(f"{root}/rows").select(*df.columns)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
@@ -143,6 +144,25 @@ def stream_task_progress(spark, d):
     return progress.latest(updates).select("task_id", "done", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
+@query("SELECT user_id AS session_id, event_id AS asked_at, event_type AS options FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type IN ('click', 'view', 'signup')) WHERE n = 1 AND event_type <> 'signup'")
+def stream_session_slots(spark, d):
+    """The open slots of sessions, kept in state as events come; what o140 finds in all of them at once."""
+    events = progress.events_stream(spark, f"{d}/events.parq*t").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("place"), F.col("event_type").alias("kind"), "ts")
+    with sessions.rocks(spark):
+        updates = _drained(sessions.slots(events, ("click", "view"), ("signup",)), "update")
+    return sessions.latest(updates).where("options is not null").select("session_id", "asked_at", "options")
+
+
+@query("SELECT conv_id AS session_id, turn AS place, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4")
+def stream_recent_messages(spark, d):
+    """The last four messages of every conversation, kept in state as messages come; the twin of o111."""
+    path = f"{d}/conversations.parq*t"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with sessions.rocks(spark):
+        updates = _drained(sessions.recent(rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("place"), "role"), 4), "update")
+    return sessions.latest(updates).select("session_id", "place", "role")
+
+
 @query()
 def o33_o34_restored_headings(spark, d):
     """Pages without their marks, and the marks put back from the list of headings."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,18 @@ def newest_chunks(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
     return rows.join(last, "file_title").where("plumb_file = plumb_last").drop("plumb_file", "plumb_last")
 
 
+# How inline images look, and what stands for them in logs.
+IMAGE, MASK = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+", "data:image/...;base64,[masked]"
+
+
 def masked(text: Column) -> Column:
     """Inline images in a logged prompt become a short mark."""
-    return F.regexp_replace(text, r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+", "data:image/...;base64,[masked]")
+    return F.regexp_replace(text, IMAGE, MASK)
+
+
+def masked_text(text: str | None) -> str | None:
+    """masked() of one text."""
+    return text and re.sub(IMAGE, lambda _: MASK, text)
 
 
 def append_log(calls: DataFrame, path: str) -> None:
