@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
@@ -61,6 +61,33 @@ def clean_relations(relations: DataFrame, nodes: DataFrame, kinds: list[str]) ->
     return named.select("item", "head", "kind", "tail").distinct()
 
 
+@dataclass(frozen=True)
+class Built:
+    """Counts of a build: chunks, those that were read well and those that failed, and what the former gave."""
+
+    total: int
+    processed: int
+    failed: int
+    entities: int
+    relations: int
+
+    def summary(self) -> str:
+        return f"{self.processed} of {self.total} chunks, {self.failed} failed, {self.entities} entities, {self.relations} relations"
+
+
+def built(extracted: DataFrame) -> tuple[DataFrame, Built]:
+    """extracted (chunk_id, entities array, relations array, error) written once, and its counts, taken in the pass that writes.
+
+    A chunk with an error gives no entities or relations; null arrays are empty.
+    """
+    good = F.col("error").isNull()
+    size = lambda c: F.coalesce(F.sum(F.when(good, F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))), F.lit(0))
+    told = Observation()
+    counted = extracted.observe(told, F.count("*").alias("total"), F.count_if(good).alias("processed"), F.count_if(~good).alias("failed"), size("entities").alias("entities"), size("relations").alias("relations"))
+    rows = Scratch(extracted.sparkSession, "build").put(counted, "chunks")
+    return rows.where("error is null"), Built(**told.get)
+
+
 @dataclass(frozen=True)
 class Store:
     """Edges written once, clustered so that a join from a node needs no shuffle of edges.

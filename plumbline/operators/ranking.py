@@ -12,20 +12,23 @@ CLIFF = {"most": 10, "least": 3, "gap": 0.5, "ratio": 0.25}
 GATE = {"reject_below": 0.0, "note_below": 2.0}
 
 
-def fused(legs: DataFrame, weights: dict[str, float] = LEG_WEIGHTS, k: int = RRF_K, top: int = 10, digits: int = 9) -> DataFrame:
+def fused(legs: DataFrame, weights: dict[str, float] = LEG_WEIGHTS, k: int = RRF_K, top: int = 10, digits: int = 9, payload: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, rank) from (query_id, leg, rank, id): sum over legs of weight / (k + rank).
 
     Legs are named columns added in the order of weights, so sums do not depend on row order. Ties go to
-    the first leg's and then the best rank, then the id. top 0: all.
+    the first leg's and then the best rank, then the id. top 0: all. payload: columns of the hits that the result
+    carries, as the first leg in the order of weights that has the id gave them.
     """
     names = list(weights)
     worst = 1 << 30
     part = lambda n: F.min(F.when(F.col("leg") == n, F.col("rank")))
-    wide = legs.where(F.col("id").isNotNull()).groupBy("query_id", "id").agg(*(part(n).alias(f"r_{n}") for n in names))
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("leg"))
+    told = [F.min_by(F.struct(*payload), F.struct(place, F.col("rank"))).alias("payload")] if payload else []
+    wide = legs.where(F.col("id").isNotNull() & F.col("leg").isin(*names)).groupBy("query_id", "id").agg(*(part(n).alias(f"r_{n}") for n in names), *told)
     score = sum((F.coalesce(F.lit(weights[n]) / (F.col(f"r_{n}") + k), F.lit(0.0)) for n in names), F.lit(0.0))
     order = [F.desc("score"), *(F.coalesce(f"r_{n}", F.lit(worst)) for n in names), "id"]
     ranked = wide.withColumn("score", F.round(score, digits)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return (ranked.where(F.col("rank") <= top) if top else ranked).select("query_id", "id", "score", "rank")
+    return (ranked.where(F.col("rank") <= top) if top else ranked).select("query_id", "id", "score", "rank", *(F.col("payload")[c].alias(c) for c in payload))
 
 
 def cliff_cut(ranked: DataFrame, most: int = CLIFF["most"], least: int = CLIFF["least"], gap: float = CLIFF["gap"], ratio: float = CLIFF["ratio"]) -> DataFrame:

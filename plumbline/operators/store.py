@@ -42,3 +42,11 @@ def first_with_rows(tiers: list[DataFrame], key: str = "query_id") -> DataFrame:
     for i, tier in enumerate(tiers[1:], 2):
         all_ = all_.unionByName(tier.withColumn("tier", F.lit(i)))
     return all_.withColumn("plumb_first", F.min("tier").over(Window.partitionBy(key))).where("tier = plumb_first").drop("plumb_first")
+
+
+def fallback(children: DataFrame, parents_: DataFrame, of_item: Column, key: str = "query_id") -> DataFrame:
+    """Hits of the first tier that a query has any in, with tier: children of its items (1), any children (2), parents of its items (3), any parents (4).
+
+    So a child of another item comes before a parent of the right one.
+    """
+    return first_with_rows([children.where(of_item), children, parents_.where(of_item), parents_], key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import item_key, table_of, without_item
+from ..functions.text import BLANKS, item_key, table_of, without_item
 from ..operators import context, prefix, store
 from ..operators.written import ItemTable
 from ..sources.scratch import Scratch
@@ -126,6 +126,35 @@ def o72_o73_item_context(spark, d):
     return placed.select("source", "k", "doc_id", F.substring("text", F.lit(1), (2500 - F.col("before")).cast("int")).alias("sample"))
 
 
+@query(f"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, trim(regexp_replace(text, '^{BLANKS}+|{BLANKS}+$', '', 'g')) AS content, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, CASE WHEN lang = 'en' THEN 'mixed' ELSE lang END AS lang FROM documents),
+p AS (SELECT *, 20 * regexp_matches(content, '[A-Za-z]{{1,}}[\\- ]?\\d{{2,}}[A-Za-z0-9\\-]*')::INTEGER + 10 * (title <> '' AND title <> source)::INTEGER + 10 * (lang <> 'mixed')::INTEGER - (i - 1) AS s FROM c WHERE i <= 15 AND length(content) >= 10),
+b AS (SELECT source, i, '[切片]-' || i || '-' || content AS piece FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY s DESC, i) <= 3),
+u AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY source ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+v AS (SELECT source, substr(string_agg(piece, chr(10) || chr(10) ORDER BY i), 1, 2500) AS sample FROM u WHERE before <= 2500 GROUP BY source)
+SELECT source, sample, substr(trim(regexp_replace('  "“' || source || '”「 ' || substr(sample, 1, 800) || ' ”"', '^{BLANKS}+|{BLANKS}+$', '', 'g'), '"“”「」'), 1, 150) AS prefix FROM v""")
+def o72_o73_item_sample(spark, d):
+    """The whole rule: titles, numbers before pieces, the budget; and a prefix without blanks and quotes at its ends."""
+    rows = table_of(spark, d, "documents", "source", "doc_id", "lang", "text")
+    title, lang = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("lang")), F.when(F.col("lang") == "en", "mixed").otherwise(F.col("lang"))
+    chunks = rows.select("source", "doc_id", F.col("text").alias("content"), title.alias("title"), F.col("source").alias("file_title"), lang.alias("lang"))
+    samples = context.item_context(chunks, "source", "doc_id")
+    said = F.concat(F.lit('  "“'), "source", F.lit("”「 "), context.content_sample(F.col("sample")), F.lit(' ”"'))
+    return samples.select("source", "sample", context.context_prefix(said).alias("prefix"))
+
+
+TIERED = """h AS (SELECT l_orderkey AS query_id, l_partkey AS parent_uid, l_linenumber AS rank, l_quantity > 30 AS child, l_returnflag = 'R' AS item FROM lineitem),
+t AS (SELECT query_id, parent_uid, rank, CASE WHEN child AND item THEN 1 WHEN child THEN 2 WHEN item THEN 3 ELSE 4 END AS tier FROM h),
+tiers AS (SELECT query_id, parent_uid, rank, tier FROM t UNION ALL SELECT query_id, parent_uid, rank, 2 FROM t WHERE tier = 1 UNION ALL SELECT query_id, parent_uid, rank, 4 FROM t WHERE tier = 3)"""
+
+
+@query(f"WITH {TIERED} SELECT query_id, parent_uid, rank, tier::INTEGER AS tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM tiers) WHERE tier = best")
+def o125_four_tiers(spark, d):
+    """Children of the item, any children, parents of the item, any parents: the first of these that a query has hits in."""
+    rows = table_of(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    hits = rows.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("parent_uid"), F.col("l_linenumber").alias("rank"), (F.col("l_quantity") > 30).alias("child"), (F.col("l_returnflag") == "R").alias("item"))
+    return store.fallback(hits.where("child"), hits.where("not child"), F.col("item")).drop("child", "item")
+
+
 @query("SELECT vec_id, label, len(embedding)::INTEGER AS size, md5(coalesce(NULL::VARCHAR, vec_id::VARCHAR)) AS chunk_uid FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0")
 def o18_validated_insert(spark, d):
     rows = store.valid(table_of(spark, d, "embeddings", "vec_id", "label", "embedding"), "embedding")

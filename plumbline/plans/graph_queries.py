@@ -93,6 +93,19 @@ def o97_graph_counts(spark, d):
     return _edges(spark, d).groupBy("item", "kind").agg(F.count("*").alias("n"))
 
 
+@query("""WITH c AS (SELECT o_orderkey, o_orderstatus = 'P' AS bad, list(DISTINCT l_partkey) FILTER (WHERE l_partkey IS NOT NULL) AS e, count(l_orderkey) AS r FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS processed, count(*) FILTER (WHERE bad) AS failed, coalesce(sum(len(e)) FILTER (WHERE NOT bad), 0)::BIGINT AS entities, coalesce(sum(r) FILTER (WHERE NOT bad), 0)::BIGINT AS relations,
+(SELECT count(*) FROM (SELECT unnest(e) FROM c WHERE NOT bad)) AS written FROM c""")
+def o97_build_counts(spark, d):
+    """Orders as chunks, their parts as entities and lines as relations; pending orders failed. Counts of the pass that writes, beside those of what it wrote."""
+    lines = table_of(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("entities"), F.collect_list("l_linenumber").alias("relations"))
+    orders = table_of(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    chunks = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("chunk_id"), "entities", "relations", F.when(F.col("o_orderstatus") == "P", "pending").alias("error"))
+    rows, counts = graph.built(chunks)
+    written = rows.agg(F.coalesce(F.sum(F.greatest(F.size("entities"), F.lit(0))), F.lit(0)).cast("long").alias("written"))
+    return written.select(*(F.lit(n).cast("long").alias(c) for c, n in vars(counts).items()), "written")
+
+
 @query(f"""WITH {BASE} SELECT DISTINCT item, substr(trim(supplier), 1, 15) AS head, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN p_type ELSE 'RELATED_TO' END AS kind, substr(trim(part), 1, 15) AS tail FROM f
 WHERE (item, substr(trim(part), 1, 15)) IN (SELECT (item, substr(trim(part), 1, 15)) FROM f WHERE l_returnflag = 'A')""")
 def o63_o64_o79_clean_relations(spark, d):

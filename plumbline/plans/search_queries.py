@@ -149,6 +149,16 @@ def o87_rrf_all(spark, d):
     return ranking.fused(_legs(spark, d), top=0)
 
 
+@query(f"""WITH {FUSED}, told AS (SELECT query_id, legs.id, CASE leg WHEN 'vector' THEN 1 WHEN 'hyde' THEN 2 ELSE 3 END AS place, leg, rank, source FROM legs JOIN documents ON doc_id = legs.id),
+first AS (SELECT query_id, id, leg || ':' || rank AS content, source AS title FROM told QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY place, rank) = 1)
+SELECT query_id, id, score, rank::INTEGER AS rank, content, title FROM fused JOIN first USING (query_id, id)""")
+def o81_fused_payload(spark, d):
+    """Fused hits with the content and title that the first leg gave them."""
+    docs = table_of(spark, d, "documents", F.col("doc_id").alias("id"), F.col("source").alias("title"))
+    legs = _legs(spark, d).join(docs, "id").withColumn("content", F.concat("leg", F.lit(":"), F.col("rank").cast("string")))
+    return ranking.fused(legs, payload=("content", "title"))
+
+
 # Rerank: the share of a question's distinct tokens that the document has, scaled to the range of the gate.
 RERANKED = f"""{FUSED},
 ov AS (SELECT query_id, f.id, count(t.token) AS hit FROM fused f JOIN qt q ON q.id = f.query_id LEFT JOIN dt t ON t.id = f.id AND t.token = q.token GROUP BY 1, 2),

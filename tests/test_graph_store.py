@@ -67,3 +67,11 @@ def test_equal_questions_are_answered_once(spark):
     assert sorted(map(tuple, firsts.collect())) == [(1, "y", "a"), (3, "x", "a"), (3, "x", "b"), (9, "x", "a")]
     out = graph.for_all(firsts.select("query_id", F.lit(1).alias("v")).distinct(), members)
     assert sorted(map(tuple, out.collect())) == [(1, 1), (3, 1), (5, 1), (9, 1)] and out.columns == ["query_id", "v"]
+
+
+def test_counts_of_the_pass_that_writes(spark):
+    rows = [(1, ["a", "b"], ["r"], None), (2, None, None, None), (3, ["x"], ["y"], "boom"), (4, [], ["p", "q"], None)]
+    df = spark.createDataFrame(rows, "chunk_id long, entities array<string>, relations array<string>, error string").repartition(3)
+    kept, counts = graph.built(df)
+    assert counts == graph.Built(4, 3, 1, 2, 3) and kept.count() == 3 and counts.summary().startswith("3 of 4")
+    assert graph.built(df.limit(0))[1] == graph.Built(0, 0, 0, 0, 0)
