@@ -18,6 +18,8 @@ ORDER = 3
 #: Weight of the shorter context, in observations.
 PRIOR = 2.0
 SYMBOLS = 256
+#: Characters of a URL that are looked at as one string.
+PIECE = 1000
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -45,7 +47,8 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
 
     A URL without rule is allowed if its score reaches the threshold. Null URLs, URLs without "://" and
     empty host and path have no characters: allowed, as is every URL while one class has no example.
-    Repeated rows count and are returned as often as they come. No rows in: no rows out.
+    Repeated rows count and are returned as often as they come. No rows in: no rows out. A URL of any length is
+    judged by all its characters, in time linear in them. Other columns of pages are not looked at.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col).cast("string"))
@@ -54,9 +57,11 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     # equal host and path are judged once, however often they come
     urls = scratch.put(rows.groupBy("host", "path", "ruled").agg(F.count("*").alias("times")).withColumn("url", F.monotonically_increasing_id()), "urls")
     text = F.concat(F.lit("^" * ORDER), "host", "path")
-    spots = F.explode(F.sequence(F.lit(1), F.length("host") + F.length("path")))
-    runs = urls.where("host <> '' or path <> ''").select("url", "ruled", "times", text.alias("s"), spots.alias("i"))
-    runs = runs.select("url", "ruled", "times", F.substring("s", F.col("i"), F.lit(ORDER + 1)).alias("run"))
+    # a place in a string is found from its start, so long URLs are first cut into pieces that overlap by a context
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + ORDER}}})).{{1,{PIECE}}}"), F.lit(1))
+    cut = urls.where("host <> '' or path <> ''").select("url", "ruled", "times", F.explode(pieces).alias("piece")).where(F.length("piece") > ORDER)
+    spots = F.explode(F.sequence(F.lit(1), F.length("piece") - ORDER))
+    runs = cut.select("url", "ruled", "times", "piece", spots.alias("i")).select("url", "ruled", "times", F.substring("piece", F.col("i"), F.lit(ORDER + 1)).alias("run"))
     count = lambda verdict: F.sum(F.when(F.col("ruled") == verdict, F.col("times")).otherwise(0))
     seen = scratch.put(runs.groupBy("run").agg(count("allow").alias("na"), count("block").alias("nb"), F.count("*").alias("weight")), "runs")
 
