@@ -147,6 +147,12 @@ def blob_sha1(content: Column) -> Column:
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "utf-8"), F.unhex(F.lit("00")), content.cast("binary")))
 
 
+def fetched_fault(content: Column, wanted: Column, least: int = 50_000, signature: str = "%PDF") -> Column:
+    """What is wrong with a fetched file (binary), the first of: size, signature, blob; null if nothing is. A null wanted blob id is not compared."""
+    starts = F.substring(content, 1, len(signature)) == F.lit(signature).cast("binary")
+    return F.when(content.isNull() | (F.octet_length(content) < least), "size").when(~starts, "signature").when(wanted != blob_sha1(content), "blob")
+
+
 def route(path: Column) -> Column:
     """The reader for a file by its suffix; null for others."""
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))

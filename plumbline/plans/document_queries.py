@@ -177,3 +177,16 @@ def o45_image_context(spark, d):
     links = F.regexp_replace("html", '<a href="([^"]*)"', "\n![x](<$1>)\n")
     docs = table_of(spark, d, "pages", F.col("page_id").alias("doc_id"), "html").select("doc_id", F.regexp_replace(F.regexp_replace(links, r"!\[x\]\(<", "![x]("), r">\)\n", ")\n").alias("md"))
     return layout.images(docs).groupBy("doc_id").agg(F.count("*").alias("images"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_name, p_brand, p_type FROM part)
+SELECT doc_id, 'img/' || p_brand || '.png' AS name, '## ' || p_name AS heading, repeat('a', 150) || chr(10) || 'near ' || p_type AS before, 'after ' || p_name || ' goes on' AS after FROM p
+UNION ALL SELECT doc_id, 'last.png', '# ' || p_type, '', repeat('z', 300) FROM p""")
+def o45_image_contexts(spark, d):
+    """Images of a made page for every part: paragraphs within the section, nearest first, while there is room; the first always."""
+    page = (
+        "# %3$s\n![two](last.png)\n%5$s\n\nno room for this\n## %1$s\nfar %1$s and too long to be kept here, by any count of characters\n\n%4$s\n\nnear %3$s\n![x](img/%2$s.png 'title')\nafter %1$s\ngoes on\n\n"
+        "%5$s\n## Next\nother section\n![again](img/%2$s.png)\n"
+    )
+    md = F.format_string(page, "p_name", "p_brand", "p_type", F.lit("a" * 150), F.lit("z" * 300))
+    return layout.images(table_of(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type").select(F.col("p_partkey").alias("doc_id"), md.alias("md")))

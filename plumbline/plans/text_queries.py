@@ -59,6 +59,17 @@ def o16_blob_id(spark, d):
     return table_of(spark, d, "documents", "doc_id", "text").select("doc_id", T.blob_sha1(F.col("text")).alias("blob_id"))
 
 
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN encode(text) ELSE encode('%PDF' || text) END AS content, text FROM documents),
+w AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'another' WHEN doc_id % 3 = 0 THEN sha1(encode('blob ' || octet_length(content)) || '\\x00'::BLOB || content) END AS wanted FROM f)
+SELECT doc_id, CASE WHEN octet_length(content) < 1000 THEN 'size' WHEN content[1:4] <> '%PDF'::BLOB THEN 'signature' WHEN wanted <> sha1(encode('blob ' || octet_length(content)) || '\\x00'::BLOB || content) THEN 'blob' END AS fault FROM w""")
+def o16_fetched_faults(spark, d):
+    """Texts as fetched files, some without the signature or with another blob id than the catalogue's."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("%PDF"), "text"))
+    files = table_of(spark, d, "documents", "doc_id", "text").select("doc_id", text.cast("binary").alias("content"))
+    wanted = F.when(F.col("doc_id") % 7 == 0, "another").when(F.col("doc_id") % 3 == 0, T.blob_sha1(F.col("content")))
+    return files.select("doc_id", T.fetched_fault(F.col("content"), wanted, 1000).alias("fault"))
+
+
 @query("""SELECT page_id, CASE WHEN length(html) = 0 THEN 0.0 WHEN h = 0 THEN 1.0 ELSE round(greatest(0.0, least(1.0, 1 - h / greatest(1.0, n / 25.0))), 6) END::DOUBLE AS rate
 FROM (SELECT page_id, html, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(#{1,6})\\s+(.+)'))) AS h FROM (SELECT page_id, html, string_split(regexp_replace(html, '<h([1-6])>', chr(10) || '# ', 'g'), chr(10)) AS ls FROM pages))""")
 def o31_hard_split_rate(spark, d):

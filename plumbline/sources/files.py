@@ -63,8 +63,18 @@ def append_log(calls: DataFrame, path: str) -> None:
     calls.withColumns(text | {"stage": failed}).write.mode("append").partitionBy("stage").json(path)
 
 
-def backup(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").json(path)
+def backup(chunks: DataFrame, folder: str, cleaned: bool = False) -> None:
+    """Chunks as JSON lines under folder: as they were cut (chunks.json) or as they were cleaned (chunks_cleaned.json)."""
+    chunks.write.mode("overwrite").json(f"{folder}/{'chunks_cleaned' if cleaned else 'chunks'}.json")
+
+
+def backup_markdown(docs: DataFrame, folder: str) -> None:
+    """The texts of docs (file_title, md) as they are after their images were described: a folder <title>_new.md with the text for each.
+
+    Titles are unique. Runs of a document's lines stay together, as a document is one row.
+    """
+    rows = docs.select(F.concat(F.regexp_replace("file_title", r"[/\\\\]", "_"), F.lit("_new.md")).alias("file"), F.coalesce("md", F.lit("")).alias("value"))
+    rows.write.mode("overwrite").partitionBy("file").text(folder)
 
 
 def report(summary: DataFrame, path: str) -> None:

@@ -43,7 +43,12 @@ def test_log_and_report(spark, tmp_path):
     files.report(calls.groupBy("stage").count(), f"{tmp_path}/report")
     assert spark.read.option("header", True).csv(f"{tmp_path}/report").first()["count"] == "2"
     files.backup(calls, f"{tmp_path}/backup")
-    assert spark.read.json(f"{tmp_path}/backup").count() == 2
+    files.backup(calls.limit(1), f"{tmp_path}/backup", cleaned=True)
+    assert spark.read.json(f"{tmp_path}/backup/chunks.json").count() == 2 and spark.read.json(f"{tmp_path}/backup/chunks_cleaned.json").count() == 1
+    files.backup_markdown(spark.createDataFrame([("a/b", "# x\n\ny"), ("c", None)], "file_title string, md string"), f"{tmp_path}/md")
+    rows = spark.read.text(f"{tmp_path}/md", wholetext=True).select("file", "value").collect()
+    back = {r.file: r.value for r in rows}
+    assert back == {"a_b_new.md": "# x\n\ny\n", "c_new.md": "\n"}
 
 
 def test_model_adapter_and_stand_ins(spark):
