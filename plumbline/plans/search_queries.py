@@ -208,19 +208,26 @@ round(coalesce(1.0e0 / min(rank) FILTER (WHERE gain > 0), 0), 6) AS mrr, sum(gai
 e AS (SELECT * EXCLUDE (wanted, dcg, n), round(coalesce(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, n::BIGINT + 1), lambda i: 1 / log2(i + 1))) END, 0), 6)::DOUBLE AS ndcg FROM m)"""
 
 
-#: Questions without an inner token that all documents meet at once.
-BLOCK = 256
+#: Questions without an inner token that all documents meet at once, and bytes of such questions that are broadcast.
+BLOCK, BROADCAST_BYTES = 256, 16 << 20
 
 
 def _containing(spark, items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) by contains alone: each block of items meets all documents, in slices."""
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = F.broadcast(items.agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    asked = items.join(blocks).groupBy(F.pmod(F.xxhash64("item_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("item_id", "text")).alias("asked"))
-    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    rows = docs.join(blocks).where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
-    met = rows.join(asked, ["block", "slice"]).select("doc_id", F.filter("asked", lambda x: F.contains(F.col("body"), x["text"])).alias("found"))
-    return met.select(F.explode("found.item_id").alias("item_id"), "doc_id")
+    """(item_id, doc_id) by contains alone: each block of items meets all documents, where they lie if the items are few, in slices beyond."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = -(-n // BLOCK)
+    if not n:
+        return docs.limit(0).select(F.lit(None).cast("long").alias("item_id"), "doc_id")
+    asked = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "text")).alias("asked"))
+    rows = docs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if size <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(asked), "block")
+    else:
+        slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        met = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")).join(asked, ["block", "slice"])
+    found = met.select("doc_id", F.filter("asked", lambda x: F.contains(F.col("body"), x["text"])).alias("found"))
+    return found.select(F.explode("found.item_id").alias("item_id"), "doc_id")
 
 
 def _cases(spark, d, index: postings.Postings | None = None) -> DataFrame:

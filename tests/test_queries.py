@@ -54,7 +54,9 @@ def pairs_by_sql(path):
     return sorted(rows)
 
 
-def test_cases_are_all_that_contain(spark, tmp_path):
+@pytest.mark.parametrize("size", [search_queries.BROADCAST_BYTES, 0])
+def test_cases_are_all_that_contain(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(search_queries, "BROADCAST_BYTES", size)
     items = ["short first then unquestionably", "alpha", "two words", "absent here now", None, "x " * 10_050 + "lastinnertoken end"]
     docs = ["a short first then unquestionablyglued", "alphabet of two wordsmiths", items[5] + "ing", None, "alpha"]
     for name, key, texts in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
