@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import LONG, ODD, SHAPE
 
-from plumbline.llm import toxicity, url_filters
+from plumbline.llm import minhash_dedup, toxicity, url_filters
 from plumbline.llm.shared import table
 
 
@@ -58,3 +58,24 @@ def test_pipeline_with_long_texts_and_clashing_columns(spark, sf):
         assert left[6] == LONG and None in left and left[4] == "", name
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == len(ODD)
+
+
+def chain(n, words=60, step=3, seed=0):
+    """Texts of which each is like the next only: a window that moves over a long row of words."""
+    rng = random.Random(seed)
+    row = [f"c{seed}w{rng.randrange(10**9)}" for _ in range(words + step * n)]
+    return [" ".join(row[step * i : step * i + words]) for i in range(n)]
+
+
+@pytest.mark.parametrize("whole", [1, 20, 4096])
+def test_chained_near_copies(spark, whole):
+    """Large groups are compared by buckets, small ones whole: the classes are those of all pairs."""
+    from test_llm_operators import classes
+
+    random.seed(72)
+    texts = chain(60, seed=1) + chain(25, step=7, seed=2) + chain(10, step=30, seed=3)
+    texts += [" ".join(w if random.random() > 0.04 else f"z{random.randrange(50)}" for w in t.split()) for t in texts[::3]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, k=2, whole=whole).collect()}
+    assert got == classes(rows, 2)
