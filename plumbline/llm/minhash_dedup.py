@@ -6,8 +6,8 @@ gives coordinate k as the least pi(sigma(x) + k). Here both are bijections of 32
 Plan: (a) one Python pass makes each document's set fingerprint and band hashes; (b) documents with equal
 sets become one class, by a map-side minimum; (c) in each band bucket every member is compared with two
 hubs, on full sets; (d) members of a group of buckets that are still apart are compared in blocks, by
-signature and then on full sets: of a small group all, of a large one (made by chains) those that share a
-bucket; (e) components. No step lists the pairs of a group: a block gives at most one link for two components. Joins that carry texts or bands are sort-merge joins at every size.
+signature and then on full sets: all of a group, or, of one with very many apart (made by chains), those that
+share a bucket; (e) components. No step lists the pairs of a group: a block gives at most one link for two components. Joins that carry texts or bands are sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ K = ROWS * BANDS
 AGREE_AT = 4.75
 #: Documents of a group that are compared at once: those still apart, and all.
 PROBES, MEMBERS = 256, 1024
-#: Members of a group that are compared as one; those of a larger group are compared in each bucket that they share.
-WHOLE = 4096
+#: Members still apart up to which a group is compared as one; beyond, each bucket of it is, as that copies a member BANDS times at most.
+WHOLE = PROBES * BANDS
 #: A hub is tried first on members that meet it in so many buckets (at 0.8 a pair meets in 11 of 42); step (d) takes the rest.
 MEETINGS = 3
 _SHIFT = np.arange(1, K + 1, dtype=np.uint32)[:, None]
@@ -217,13 +217,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facing_of = lambda df, by: df.select(by, F.col("top.part").alias("top"), parts(F.col("m") - F.col("top.c"), PROBES).alias("blocks"), parts(F.col("m"), MEMBERS).alias("slices"))
     apart = scratch.put(apart, "apart")
     # a group that chains have made large is taken apart again: its members are compared in each bucket, of equal buckets in one
-    large = placed.join(apart.where(F.col("m") > whole).select("group"), "group", "left_semi").select("id", "part")
+    large = placed.join(apart.where(F.col("m") - F.col("top.c") > whole).select("group"), "group", "left_semi").select("id", "part")
     crowd = scratch.put(members.hint("merge").join(large, "id"), "crowd")
     per_part = crowd.groupBy("bucket", "part").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("id")).alias("x"))
     mixed = per_part.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("top"), F.sum("h").alias("h"), F.bit_xor("x").alias("x")).where("m > top.c")
     mixed = facing_of(mixed.groupBy("m", "h", "x").agg(F.min(F.struct("bucket", "top")).alias("b")).select("m", "b.bucket", "b.top"), "bucket")
     in_buckets = crowd.join(mixed, "bucket").withColumn("group", F.col("bucket")).drop("bucket").withColumn("kind", F.lit(1))
-    in_groups = placed.join(facing_of(apart.where(F.col("m") <= whole), "group"), "group").withColumn("kind", F.lit(0))
+    in_groups = placed.join(facing_of(apart.where(F.col("m") - F.col("top.c") <= whole), "group"), "group").withColumn("kind", F.lit(0))
     open_ = in_groups.unionByName(in_buckets).join(sets, "id")
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
