@@ -21,7 +21,7 @@ _BYTE = _SEEDED.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, limit: int = 512 << 10, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most limit bytes of text and so many rows, or one row."""
     i = batch.schema.get_field_index(column)
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
