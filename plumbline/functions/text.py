@@ -23,6 +23,11 @@ def table_of(spark, sf_dir: str, name: str, *columns: str):
     return df.select(*columns) if columns else df
 
 
+def spread(rows, *by: str):
+    """rows dealt anew over the session's shuffle partitions, for work that is far more than the bytes of a small file show."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def unix_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 

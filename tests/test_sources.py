@@ -67,3 +67,23 @@ def test_model_adapter_and_stand_ins(spark):
     v = df.select(models.hashed_embedding(F.col("text")).alias("v"), models.overlap_score(F.col("text"), F.lit("text 0")).alias("s")).collect()
     assert all(len(r.v) == 64 and abs(sum(x * x for x in r.v) - 1) < 1e-6 for r in v) and v[0].s == 5.0
     assert spark.range(1).select(models.hashed_embedding(F.lit("")).alias("v")).first().v == [0.0] * 64
+
+
+def test_batches_of_workers_are_bounded_by_bytes(spark):
+    """3,000 rows of 10 KB came as one batch before."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from plumbline.sources import session
+
+    @F.pandas_udf("long")
+    def together(text: pd.Series) -> pd.Series:
+        return pd.Series([int(text.str.len().sum())] * len(text))
+
+    rows = session.ship(spark).range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert 0 < rows.select(F.max(together("t"))).first()[0] <= session.BATCH_BYTES + 20_000
+    spark.conf.set(session._BATCH, "1000000")
+    session.ship(spark)
+    assert spark.conf.get(session._BATCH).rstrip("b") == "1000000"
+    spark.conf.unset(session._BATCH)
+    session.ship(spark)
