@@ -8,11 +8,21 @@ meet are confirmed on the whole sets. Equal sets are best made one class first (
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams
+from ..sources.scratch import Scratch
+
+#: Counters of runs, and how many of them are one row when they are added up.
+COUNTERS, RUN = 1 << 21, 1 << 12
+#: Runs that two texts must share among the first of each, before the texts are looked at (or all that they must share).
+SHARED = 16
+
 
 def classes(rows: DataFrame, items: str) -> tuple[DataFrame, DataFrame]:
     """rows with class (md5 of the sorted members) in place of items, and the classes with their items; empty sets have none."""
@@ -77,3 +87,83 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, it
     common = F.size(F.array_intersect("plumb_x", "plumb_y"))
     counted = full.select(left_key, right_key, common.alias("common"), (F.size("plumb_x") + F.size("plumb_y")).alias("plumb_n"))
     return counted.select(left_key, right_key, "common", (F.col("common") / (F.col("plumb_n") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _counted(n: int):
+    """Texts to how many of them have a run of each counter, as rows of RUN counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, grams.hashes(text, n) & (COUNTERS - 1), 1)
+        parts = counts.reshape(-1, RUN)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["run", "counts"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, counts) sorted by run, added up."""
+    now, total = None, None
+    for batch in batches:
+        done = []
+        for run, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if run != now:
+                done += [(now, total.tobytes())] if now is not None else []
+                now, total = run, np.zeros(RUN, np.int64)
+            total += np.frombuffer(counts, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([c for _, c in done], pa.binary())], names=["run", "counts"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["run", "counts"])
+
+
+def _prefixes(shared, n: int, threshold: float):
+    """(id, text) to (gram, id, n, place): the runs of a text that must meet one of a similar text, by the order of their counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = grams.hashes(text, n)
+                h = h[np.argsort(often[h & (COUNTERS - 1)], kind="stable")]  # equal counts stay in the order of the hashes
+                first = h[: h.size - int(np.ceil(h.size * threshold - 1e-9)) + SHARED]
+                out.append((first, np.full(first.size, key), np.full(first.size, h.size, np.int32), np.arange(1, first.size + 1, dtype=np.int32)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "n", "place"])
+
+    return run
+
+
+def similar_texts(texts: DataFrame, threshold: float, n: int = 8) -> DataFrame:
+    """a, b, similarity of all pairs of texts (id long, text), a < b, whose sets of runs of n characters have a Jaccard similarity of threshold or more.
+
+    The order of runs is that of COUNTERS counters, which are broadcast: any order finds all pairs, and one that
+    puts rare runs first lets few meet. So only the first runs of a text are sent, once; those that no other text
+    sent go before they meet. texts are read several times and are best written; ids are unique.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold is above 0 and at most 1")
+    spark = texts.sparkSession
+    counters = texts.select("text").mapInArrow(_counted(n), "run long, counts binary").repartition("run").sortWithinPartitions("run").mapInArrow(_added, "run long, counts binary")
+    often = np.zeros((COUNTERS // RUN, RUN), np.int64)
+    for row in counters.collect():  # COUNTERS numbers at most
+        often[row.run] = np.frombuffer(row.counts, np.int64)
+    shared = spark.sparkContext.broadcast(often.ravel())
+    sent = texts.select("id", "text").mapInArrow(_prefixes(shared, n, threshold), "gram long, id long, n int, place int")
+    met = sent.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).where("sets > 1").drop("sets")
+    x = Scratch(spark, "met").put(met, "met")
+    y = x.withColumnsRenamed({"id": "id2", "n": "n2", "place": "place2"})
+    pairs = x.hint("merge").join(y, "gram").where("id < id2")
+    pairs = pairs.where((F.col("n2") >= _least(F.col("n"), threshold)) & (F.col("n") >= _least(F.col("n2"), threshold)))
+    # members before the meeting place are no more common than those the pair may share before it
+    rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + F.least("place", "place2")
+    overlap = _least(F.col("n") + F.col("n2"), threshold / (1 + threshold))
+    # of the runs that they share, all but those beyond both first parts, so SHARED at least, lie in both
+    pairs = pairs.where(rest >= overlap).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"), overlap.alias("overlap")).agg(F.count("*").alias("shared"))
+    pairs = Scratch(spark, "pairs").put(pairs.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("overlap"))).select("a", "b"), "pairs")
+    named = lambda key, text: texts.select(F.col("id").alias(key), F.col("text").alias(text))
+    full = pairs.hint("merge").join(named("a", "plumb_x"), "a").hint("merge").join(named("b", "plumb_y"), "b")
+    return full.select("a", "b", grams.jaccard(F.col("plumb_x"), F.col("plumb_y"), n).alias("similarity")).where(F.col("similarity") >= threshold)

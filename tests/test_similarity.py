@@ -112,3 +112,15 @@ def test_health_of_titles(spark):
     assert (got[1].hard_split, got[1].no_title, got[1].fragments, got[1].low_script, got[1].contents) == (0.333333, 0.333333, 0.333333, 0.333333, 0.333333)
     assert got[1].faults == "hard_split,no_title,fragments,low_script,contents,repeated" and got[1].repeated == 0.333333
     assert got[2].faults == "no_title,repeated" and got[2].hard_split == 0
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Only the first runs of a text are sent; texts that differ at either end, in the middle or in length are found all the same."""
+    random.seed(5)
+    base = ["".join(random.choice("abcdefgh") for _ in range(size)) for size in (3, 9, 12, 30, 120, 400)]
+    texts = {t for b in base for t in (b, b[: len(b) * 3 // 4], b[2:], b + b[:5], b[: len(b) // 2] + "x" + b[len(b) // 2 :], b[::-1])}
+    rows = list(enumerate(sorted(texts)))
+    sets = {i: {t[k : k + 8] for k in range(len(t) - 7)} or {t} for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.6}
+    got = similarity.similar_texts(spark.createDataFrame(rows, "id long, text string").repartition(3), 0.6).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and want
