@@ -17,8 +17,9 @@ def points(text: str) -> np.ndarray:
 
 def _ranks(chars: np.ndarray, n: int) -> np.ndarray:
     """A number for the n characters (2 or more) from every place on: equal if these are, smaller if these come first."""
-    known, r = np.unique(chars, return_inverse=True)
-    r, bits = r.astype(np.uint64), max(1, int(known.size - 1).bit_length())
+    seen = np.zeros(int(chars.max()) + 1, bool)
+    seen[chars] = True
+    r, bits = (np.cumsum(seen) - 1)[chars].astype(np.uint64), max(1, int(np.count_nonzero(seen) - 1).bit_length())
     if bits * n <= 64:
         out = np.zeros(chars.size - n + 1, np.uint64)
         for i in range(n):
@@ -42,6 +43,20 @@ def least(text: str | None, n: int = 8, k: int = 24) -> tuple[int, list[str]]:
     return first.size, [text[i : i + n] for i in first[:k].tolist()]
 
 
+def sample(text: str | None, n: int = 8, k: int = 24) -> list[str]:
+    """The k least of least(), without a sort of all runs."""
+    if not text or len(text) < n:
+        return [text] if text else []
+    r, m = _ranks(points(text), n), 4 * k
+    low = np.unique(np.partition(r, m)[:m] if m < r.size else r)
+    while low.size < k and m < r.size:
+        m *= 8
+        low = np.unique(np.partition(r, m)[:m] if m < r.size else r)
+    at = np.flatnonzero(r <= low[:k][-1])
+    _, first = np.unique(r[at], return_index=True)
+    return [text[i : i + n] for i in at[first].tolist()]
+
+
 def common(a: str | None, b: str | None, n: int = 8) -> tuple[int, int, int]:
     """Distinct runs that two texts share, and how many each has."""
     if not a or not b:
@@ -82,6 +97,16 @@ def least_of(text: Column, n: int = 8, k: int = 24) -> Column:
     return made(text)
 
 
+def sample_of(text: Column, n: int = 8, k: int = 24) -> Column:
+    """The k least distinct runs of n characters, in order."""
+
+    @F.pandas_udf("array<string>")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([sample(t, n, k) for t in texts])
+
+    return made(text)
+
+
 def jaccard(a: Column, b: Column, n: int = 8) -> Column:
     """Of the sets of runs of two texts; 0 if one is empty."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Patterns and classes whose results must agree with what users have today.
 BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CHINESE, ACCENTED = r"[一-鿿]", r"[À-ÿ]"
+BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # those of BLANKS
 PUNCTUATION = "，。、；：？！（）【】《》“”‘’'\"()[]{}.,;:?!-—_/\\|+*#@&%"  # does not count when copies are compared
 CONTENTS = r"\.{6,}|·{6,}|…{4,}|-{6,}"
 HEADING = r"^\s*(#{1,6})\s+(.+)"
@@ -32,6 +33,11 @@ def unix_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def without_blanks(text: Column) -> Column:
+    """No blanks at all. Single characters are taken out several times faster than by a pattern."""
+    return F.translate(text, BLANK_CHARS, "")
+
+
 def squeezed(text: Column) -> Column:
     """Runs of blanks become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
@@ -44,7 +50,7 @@ def stripped(text: Column) -> Column:
 
 def script_ratio(text: Column, script: str = CHINESE) -> Column:
     """Share of a script's characters among those that are not blank; 0 for none."""
-    solid = F.length(F.regexp_replace(text, BLANKS, ""))
+    solid = F.length(without_blanks(text))
     return F.when(solid > 0, F.regexp_count(text, F.lit(script)) / solid).otherwise(F.lit(0.0))
 
 
@@ -58,8 +64,9 @@ UNCOMPARED = BLANKS[:-1] + "".join(f"\\{c}" if c.isascii() else c for c in PUNCT
 
 def compared_form(text: Column, digits: bool = False) -> Column:
     """A text without blanks, PUNCTUATION and (unless asked for) decimal digits, for comparing copies."""
-    bare = F.regexp_replace(text, UNCOMPARED, "")
-    return bare if digits else F.regexp_replace(bare, r"\p{Nd}", "")
+    if digits:
+        return F.translate(text, BLANK_CHARS + PUNCTUATION, "")
+    return F.regexp_replace(F.translate(text, BLANK_CHARS + PUNCTUATION + "0123456789", ""), r"\p{Nd}", "")
 
 
 def char_shingles(text: Column, n: int = 8) -> Column:

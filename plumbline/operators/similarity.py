@@ -72,6 +72,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, it
         each = a.select("gram", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select("gram", F.lit(0).alias("l"), F.lit(1).alias("r")))
         often = each.groupBy("gram").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0 and r > 0").select("gram", (F.col("l") + F.col("r")).alias("sets"))
     x = _prefix(a, often, left_key, threshold)
+    if own:
+        x = Scratch(left.sparkSession, "prefix").put(x, "prefix")  # both sides of the join read it
     y = (_prefix(b, often, right_key, threshold) if not own else x.withColumnRenamed(left_key, right_key)).withColumnsRenamed({"n": "n2", "place": "place2"})
     met = x.hint("merge").join(y, "gram")  # exploded rows look smaller to the planner than they are
     if own:

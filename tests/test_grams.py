@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import grams
+from plumbline.functions import text as T
 from plumbline.operators import cleaning
 from plumbline.plans import text_queries
 from plumbline.sources import scratch
@@ -26,6 +27,7 @@ def test_runs_against_sets(alphabet):
         for a in texts:
             want = sorted(runs(a, n), key=lambda s: s.encode())
             assert grams.least(a, n, 24) == (len(want), want[:24])
+            assert grams.sample(a, n, 24) == want[:24] and grams.sample(a, n, 2) == want[:2]
             assert grams.hashes(a, n).size == len(want)
             for b in random.sample(texts, 5):
                 assert grams.common(a, b, n) == (len(runs(a, n) & runs(b, n)), len(runs(a, n)), len(runs(b, n)))
@@ -62,6 +64,26 @@ def test_sketches_are_made_once(spark, shared):
     assert {r.doc_id: r.others for r in near.collect()} == {i: n for i, n in want.items() if n}
 
 
+def test_compared_form_is_the_pattern(spark):
+    """The characters that are taken out are those of the pattern; a pattern took over four times as long."""
+    texts = ["".join(map(chr, range(0x2100))), "".join(map(chr, range(0x2FF0, 0x3100))) + "，。、０１９" + chr(0x1D7CE) + "a😀b", "", None, " a\u200bb\x1c\ufeff"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = F.regexp_replace("t", T.UNCOMPARED, "")
+    got = df.select(T.compared_form(F.col("t")), T.compared_form(F.col("t"), digits=True), T.without_blanks(F.col("t"))).collect()
+    want = df.select(F.regexp_replace(bare, r"\p{Nd}", ""), bare, F.regexp_replace("t", T.BLANKS, "")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    plan = df.select(T.compared_form(F.col("t"), digits=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+
+
+def test_pairs_of_sketches_are_sought_once(spark, shared):
+    """The prefixes that meet and the pairs are written; before, each side of the join and of the union made them anew."""
+    rows = [(i, f"the same sentence with another tail {chr(97 + i % 3) * (i % 4)}") for i in range(8)]
+    near = cleaning.sketch_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), 0.6)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and list(shared.rglob("prefix/*.parquet"))
+
+
 def test_least_of_texts(spark):
     texts = [("",), ("abc",), (None,), ("b" * 9 + "a" * 9,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(grams.least_of(F.col("t"))).collect()]
