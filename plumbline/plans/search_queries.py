@@ -125,6 +125,7 @@ def _legs(spark, d, index: postings.Postings | None = None) -> DataFrame:
     sparse = postings.search(index, asked).hits
     longest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("token")), "token"))
     telling = asked.withColumn("n", longest).where("n <= 8").select(F.col("id").alias("query_id"), "token")
+    telling = postings.broadcast_if_few(telling, Scratch(spark, "legs"), "telling")
     counted = index.rows.join(telling, "token").select("query_id", F.inline("postings")).groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
     long = search.top_k(counted, 5)
     first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
