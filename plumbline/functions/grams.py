@@ -87,6 +87,22 @@ def hashes(text: str | None, n: int = 8) -> np.ndarray:
     return np.unique(h).view(np.int64)
 
 
+def bounded(text: str | None, whole: int, n: int = 8, k: int = 24) -> tuple[int, list[str]]:
+    """least() with all runs of a text of up to whole, which is k or more; of others the k least, and whole + 1 as their number."""
+    some = sample(text, n, whole + 1)
+    return (len(some), some) if len(some) <= whole else (whole + 1, some[:k])
+
+
+def bounded_of(text: Column, whole: int, n: int = 8, k: int = 24) -> Column:
+    """size and sample, see bounded: no list is longer than whole, and long texts have k runs only."""
+
+    @F.pandas_udf("size long, sample array<string>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([bounded(t, whole, n, k) for t in texts], columns=["size", "sample"])
+
+    return made(text)
+
+
 def least_of(text: Column, n: int = 8, k: int = 24) -> Column:
     """size and sample: how many distinct runs of n characters, and the k least in order."""
 

@@ -28,6 +28,7 @@ def test_runs_against_sets(alphabet):
             want = sorted(runs(a, n), key=lambda s: s.encode())
             assert grams.least(a, n, 24) == (len(want), want[:24])
             assert grams.sample(a, n, 24) == want[:24] and grams.sample(a, n, 2) == want[:2]
+            assert grams.bounded(a, 40, n, 24) == ((len(want), want) if len(want) <= 40 else (41, want[:24]))
             assert grams.hashes(a, n).size == len(want)
             for b in random.sample(texts, 5):
                 assert grams.common(a, b, n) == (len(runs(a, n) & runs(b, n)), len(runs(a, n)), len(runs(b, n)))
@@ -84,6 +85,20 @@ def test_pairs_of_sketches_are_sought_once(spark, shared):
     assert "explode" not in plan and list(shared.rglob("prefix/*.parquet"))
 
 
+def test_store_keeps_few_runs_of_long_lines(spark, shared):
+    """Lines of over 40 runs hand on 24; before, all handed on 40 and their number, found by a sort of all runs."""
+    random.seed(7)
+    long = ["".join(random.choice("abcdefghij") for _ in range(500)) for _ in range(2)]
+    rows = [(d, o, long[o], True) for d in range(3) for o in range(2)]
+    rows += [(d, 2, "a short line that some have", True) for d in range(3)]
+    chunks = spark.createDataFrame(rows, "doc_id long, ord int, text string, told boolean")
+    assert [tuple(r) for r in cleaning.boilerplate_chunks(chunks).collect()] == [(2, 2)]
+    cut = spark.read.parquet(*(str(p) for p in shared.rglob("cut") if p.is_dir())).agg(F.max(F.size("sample")), F.count("items")).first()
+    assert tuple(cut) == (24, 3)
+    g = spark.createDataFrame([(long[0],)], "t string").select(grams.bounded_of(F.col("t"), 40).alias("g")).first().g
+    assert (g["size"], len(g["sample"])) == (41, 24)
+
+
 def test_least_of_texts(spark):
     texts = [("",), ("abc",), (None,), ("b" * 9 + "a" * 9,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(grams.least_of(F.col("t"))).collect()]
