@@ -19,9 +19,13 @@ from ..functions import grams
 from ..sources.scratch import Scratch
 
 #: Counters of runs, and how many of them are one row when they are added up.
-COUNTERS, RUN = 1 << 21, 1 << 12
-#: Runs that two texts must share among the first of each, before the texts are looked at (or all that they must share).
-SHARED = 16
+COUNTERS, RUN = 1 << 24, 1 << 12
+#: Buckets of runs, at least and at most, and the characters of texts for each between these.
+BUCKETS, CHARS = (8, 64), 1 << 25
+#: Runs in a pack, and meetings that are counted at a time (or those of one text).
+PACKED, MET = 1 << 22, 1 << 22
+#: Texts of pairs that are broadcast by their ids.
+FEW = 1_000_000
 
 
 def classes(rows: DataFrame, items: str) -> tuple[DataFrame, DataFrame]:
@@ -92,49 +96,146 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, it
 
 
 def _counted(n: int):
-    """Texts to how many of them have a run of each counter, as rows of RUN counters."""
+    """Texts to how many of them (15 at most) have a run of each counter, as rows of RUN counters, two in a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(counts, grams.hashes(text, n) & (COUNTERS - 1), 1)
-        parts = counts.reshape(-1, RUN)
+                counts[grams.hashes(text, n) & (COUNTERS - 1)] += 1  # once a text
+        parts = np.minimum(counts, 15).astype(np.uint8).reshape(-1, RUN)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["run", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([(parts[i, ::2] << 4 | parts[i, 1::2]).tobytes() for i in some], pa.binary())], names=["run", "counts"])
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, counts) sorted by run, added up."""
+    """Rows (run, counts) sorted by run, added up to 16 bits each."""
     now, total = None, None
+    packed = lambda: np.minimum(total, 65535).astype(np.uint16).tobytes()
     for batch in batches:
         done = []
         for run, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if run != now:
-                done += [(now, total.tobytes())] if now is not None else []
+                done += [(now, packed())] if now is not None else []
                 now, total = run, np.zeros(RUN, np.int64)
-            total += np.frombuffer(counts, np.int32)
+            two = np.frombuffer(counts, np.uint8)
+            total[::2] += two >> 4
+            total[1::2] += two & 15
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([c for _, c in done], pa.binary())], names=["run", "counts"])
     if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["run", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([packed()], pa.binary())], names=["run", "counts"])
 
 
-def _prefixes(shared, n: int, threshold: float):
-    """(id, text) to (gram, id, n, place): the runs of a text that must meet one of a similar text, by the order of their counters."""
+def _ceil(x: np.ndarray) -> np.ndarray:
+    """The next whole number, on the safe side of rounding."""
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def _more(wanted, buckets: int):
+    """Of how many runs in one bucket, beyond the first, a text can be sure that its like has them: it sends so many for each bucket."""
+    return np.minimum(2, (wanted - 1) // buckets)
+
+
+def _prefixes(shared, n: int, threshold: float, buckets: int):
+    """(id, text) to packs of (bucket, ids, sizes, at, grams): the runs of texts that must meet those of similar texts, by the order of their counters.
+
+    A run is 31 bits of its hash in the bucket that others name; runs of a pack are sorted and told by their distances.
+    """
+
+    def packs(held: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
+        at = np.repeat(np.arange(len(held), dtype=np.uint64), [h.size for _, _, h in held])
+        h = np.concatenate([h for _, _, h in held]).view(np.uint64)
+        ids, sizes = np.array([i for i, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int32)
+        where = (h >> np.uint64(40)) % np.uint64(buckets)
+        both = (h & np.uint64(2**31 - 1)) << np.uint64(16) | at
+        for bucket in range(buckets):
+            mine = np.sort(both[where == bucket])
+            if not mine.size:
+                continue
+            at_, gram = (mine & np.uint64(65535)).astype(np.uint16), mine >> np.uint64(16)
+            used, at_ = np.unique(at_, return_inverse=True)
+            far = np.diff(gram, prepend=np.uint64(0))
+            yield bucket, ids[used].tobytes(), sizes[used].tobytes(), at_.astype(np.uint16).tobytes(), far.astype(np.uint16 if far.max() < 65536 else np.uint32).tobytes()
+
+    def told(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([b], pa.binary()) for b in row[1:])], names=["bucket", "ids", "sizes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, held, size = shared.value, [], 0
         for batch in batches:
-            out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = grams.hashes(text, n)
-                h = h[np.argsort(often[h & (COUNTERS - 1)], kind="stable")]  # equal counts stay in the order of the hashes
-                first = h[: h.size - int(np.ceil(h.size * threshold - 1e-9)) + SHARED]
-                out.append((first, np.full(first.size, key), np.full(first.size, h.size, np.int32), np.arange(1, first.size + 1, dtype=np.int32)))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "n", "place"])
+                met = often[h & (COUNTERS - 1)]
+                order = np.argsort(met, kind="stable")  # equal counts stay in the order of the hashes
+                wanted = int(_ceil(h.size * threshold))
+                order = order[: h.size - wanted + _more(wanted, buckets) * buckets + 1]
+                first = h[order[met[order] > 1]]  # what one text has meets nothing
+                if first.size:
+                    held.append((key, h.size, first))
+                    size += first.size
+                if len(held) == 65536 or size >= PACKED:
+                    yield from told(packs(held))
+                    held, size = [], 0
+        if held:
+            yield from told(packs(held))
+
+    return run
+
+
+def _meetings(threshold: float, buckets: int):
+    """Packs sorted by bucket to (a, b), a < b: texts that share as many of a bucket's runs as similar texts share in one of their buckets at least."""
+
+    def of(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, n = np.concatenate([p[0] for p in packs]), np.concatenate([p[1] for p in packs]).astype(np.int64)
+        more, base = _more(_ceil(threshold * n), buckets), np.cumsum([0, *(p[0].size for p in packs)])
+        both = np.concatenate([np.cumsum(p[3], dtype=np.uint64) << np.uint64(32) | p[2].astype(np.uint64) + np.uint64(base[i]) for i, p in enumerate(packs)])
+        packs.clear()
+        both.sort()
+        gram = both >> np.uint64(32)
+        new = np.flatnonzero(np.diff(gram, prepend=np.uint64(2**32)))
+        after = np.repeat(np.append(new[1:], gram.size), np.diff(np.append(new, gram.size)))
+        text = (both & np.uint64(2**32 - 1)).astype(np.int64)
+        del both, gram
+        partners = after - np.arange(after.size) - 1
+        mine = np.flatnonzero(partners)
+        mine = mine[np.argsort(text[mine], kind="stable")]
+        if not mine.size:
+            return
+        partners, owner = partners[mine], text[mine]
+        total = np.cumsum(partners)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))  # where each text begins
+        before = np.append((total - partners)[first], total[-1])
+        low = 0
+        while low < first.size:
+            high = max(low + 1, int(np.searchsorted(before, before[low] + MET, side="right")) - 1)
+            some = slice(first[low], first[high] if high < first.size else mine.size)
+            count = partners[some]
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            x, y = np.repeat(owner[some], count), text[np.repeat(mine[some], count) + 1 + step]
+            del step
+            fits = (x != y) & (n[y] >= _ceil(threshold * n[x])) & (n[x] >= _ceil(threshold * n[y]))
+            key, shared = np.unique(x[fits] * ids.size + y[fits], return_counts=True)
+            x, y = key // ids.size, key % ids.size
+            good = shared > np.minimum(more[x], more[y])
+            a, b = ids[x[good]], ids[y[good]]
+            for at in range(0, a.size, 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at : at + (1 << 18)]), pa.array(np.maximum(a, b)[at : at + (1 << 18)])], names=["a", "b"])
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for bucket, ids, sizes, at, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield from of(held)
+                    held = []
+                now, at = bucket, np.frombuffer(at, np.uint16)
+                held.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), at, np.frombuffer(far, np.uint16 if len(far) == 2 * at.size else np.uint32)))
+        if held:
+            yield from of(held)
 
     return run
 
@@ -143,29 +244,29 @@ def similar_texts(texts: DataFrame, threshold: float, n: int = 8) -> DataFrame:
     """a, b, similarity of all pairs of texts (id long, text), a < b, whose sets of runs of n characters have a Jaccard similarity of threshold or more.
 
     The order of runs is that of COUNTERS counters, which are broadcast: any order finds all pairs, and one that
-    puts rare runs first lets few meet. So only the first runs of a text are sent, once; those that no other text
-    sent go before they meet. texts are read several times and are best written; ids are unique.
+    puts rare runs first lets few meet. Only the first runs of a text are sent, once and packed, to buckets by their
+    hashes. Two texts that share over twice as many of these runs as there are buckets share three in some bucket, so
+    pairs are counted where a bucket lies, and those that share one or two by chance are not written (short texts send
+    fewer, and share two or one). texts are read several times and
+    are best written; ids are unique.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold is above 0 and at most 1")
     spark = texts.sparkSession
     counters = texts.select("text").mapInArrow(_counted(n), "run long, counts binary").repartition("run").sortWithinPartitions("run").mapInArrow(_added, "run long, counts binary")
-    often = np.zeros((COUNTERS // RUN, RUN), np.int64)
+    often = np.zeros((COUNTERS // RUN, RUN), np.uint16)
     for row in counters.collect():  # COUNTERS numbers at most
-        often[row.run] = np.frombuffer(row.counts, np.int64)
+        often[row.run] = np.frombuffer(row.counts, np.uint16)
     shared = spark.sparkContext.broadcast(often.ravel())
-    sent = texts.select("id", "text").mapInArrow(_prefixes(shared, n, threshold), "gram long, id long, n int, place int")
-    met = sent.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).where("sets > 1").drop("sets")
-    x = Scratch(spark, "met").put(met, "met")
-    y = x.withColumnsRenamed({"id": "id2", "n": "n2", "place": "place2"})
-    pairs = x.hint("merge").join(y, "gram").where("id < id2")
-    pairs = pairs.where((F.col("n2") >= _least(F.col("n"), threshold)) & (F.col("n") >= _least(F.col("n2"), threshold)))
-    # members before the meeting place are no more common than those the pair may share before it
-    rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + F.least("place", "place2")
-    overlap = _least(F.col("n") + F.col("n2"), threshold / (1 + threshold))
-    # of the runs that they share, all but those beyond both first parts, so SHARED at least, lie in both
-    pairs = pairs.where(rest >= overlap).groupBy(F.col("id").alias("a"), F.col("id2").alias("b"), overlap.alias("overlap")).agg(F.count("*").alias("shared"))
-    pairs = Scratch(spark, "pairs").put(pairs.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("overlap"))).select("a", "b"), "pairs")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(np.clip(2 ** np.ceil(np.log2(max(1, chars) / CHARS)), *BUCKETS))
+    sent = texts.select("id", "text").mapInArrow(_prefixes(shared, n, threshold, buckets), "bucket int, ids binary, sizes binary, at binary, grams binary")
+    met = sent.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(threshold, buckets), "a long, b long")
+    pairs = Scratch(spark, "pairs").put(met.distinct(), "pairs")
+    held = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    held = Scratch(spark, "held").put(held, "held")
+    if held.count() <= FEW:
+        texts = texts.join(F.broadcast(held), "id", "left_semi")  # else nearly all texts are sent
     named = lambda key, text: texts.select(F.col("id").alias(key), F.col("text").alias(text))
     full = pairs.hint("merge").join(named("a", "plumb_x"), "a").hint("merge").join(named("b", "plumb_y"), "b")
     return full.select("a", "b", grams.jaccard(F.col("plumb_x"), F.col("plumb_y"), n).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,22 @@ def test_similar_texts_against_all_pairs(spark):
     want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.6}
     got = similarity.similar_texts(spark.createDataFrame(rows, "id long, text string").repartition(3), 0.6).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and want
+
+
+def test_few_meetings_by_chance_are_written(spark):
+    """Long texts of a small vocabulary share runs with many others; only the few that share several in a bucket are paired, and no like pair is lost."""
+    random.seed(6)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    made = ["".join(random.choice(words) for _ in range(60)) for _ in range(300)]
+    made += [t[:150] + "zz" + t[152:] for t in made[:40]]
+    rows = list(enumerate(made))
+    sets = {i: {t[k : k + 8] for k in range(len(t) - 7)} for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.6}
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    often = spark.sparkContext.broadcast(np.full(similarity.COUNTERS, 2, np.uint16))
+    packs = texts.select("id", "text").mapInArrow(similarity._prefixes(often, 8, 0.6, 8), "bucket int, ids binary, sizes binary, at binary, grams binary")
+    sent = packs.agg(F.sum(F.length("ids") + F.length("sizes") + F.length("at") + F.length("grams")), F.sum(F.length("at") / 2)).first()
+    assert sent[0] < 8 * sent[1] + 12 * 8 * len(rows)  # eight bytes a run at most, and twelve a text and bucket
+    met = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(similarity._meetings(0.6, 8), "a long, b long").distinct().collect()
+    assert want <= {(r.a, r.b) for r in met} and len(met) < 300 * 299 / 8
+    assert {(r.a, r.b) for r in similarity.similar_texts(texts, 0.6).collect()} == want and len(want) >= 40
