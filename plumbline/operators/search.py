@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..sources.scratch import Scratch
 
 #: Queries that are compared with a partition of rows at once.
 BLOCK = 512
@@ -91,6 +92,85 @@ def sparse_hits(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     return top_k(hits, k)
 
 
+#: Bytes of sparse vectors that are packed as one row, about, and queries that are held as one matrix.
+PACK, ASKED = 2 << 20, 64
+
+
+def _packs(vectors: DataFrame) -> DataFrame:
+    """(ids, sizes, tokens, weights), packed as bytes, of rows (id long, tokens array<int>, weights array<double>), about PACK bytes a row; ids by hash, so that packs are alike."""
+    n = vectors.agg(F.ceil(F.sum(F.size("tokens").cast("long") * 12 + 12) / PACK)).first()[0] or 1
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("pack"), "id", "tokens", "weights")
+    dealt = dealt.repartition("pack").sortWithinPartitions("pack")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def packed() -> pa.RecordBatch:
+            ids, sizes, tokens, weights = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in ((ids, np.int64), (sizes, np.int32), (tokens, np.int32), (weights, np.float64))], names=["ids", "sizes", "tokens", "weights"])
+
+        for batch in batches:
+            packs, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(packs)) + 1, [packs.size]]) if packs.size else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if packs[i] != now and held:
+                    yield packed()
+                    held = []
+                now = packs[i]
+                tokens, weights = batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)
+                held.append((ids[i:j], tokens.value_lengths().to_numpy(zero_copy_only=False), tokens.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)))
+        if held:
+            yield packed()
+
+    return dealt.mapInArrow(run, "ids binary, sizes binary, tokens binary, weights binary")
+
+
+def vector_hits(queries: DataFrame, rows: DataFrame, scratch: Scratch, k: int = 5, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k best inner products of sparse vectors (id long, tokens array<int>, weights array<double>), ties to the smaller id.
+
+    All rows meet all queries, pack by pack, by products with the queries' columns: no row is sent for a (query, id),
+    only the k best of a query in a pack of rows. Packs are written and read where they meet, so nothing is copied for
+    every block of queries. Rows that share no token with a query are none of its hits.
+    """
+    asks = scratch.put(_packs(queries), "asks").withColumnsRenamed({c: f"q_{c}" for c in ("ids", "sizes", "tokens", "weights")})
+    met = scratch.put(_packs(rows), "packs").repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).crossJoin(asks)
+
+    def best(ask: tuple, row: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        q_ids, q_sizes, q_tokens, q_weights = ask
+        ids, sizes, tokens, weights = row
+        q_ends = np.cumsum(q_sizes)
+        for low in range(0, q_ids.size, ASKED):
+            high = min(low + ASKED, q_ids.size)
+            part = slice(q_ends[low] - q_sizes[low], q_ends[high - 1])
+            known, at = np.unique(q_tokens[part], return_inverse=True)
+            columns = np.zeros((known.size + 1, high - low))
+            columns[at, np.repeat(np.arange(high - low), q_sizes[low:high])] = q_weights[part]
+            where = np.minimum(np.searchsorted(known, tokens), known.size - 1)
+            hit = known[where] == tokens
+            owner, where, weight = np.repeat(np.arange(ids.size), sizes)[hit], where[hit], weights[hit]
+            score = np.zeros((ids.size, high - low))
+            for start in range(0, where.size, 1 << 15):
+                piece = columns[where[start : start + (1 << 15)]] * weight[start : start + (1 << 15), None]
+                mine = owner[start : start + (1 << 15)]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                score[mine[first]] += np.add.reduceat(piece, first, axis=0)
+            score = np.where(score > 0, np.round(score, digits), -1.0).T
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+            top = np.take_along_axis(score, order, 1)
+            good = top >= 0
+            yield np.repeat(q_ids[low:high], order.shape[1])[good.ravel()], ids[order][good], top[good]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int32, np.int32, np.float64)
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = [np.frombuffer(v, t) for v, t in zip(values, kinds * 2, strict=True)]
+                for who, which, score in best(both[4:], both[:4]):
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(which), pa.array(score)], names=["query_id", "id", "score"])
+
+    return top_k(met.mapInArrow(run, "query_id long, id long, score double"), k)
+
+
 def squashed(score: Column, kind: str) -> Column:
     """Scores as 0 to 1: cosine (-1 to 1) or inner product (any)."""
     return (1 + score) / 2 if kind == "cosine" else 0.5 + F.atan(score) / F.lit(3.141592653589793)
@@ -100,7 +180,9 @@ def weighted(a: DataFrame, b: DataFrame, weights: tuple[float, float] = (0.5, 0.
     """(query_id, id, score, rank): the weighted sum of two legs' squashed scores; a leg without the row gives 0."""
     leg = lambda df, i: df.select("query_id", "id", squashed(F.col("score"), kinds[i]).alias("x"), F.lit(i).alias("leg"))
     part = lambda i: F.coalesce(F.max(F.when(F.col("leg") == i, F.col("x"))), F.lit(0.0))
-    both = leg(a, 0).unionByName(leg(b, 1)).groupBy("query_id", "id").agg(F.round(weights[0] * part(0) + weights[1] * part(1), digits).alias("score"))
+    # halves go up as the double times the power of ten has them, not its decimal digits
+    whole = F.floor((weights[0] * part(0) + weights[1] * part(1)) * 10.0**digits + 0.5) / F.lit(10.0**digits)
+    both = leg(a, 0).unionByName(leg(b, 1)).groupBy("query_id", "id").agg(whole.alias("score"))
     return top_k(both, k)
 
 

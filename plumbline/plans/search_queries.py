@@ -101,9 +101,11 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 def o114_hybrid_dense_sparse(spark, d):
     """Documents that have an embedding: cosine of embeddings and inner product of sparse vectors, searched apart and fused by weight."""
     docs = table_of(spark, d, "documents", "doc_id", "text").join(table_of(spark, d, "embeddings", F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    rows = postings.vector_rows(models.sparse_embeddings(docs, "doc_id", "text"), "doc_id", "vector")
-    sparse = postings.search(postings.indexed(rows), rows.where("id % 20 = 0"), digits=6).hits
-    return search.weighted(_dense(spark, d), sparse)
+    scratch = Scratch(spark, "hybrid")
+    vectors = models.sparse_embeddings(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.map_keys("vector").alias("tokens"), F.map_values("vector").alias("weights"))
+    rows = scratch.put(vectors, "vectors")
+    # whole documents share tokens with nearly all others, so products by packs take less than an index
+    return search.weighted(_dense(spark, d), search.vector_hits(rows.where("id % 20 = 0"), rows, scratch))
 
 
 # Legs of a question: sparse hits; documents with most of its least shingles; documents of the sources of sparse hits.

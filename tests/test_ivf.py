@@ -1,10 +1,13 @@
 """Inverted lists: every row indexed, recall against exact search, exactness when all lists are probed."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.operators import ivf, search
 from plumbline.plans import search_queries
+from plumbline.sources.scratch import Scratch
 
 
 def test_recall_of_the_query(spark):
@@ -44,3 +47,25 @@ def test_k_means_finds_groups():
     x = np.repeat(ends, 50, axis=0) + rng.normal(scale=0.05, size=(300, 6))
     best = ivf.k_means(x, 6, seed=3) @ ends.T
     assert (np.sort(best.max(1)) > 0.7).all()
+
+
+def test_vector_hits_against_all_products(spark, monkeypatch):
+    """Packs of queries and rows, more than one of each: the same hits as all products; none without a shared token, ties to the smaller id."""
+    random.seed(71)
+    vectors = {i: {random.randrange(40): random.choice([0.25, 0.5, 1.0]) for _ in range(random.randint(1, 9))} for i in range(150)}
+    vectors[150] = {99: 1.0}
+    monkeypatch.setattr(search, "PACK", 2000)
+    monkeypatch.setattr(search, "ASKED", 3)
+    rows = spark.createDataFrame([(i, list(v), list(v.values())) for i, v in vectors.items()], "id long, tokens array<int>, weights array<double>").repartition(3)
+    got = search.vector_hits(rows.where("id % 10 = 0"), rows, Scratch(spark, "test"), 4).collect()
+    want = set()
+    for q in range(0, 151, 10):
+        scores = {i: sum(w * vectors[q].get(t, 0) for t, w in v.items()) for i, v in vectors.items()}
+        best = sorted((-s, i) for i, s in scores.items() if s > 0)[:4]
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_weighted_rounds_halves_as_doubles(spark):
+    hits = spark.createDataFrame([(1, 2, 0.371946)], "query_id long, id long, score double")
+    assert search.weighted(hits, hits.limit(0)).first().score == 0.342987
