@@ -16,6 +16,8 @@ MENTION, DEFAULT_KIND = "MENTIONED_IN", "RELATED_TO"
 SEED_WEIGHT, NEIGHBOUR_WEIGHT = 2.0, 1.0
 NAME_CHARS = 15
 PER_PAIR, PER_QUERY, TRIPLES = 3, 30, 50
+#: Rows of named nodes that are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def entity_name(name: Column) -> Column:
@@ -93,31 +95,42 @@ class Store:
     """Edges written once, clustered so that a join from a node needs no shuffle of edges.
 
     out, back: relations (item, head, kind, tail) by (item, head) and by (item, tail); mentions: (item, name,
-    chunk_id) by (item, name); names: distinct (item, name) of mentions.
+    chunk_id) by (item, name), or none; names: distinct (item, name) of mentions.
     """
 
     out: DataFrame
     back: DataFrame
-    mentions: DataFrame
+    mentions: DataFrame | None
     names: DataFrame
 
 
 def stored(edges: DataFrame, buckets: int | None = None) -> Store:
     """edges (item, head, kind, tail) as bucketed tables in the shared folder; their number is that of shuffle partitions."""
-    spark = edges.sparkSession
+    all_ = Scratch(edges.sparkSession, "graph").put(edges.select("item", "head", "kind", "tail").distinct(), "edges", by="kind")
+    mentions = all_.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
+    return _store(all_.where(F.col("kind") != MENTION), mentions, None, buckets)
+
+
+def related(relations: DataFrame, names: DataFrame, buckets: int | None = None) -> Store:
+    """A store without mentions, for what needs relations (item, head, kind, tail) and names (item, name) only; both may repeat."""
+    held = Scratch(relations.sparkSession, "graph").put(relations.select("item", "head", "kind", "tail").distinct(), "relations")
+    return _store(held, None, names, buckets)
+
+
+def _store(relations: DataFrame, mentions: DataFrame | None, names: DataFrame | None, buckets: int | None) -> Store:
+    spark = relations.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch, label = Scratch(spark, "graph"), uuid.uuid4().hex
-    all_ = scratch.put(edges.select("item", "head", "kind", "tail").distinct(), "edges", by="kind")
 
     def clustered(df: DataFrame, name: str, *by: str) -> DataFrame:
         table = f"plumb_{name}_{label}"
         df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", f"{scratch.root}/{name}").saveAsTable(table)
         return spark.table(table)
 
-    relations = all_.where(F.col("kind") != MENTION).select("item", "head", "kind", "tail")
-    mentions = all_.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
-    by_name = clustered(mentions, "mentions", "item", "name")
-    return Store(clustered(relations, "out", "item", "head"), clustered(relations, "back", "item", "tail"), by_name, scratch.put(by_name.select("item", "name").distinct(), "names"))
+    relations = relations.select("item", "head", "kind", "tail")
+    by_name = None if mentions is None else clustered(mentions, "mentions", "item", "name")
+    names = by_name if names is None else names
+    return Store(clustered(relations, "out", "item", "head"), clustered(relations, "back", "item", "tail"), by_name, scratch.put(names.select("item", "name").distinct(), "names"))
 
 
 def once(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,9 +232,36 @@ def node_weights(seed_rows: DataFrame, hops: DataFrame) -> DataFrame:
 def chunk_evidence(weights: DataFrame, edges: DataFrame | Store, top: int = 50) -> DataFrame:
     """(query_id, chunk_id, score, entities, rank): chunks that mention weighted nodes; order by score, entities, chunk id, all descending."""
     m = edges.mentions if isinstance(edges, Store) else edges.where(F.col("kind") == MENTION).select("item", F.col("head").alias("name"), F.col("tail").alias("chunk_id"))
-    scored = weights.join(m, ["item", "name"]).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("entities"))
+    return mention_evidence(weights, m, top)
+
+
+def mention_evidence(weights: DataFrame, mentions: DataFrame, top: int = 50) -> DataFrame:
+    """The same of mentions (item, name, chunk_id), which may repeat.
+
+    Chunks of an item that mention the same weighted nodes score alike for a question about this item only, so they
+    are one class, of which the top largest ids are kept; and a question needs no more than the top classes, as each
+    has a chunk. Questions about several items, whose chunks add up, meet mentions one by one.
+    """
+    scratch = Scratch(weights.sparkSession, "evidence")
+    items = weights.groupBy("query_id").agg((F.min("item") == F.max("item")).alias("plumb_one"))
+    weights = scratch.put(weights.join(items, "query_id"), "weights")
+    nodes = scratch.put(weights.where("plumb_one").select("item", "name").distinct().withColumn("code", F.monotonically_increasing_id()), "nodes")
+    known = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    told = mentions.join(known, ["item", "name"]).groupBy("item", "chunk_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    nth = F.row_number().over(Window.partitionBy("item", "codes").orderBy(F.desc("chunk_id")))
+    kept = scratch.put(told.withColumn("nth", nth).where(F.col("nth") <= top), "kept")
+    classes = scratch.put(kept.where("nth = 1").select("item", "codes", F.col("chunk_id").alias("last"), F.monotonically_increasing_id().alias("class")), "classes")
+    coded = weights.where("plumb_one").join(nodes, ["item", "name"]).select("query_id", "code", "weight")
+    scored = classes.select("class", "last", F.explode("codes").alias("code")).join(coded, "code").groupBy("query_id", "class", "last").agg(F.sum("weight").alias("score"), F.count("*").alias("entities"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("entities"), F.desc("last")))
+    scored = scored.withColumn("plumb_best", best).where(F.col("plumb_best") <= top).join(classes.select("class", "item", "codes"), "class")
+    each = scored.join(kept, ["item", "codes"]).select("query_id", "chunk_id", "score", "entities")
+    several = weights.where("not plumb_one")
+    if not several.isEmpty():
+        met = several.join(mentions.select("item", "name", "chunk_id").distinct(), ["item", "name"])
+        each = each.unionByName(met.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"), F.count("*").alias("entities")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("entities"), F.desc("chunk_id")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    return each.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def triple_text(item: Column, head: Column, kind: Column, tail: Column) -> Column:

@@ -75,3 +75,25 @@ def test_counts_of_the_pass_that_writes(spark):
     kept, counts = graph.built(df)
     assert counts == graph.Built(4, 3, 1, 2, 3) and kept.count() == 3 and counts.summary().startswith("3 of 4")
     assert graph.built(df.limit(0))[1] == graph.Built(0, 0, 0, 0, 0)
+
+
+def test_evidence_by_classes_of_chunks(spark):
+    """Questions about one item meet classes of chunks, those about several the mentions: both give what all mentions give; repeats count once."""
+    random.seed(53)
+    mentions = [(random.choice("xy"), f"n{random.randrange(6)}", f"c{random.randrange(90):02d}") for _ in range(500)]
+    weights = [(q, item, f"n{k}", random.choice([1.0, 2.0])) for q in range(12) for item in ("x", "y")[q % 2 : 1 + q % 2 + (q % 3 == 0)] for k in random.sample(range(6), 3)]
+    want = set()
+    for q in {w[0] for w in weights}:
+        found = {}
+        for _, item, name, weight in (w for w in weights if w[0] == q):
+            for i, n, c in set(mentions):
+                if (i, n) == (item, name):
+                    score, entities = found.get(c, (0.0, 0))
+                    found[c] = (score + weight, entities + 1)
+        order = sorted(((s, e, c) for c, (s, e) in found.items()), reverse=True)[:7]
+        want |= {(q, c, s, e, r) for r, (s, e, c) in enumerate(order, 1)}
+    w = spark.createDataFrame(weights, "query_id long, item string, name string, weight double")
+    m = spark.createDataFrame(mentions, "item string, name string, chunk_id string").repartition(3)
+    got = graph.mention_evidence(w, m, 7).select("query_id", "chunk_id", "score", "entities", "rank").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert len({q for q, *_ in want}) == 12
