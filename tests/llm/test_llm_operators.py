@@ -661,3 +661,40 @@ def test_lm_scores_do_not_depend_on_the_layout(spark):
         scores.append({r.doc_id: r.score for r in lm_scoring.scored(model).collect()})
     for other in scores[1:]:
         assert max(abs(other[i] - x) / max(1, abs(x)) for i, x in scores[0].items()) < 1e-6
+
+
+def test_lm_weights_are_fitted_on_every_training_document(spark):
+    """The weights are likeliest for the bits of all training documents, each predicted by slots of the half that it is not in."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, f"aa bb cc d{k % 5} bb cc aa d{k % 3} e{k % 7} zq{k} " * (1 + k % 4)) for k in range(60)] + [(100, ""), (101, None), (102, "bb " * 700)], "doc_id long, text string")
+    train = [k for k in range(103) if k % 9 and (k < 60 or k > 99)]
+    model = lm_scoring.learned(docs.repartition(3), docs.doc_id.isin(train))
+    coder, seen, n = model.coder, [], np.zeros((2, 2, lm_scoring.SLOTS))
+    for r in model.groups.collect():
+        group = lm_scoring._opened(pa.scalar(bytes(r.docs)))
+        t, mine = coder.tokens(group.column(2)), np.asarray(group.column(1))
+        for bits, _ in coder.bits(t):
+            for s in bits.slots[mine[bits.row]].T:
+                np.add.at(n[int(r.mix)], (bits.value[mine[bits.row]], s), 1)
+        found, _, _ = lm_scoring.found(t, mine, [bytes(x) for x in r.said], model.shards)
+        seen += [(int(r.mix), bits, mine) for bits, _ in coder.bits(t, found)]
+    start = np.full(model.mixer.weights.shape, 0.3)
+    start[2 * lm_scoring.DEPTHS :] = [-0.5, 0.5, 0.5, 0.0]
+    w = model.mixer.weights.astype(float)
+    slope, many = 20 * (w - start), np.zeros(len(w))
+    for half, bits, mine in seen:
+        if bits.x is None:
+            zero, one = n[1 - half][:, bits.slots]
+            steps = np.rint(np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12) * lm_scoring.STEP)
+            x = np.sign(steps) * np.array([0, 0.5, 1.2, 2.1, 3.2, 4.6, 6.5, 9.5])[np.searchsorted([3, 9, 17, 27, 39, 54, 78], abs(steps), "right")]
+        else:
+            x = bits.x / lm_scoring.STEP
+        error = 1 / (1 + np.exp(-(x * w[bits.gate]).sum(1))) - bits.value
+        ok = mine[bits.row]
+        np.add.at(slope, bits.gate[ok], error[ok, None] * x[ok])
+        np.add.at(many, bits.gate[ok], 1)
+    assert {half for half, *_ in seen} == {0, 1} and (many[: lm_scoring.DEPTHS] > 0).sum() > 3 and many[2 * lm_scoring.DEPTHS :].any()
+    near = np.where(np.arange(len(w)) < 2 * lm_scoring.DEPTHS, 1e-4, 2e-2)  # log2 of occurrences comes in steps of 1/16, and of 1 from 7 on
+    assert (abs(slope) < (near * many + 1e-3)[:, None]).all()
+    assert (w == start.astype(np.float32))[many == 0].all() and (w != start.astype(np.float32))[: lm_scoring.DEPTHS][many[: lm_scoring.DEPTHS] > 0].any(1).all()
