@@ -87,6 +87,36 @@ def hashes(text: str | None, n: int = 8) -> np.ndarray:
     return np.unique(h).view(np.int64)
 
 
+def sets(texts: list[str], n: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Of up to 65,536 texts: whose (rising), and 48 bits of a hash, of every distinct run (as hashes() has them), in order.
+
+    One pass over all characters, where hashes() takes a text at a time; the numbers are others than its.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    h, have = points("".join(texts)).astype(np.uint64) + np.uint64(1), 1
+    while True:
+        h *= _STEP
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+        if have == n:
+            break
+        step = min(have, n - have)  # two stretches, which overlap in the last round, tell what they cover
+        h = h[: max(0, h.size - step)] * _STEP + h[step:]
+        have += step
+    runs = np.maximum(sizes - n + 1, 0)
+    owner = np.repeat(np.arange(sizes.size, dtype=np.uint64), runs)
+    at = np.arange(owner.size) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(runs) + runs, runs)
+    both = owner << np.uint64(48) | h[at] >> np.uint64(16)
+    short = np.flatnonzero((sizes > 0) & (sizes < n))
+    if short.size:
+        own = np.array([hashes(texts[i], n)[0] for i in short.tolist()], np.int64).view(np.uint64)
+        both = np.append(both, short.astype(np.uint64) << np.uint64(48) | own >> np.uint64(16))
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])[: both.size]]
+    return (both >> np.uint64(48)).astype(np.int64), both & np.uint64(2**48 - 1)
+
+
 def bounded(text: str | None, whole: int, n: int = 8, k: int = 24) -> tuple[int, list[str]]:
     """least() with all runs of a text of up to whole, which is k or more; of others the k least, and whole + 1 as their number."""
     some = sample(text, n, whole + 1)
@@ -134,6 +164,43 @@ def jaccard(a: Column, b: Column, n: int = 8) -> Column:
     return made(a, b)
 
 
+def alike(a: list[str | None], b: list[str | None], threshold: float, n: int = 8, size: int = 1 << 20) -> list[float]:
+    """Jaccard similarities of pairs of texts' runs, some size characters at a time; 0 if one is empty.
+
+    Runs are told apart by 48 bits of a hash, and by themselves where four runs more or less would bring the pair
+    over the threshold or under it.
+    """
+    out: list[float] = []
+    low = held = 0
+    for i in range(len(a) + 1):
+        one = len(a[i] or "") + len(b[i] or "") if i < len(a) else size
+        if i > low and (held + one > size or i - low == 32768):
+            owner, h = sets([t or "" for pair in zip(a[low:i], b[low:i], strict=True) for t in pair], n)
+            each = np.bincount(owner, minlength=2 * (i - low))
+            both = (owner >> 1).astype(np.uint64) << np.uint64(48) | h
+            both.sort()
+            c = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=i - low)
+            p, q = each[::2], each[1::2]
+            got = np.where((p > 0) & (q > 0), c / np.maximum(p + q - c, 1), 0.0)
+            for k in np.flatnonzero((np.abs(c - threshold / (1 + threshold) * (p + q)) <= 4) & (p > 0) & (q > 0)).tolist():
+                x, y, z = common(a[low + k], b[low + k], n)
+                got[k] = x / (y + z - x)
+            out += got.tolist()
+            low, held = i, 0
+        held += one
+    return out
+
+
+def likeness(a: Column, b: Column, threshold: float, n: int = 8) -> Column:
+    """jaccard of many pairs, see alike: surely on the right side of the threshold."""
+
+    @F.pandas_udf("double")
+    def made(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(alike(x.tolist(), y.tolist(), threshold, n), dtype="float64")
+
+    return made(a, b)
+
+
 def hashed(text: Column, n: int = 8) -> Column:
     """64-bit hashes of a text's distinct runs."""
 

@@ -16,14 +16,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grams
+from ..functions.text import spread
 from ..sources.scratch import Scratch
 
 #: Counters of runs, and how many of them are one row when they are added up.
 COUNTERS, RUN = 1 << 24, 1 << 12
-#: Buckets of runs, at least and at most, and the characters of texts for each between these.
-BUCKETS, CHARS = (8, 64), 1 << 25
-#: Runs in a pack, and meetings that are counted at a time (or those of one text).
-PACKED, MET = 1 << 22, 1 << 22
+#: Buckets of runs in each group of sizes, and the runs of an index that lie in one bucket.
+BUCKETS, INDEXED = 16, 1 << 24
+#: By how many more runs in one bucket than its first, over all buckets, like texts are known.
+TOLD = 8
+#: Sizes of texts are told apart by STEPS for each power of two, SIZES in all.
+STEPS, SIZES = 32, 1024
+#: Characters whose runs are cut at a time (or those of one text), runs of packs and meetings that are counted at a time (likewise).
+CUT, PACKED, MET = 1 << 20, 1 << 21, 1 << 19
 #: Texts of pairs that are broadcast by their ids.
 FEW = 1_000_000
 
@@ -95,31 +100,58 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, it
     return counted.select(left_key, right_key, "common", (F.col("common") / (F.col("plumb_n") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def _counted(n: int):
-    """Texts to how many of them (15 at most) have a run of each counter, as rows of RUN counters, two in a byte."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches in parts of at most 65,536 texts and about CUT characters, and the texts, which are the last column; null is empty."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        low = size = 0
+        for i, t in enumerate(texts):
+            if i > low and (size + len(t) > CUT or i - low == 65536):
+                yield batch.slice(low, i - low), texts[low:i]
+                low, size = i, 0
+            size += len(t)
+        if low < len(texts):
+            yield batch.slice(low), texts[low:]
+
+
+def _bin(n):
+    """The step of a size of 1 or more."""
+    return np.minimum(np.log2(np.maximum(n, 1)) * STEPS, SIZES - 1).astype(np.int64)
+
+
+def _counted(n: int, threshold: float = 0.6, buckets: int = BUCKETS):
+    """Texts to how many of them (15 at most) have a run of each counter, as rows of RUN counters, two in a byte; and as row -1 the runs that an index has of texts of each step of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts[grams.hashes(text, n) & (COUNTERS - 1)] += 1  # once a text
+        counts, sizes = np.zeros(COUNTERS, np.int32), np.zeros(SIZES, np.int64)
+        for _, texts in _blocks(batches):
+            owner, h = grams.sets(texts, n)
+            of = np.sort((h & np.uint64(COUNTERS - 1)).astype(np.uint32))
+            new = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: of.size])
+            counts[of[new]] += np.diff(np.append(new, of.size)).astype(np.int32)  # once a text
+            size = np.bincount(owner, minlength=len(texts))
+            np.add.at(sizes, _bin(size), np.minimum(_first(size, threshold, buckets)[1], size))
         parts = np.minimum(counts, 15).astype(np.uint8).reshape(-1, RUN)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([(parts[i, ::2] << 4 | parts[i, 1::2]).tobytes() for i in some], pa.binary())], names=["run", "counts"])
+        told = [(parts[i, ::2] << 4 | parts[i, 1::2]).tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array([sizes.tobytes(), *told], pa.binary())], names=["run", "counts"])
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, counts) sorted by run, added up to 16 bits each."""
+    """Rows (run, counts) sorted by run, added up to 16 bits each; row -1 in full."""
     now, total = None, None
-    packed = lambda: np.minimum(total, 65535).astype(np.uint16).tobytes()
+    packed = lambda: total.tobytes() if now < 0 else np.minimum(total, 65535).astype(np.uint16).tobytes()
     for batch in batches:
         done = []
         for run, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if run != now:
                 done += [(now, packed())] if now is not None else []
-                now, total = run, np.zeros(RUN, np.int64)
+                now, total = run, np.zeros(SIZES if run < 0 else RUN, np.int64)
+            if run < 0:
+                total += np.frombuffer(counts, np.int64)
+                continue
             two = np.frombuffer(counts, np.uint8)
             total[::2] += two >> 4
             total[1::2] += two & 15
@@ -134,108 +166,178 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 
 
 def _more(wanted, buckets: int):
-    """Of how many runs in one bucket, beyond the first, a text can be sure that its like has them: it sends so many for each bucket."""
-    return np.minimum(2, (wanted - 1) // buckets)
+    """How many runs beyond one a text's like has of its first runs, at least: as many more it sends."""
+    return np.clip(wanted - 1, 0, buckets + TOLD)
 
 
-def _prefixes(shared, n: int, threshold: float, buckets: int):
-    """(id, text) to packs of (bucket, ids, sizes, at, grams): the runs of texts that must meet those of similar texts, by the order of their counters.
+def _first(n: np.ndarray, threshold: float, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first runs of a text of n meet those of smaller texts (or as large ones), and how many wait for those of larger ones."""
+    wanted = _ceil(threshold * n)
+    more = _more(wanted, buckets)
+    return n - wanted + more + 1, n - _ceil(2 * threshold / (1 + threshold) * n) + more + 1
 
-    A run is 31 bits of its hash in the bucket that others name; runs of a pack are sorted and told by their distances.
-    """
 
-    def packs(held: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
-        at = np.repeat(np.arange(len(held), dtype=np.uint64), [h.size for _, _, h in held])
-        h = np.concatenate([h for _, _, h in held]).view(np.uint64)
-        ids, sizes = np.array([i for i, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int32)
-        where = (h >> np.uint64(40)) % np.uint64(buckets)
-        both = (h & np.uint64(2**31 - 1)) << np.uint64(16) | at
+def _groups(sizes: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, part, parts): steps of sizes whose indexes have up to most runs together; a step with more is parted by ids."""
+    out, low, held = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            out.append((low, i, max(1, -(-held // most))))
+            low, held = i, 0
+        held += size
+    out.append((low, SIZES, max(1, -(-held // most))))
+    return [(low, high, part, parts) for low, high, parts in out for part in range(parts)]
+
+
+def _prefixes(shared, n: int, threshold: float, buckets: int, groups: list[tuple[int, int, int, int]] | None = None):
+    """(id, text) to packs of (bucket, ids, sizes, at, grams): the first runs of texts, by the order of their counters.
+
+    sizes begin with a byte: 0, runs that wait in an index of the group of their text's size; 1, runs that meet those, which
+    go to every group with sizes of similar texts. A run is 28 bits of its hash in the bucket that others name; runs of a
+    pack are sorted and told by their distances.
+    """
+    groups = groups or [(0, SIZES, 0, 1)]
+
+    def packs(held: list[tuple[np.ndarray, ...]], kind: int, group: int) -> Iterator[pa.RecordBatch]:
+        ids, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        at, h = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+        held.clear()
+        both = (h >> np.uint64(40)) % np.uint64(buckets) << np.uint64(44) | (h & np.uint64(2**28 - 1)) << np.uint64(16) | at.astype(np.uint64)
+        del at, h
+        both.sort()
+        edges = np.searchsorted(both, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(44))
         for bucket in range(buckets):
-            mine = np.sort(both[where == bucket])
+            mine = both[edges[bucket] : edges[bucket + 1]] & np.uint64(2**44 - 1)
             if not mine.size:
                 continue
-            at_, gram = (mine & np.uint64(65535)).astype(np.uint16), mine >> np.uint64(16)
-            used, at_ = np.unique(at_, return_inverse=True)
-            far = np.diff(gram, prepend=np.uint64(0))
-            yield bucket, ids[used].tobytes(), sizes[used].tobytes(), at_.astype(np.uint16).tobytes(), far.astype(np.uint16 if far.max() < 65536 else np.uint32).tobytes()
-
-    def told(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([b], pa.binary()) for b in row[1:])], names=["bucket", "ids", "sizes", "at", "grams"])
+            at_ = (mine & np.uint64(65535)).astype(np.int64)
+            seen = np.zeros(ids.size, bool)
+            seen[at_] = True
+            far = np.diff(mine >> np.uint64(16), prepend=np.uint64(0))
+            row = ids[seen].tobytes(), bytes([kind]) + sizes[seen].tobytes(), (np.cumsum(seen) - 1)[at_].astype(np.uint16).tobytes(), far.astype(np.uint16 if far.max() < 65536 else np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([group * buckets + bucket], pa.int32()), *(pa.array([b], pa.binary()) for b in row)], names=["bucket", "ids", "sizes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, held, size = shared.value, [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = grams.hashes(text, n)
-                met = often[h & (COUNTERS - 1)]
-                order = np.argsort(met, kind="stable")  # equal counts stay in the order of the hashes
-                wanted = int(_ceil(h.size * threshold))
-                order = order[: h.size - wanted + _more(wanted, buckets) * buckets + 1]
-                first = h[order[met[order] > 1]]  # what one text has meets nothing
-                if first.size:
-                    held.append((key, h.size, first))
-                    size += first.size
-                if len(held) == 65536 or size >= PACKED:
-                    yield from told(packs(held))
-                    held, size = [], 0
-        if held:
-            yield from told(packs(held))
+        often = shared.value
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(2 * len(groups))]  # of each group and kind: ids, sizes, runs and their texts
+        for batch, texts in _blocks(batches):
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, h = grams.sets(texts, n)
+            size = np.bincount(owner, minlength=len(texts))
+            met = often[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            # by text and counter; equal counters stay in the order of the hashes
+            order = owner.astype(np.uint64) << np.uint64(48) | met.astype(np.uint64) << np.uint64(32) | np.arange(h.size, dtype=np.uint64)
+            order.sort()
+            order = (order & np.uint64(2**32 - 1)).astype(np.int64)
+            place = np.arange(h.size) - (np.cumsum(size) - size)[owner]
+            probe, index = _first(size, threshold, buckets)
+            some = np.flatnonzero((place < probe[owner]) & (met[order] > 1))  # what one text has meets nothing
+            at, h, waits = owner[some], h[order[some]], place[some] < index[owner[some]]
+            step, least, sizes = _bin(size), _bin(_ceil(threshold * size)), size.astype(np.int32)
+            for group, (low, high, part, parts) in enumerate(groups):
+                mine = (step >= low) & (step < high) & (ids % parts == part)
+                for kind, (texts_, runs) in enumerate(((mine, waits), ((step >= low) & (least < high), True))):
+                    of, which = held[2 * group + kind], texts_[at] & runs
+                    if of and (sum(x[0].size for x in of) + int(texts_.sum()) > 65536 or sum(x[3].size for x in of) > PACKED):
+                        yield from packs(of, kind, group)
+                    if which.any():
+                        of.append((ids[texts_], sizes[texts_], (np.cumsum(texts_) - 1)[at[which]] + sum(x[0].size for x in of), h[which]))
+        for i, of in enumerate(held):
+            if of:
+                yield from packs(of, i % 2, i // 2)
 
     return run
 
 
-def _meetings(threshold: float, buckets: int):
-    """Packs sorted by bucket to (a, b), a < b: texts that share as many of a bucket's runs as similar texts share in one of their buckets at least."""
+def _meetings(threshold: float, buckets: int, ordered: bool = False):
+    """Packs sorted by bucket to (a, b), a < b: texts that share two runs of a bucket, or one, where similar texts may share no two.
+
+    ordered: packs of a bucket are sorted by sizes, too, so that an index lies whole before runs meet it and these pass by;
+    and pairs come with more, how many runs beyond one they share, and need, how many similar texts share so over all buckets.
+    """
+
+    def read(ids: bytes, sizes: bytes, at: bytes, far: bytes) -> tuple[np.ndarray, ...]:
+        gram = np.cumsum(np.frombuffer(far, np.uint16 if len(far) == len(at) else np.uint32), dtype=np.uint64)
+        return np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32, offset=1), np.frombuffer(at, np.uint16), gram << np.uint64(32)
 
-    def of(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def built(packs: list[tuple]) -> tuple[np.ndarray, ...]:
+        """ids and sizes by size, and (run, place of the text) in order."""
         ids, n = np.concatenate([p[0] for p in packs]), np.concatenate([p[1] for p in packs]).astype(np.int64)
-        more, base = _more(_ceil(threshold * n), buckets), np.cumsum([0, *(p[0].size for p in packs)])
-        both = np.concatenate([np.cumsum(p[3], dtype=np.uint64) << np.uint64(32) | p[2].astype(np.uint64) + np.uint64(base[i]) for i, p in enumerate(packs)])
-        packs.clear()
-        both.sort()
-        gram = both >> np.uint64(32)
-        new = np.flatnonzero(np.diff(gram, prepend=np.uint64(2**32)))
-        after = np.repeat(np.append(new[1:], gram.size), np.diff(np.append(new, gram.size)))
-        text = (both & np.uint64(2**32 - 1)).astype(np.int64)
-        del both, gram
-        partners = after - np.arange(after.size) - 1
-        mine = np.flatnonzero(partners)
-        mine = mine[np.argsort(text[mine], kind="stable")]
+        order = np.argsort(n, kind="stable")
+        rank = np.empty(order.size, np.uint64)
+        rank[order] = np.arange(order.size, dtype=np.uint64)
+        runs, low, base = np.empty(sum(p[2].size for p in packs), np.uint64), 0, 0
+        while packs:
+            own, _, at, gram = packs.pop(0)
+            runs[low : low + at.size] = gram | rank[base : base + own.size][at]
+            low, base = low + at.size, base + own.size
+        runs.sort()
+        return ids[order], n[order], runs
+
+    def of(index: tuple[np.ndarray, ...], pack: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        (ids, n, runs), (own, size, at, gram) = index, pack
+        size = size.astype(np.int64)
+        more, known = _more(_ceil(threshold * n), buckets), _more(_ceil(threshold * size), buckets)
+        short = _more(_ceil(threshold * _ceil(threshold * size)), buckets) < buckets  # one run may be all that tells some of its like
+        low = np.searchsorted(runs, gram | np.searchsorted(n, _ceil(threshold * size)).astype(np.uint64)[at])
+        count = np.searchsorted(runs, gram | np.searchsorted(n, size, "right").astype(np.uint64)[at]) - low
+        mine = np.flatnonzero(count)
         if not mine.size:
             return
-        partners, owner = partners[mine], text[mine]
-        total = np.cumsum(partners)
-        first = np.flatnonzero(np.diff(owner, prepend=-1))  # where each text begins
-        before = np.append((total - partners)[first], total[-1])
-        low = 0
-        while low < first.size:
-            high = max(low + 1, int(np.searchsorted(before, before[low] + MET, side="right")) - 1)
-            some = slice(first[low], first[high] if high < first.size else mine.size)
-            count = partners[some]
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            x, y = np.repeat(owner[some], count), text[np.repeat(mine[some], count) + 1 + step]
-            del step
-            fits = (x != y) & (n[y] >= _ceil(threshold * n[x])) & (n[x] >= _ceil(threshold * n[y]))
-            key, shared = np.unique(x[fits] * ids.size + y[fits], return_counts=True)
-            x, y = key // ids.size, key % ids.size
-            good = shared > np.minimum(more[x], more[y])
-            a, b = ids[x[good]], ids[y[good]]
-            for at in range(0, a.size, 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[at : at + (1 << 18)]), pa.array(np.maximum(a, b)[at : at + (1 << 18)])], names=["a", "b"])
-            low = high
+        mine = mine[np.argsort(at[mine], kind="stable")]
+        low, count, owner = low[mine], count[mine], at[mine].astype(np.uint64)
+        total = np.cumsum(count)
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))  # where each text begins
+        before = np.append((total - count)[first], total[-1])
+        first = np.append(first, mine.size)
+        i = 0
+        while i < first.size - 1:
+            j = max(i + 1, int(np.searchsorted(before, before[i] + MET, side="right")) - 1)
+            some, i = slice(first[i], first[j]), j
+            c = count[some]
+            step = np.arange(c.sum()) + np.repeat(low[some] - np.cumsum(c) + c, c)
+            key = np.repeat(owner[some] << np.uint64(32), c) | runs[step] & np.uint64(2**32 - 1)
+            key.sort()
+            again = key[1:] == key[:-1]
+            lone = key[np.append(True, ~again)] if short[owner[some].astype(np.int64)].any() else key[:0]
+            key = np.concatenate([key[1:][again], lone[short[(lone >> np.uint64(32)).astype(np.int64)]]])
+            key.sort()
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: key.size])
+            c, key = np.diff(np.append(new, key.size)), key[new]
+            x, y = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(2**32 - 1)).astype(np.int64)
+            c, need = c - short[x], np.minimum(known[x], more[y]) + 1 - buckets
+            good = ((c > 0) | (need <= 0)) & ((n[y] < size[x]) | (ids[y] < own[x]))  # of equal sizes the smaller id waits
+            a, b, c, need = own[x[good]], ids[y[good]], c[good], need[good]
+            columns = [np.minimum(a, b), np.maximum(a, b), *((c, np.maximum(need, 0)) if ordered else ())]
+            for k in range(0, a.size, 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + (1 << 18)]) for v in columns], names=["a", "b", "more", "need"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        now, waiting, index, later = None, [], None, []
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if waiting and later:
+                whole = built(waiting)
+                while later:
+                    yield from of(whole, later.pop())
+            waiting.clear(), later.clear()
+
         for batch in batches:
             for bucket, ids, sizes, at, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held:
-                    yield from of(held)
-                    held = []
-                now, at = bucket, np.frombuffer(at, np.uint16)
-                held.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), at, np.frombuffer(far, np.uint16 if len(far) == 2 * at.size else np.uint32)))
-        if held:
-            yield from of(held)
+                if bucket != now:
+                    yield from rest()
+                    now, index = bucket, None
+                pack = read(ids, sizes, at, far)
+                if sizes[0] == 0:
+                    waiting.append(pack)
+                elif not ordered:
+                    later.append(pack)
+                else:
+                    if waiting:
+                        index = built(waiting)
+                    if index:
+                        yield from of(index, pack)
+        yield from rest()
 
     return run
 
@@ -244,29 +346,33 @@ def similar_texts(texts: DataFrame, threshold: float, n: int = 8) -> DataFrame:
     """a, b, similarity of all pairs of texts (id long, text), a < b, whose sets of runs of n characters have a Jaccard similarity of threshold or more.
 
     The order of runs is that of COUNTERS counters, which are broadcast: any order finds all pairs, and one that
-    puts rare runs first lets few meet. Only the first runs of a text are sent, once and packed, to buckets by their
-    hashes. Two texts that share over twice as many of these runs as there are buckets share three in some bucket, so
-    pairs are counted where a bucket lies, and those that share one or two by chance are not written (short texts send
-    fewer, and share two or one). texts are read several times and
-    are best written; ids are unique.
+    puts rare runs first lets few meet. Only the first runs of a text are sent, packed, to buckets by their hashes. The
+    smaller text of a pair waits in an index with fewer of them (both share more for their sizes than the larger one must
+    share with its smallest like); indexes are parted by sizes until they fit a task, and the runs of larger texts pass
+    by. Similar texts share TOLD more of these runs than there are buckets, so those that share more than one in a bucket are
+    written, and are a pair if they do so often enough over all buckets (short texts send fewer, and need less).
+    texts are read several times and are best written; ids are unique.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold is above 0 and at most 1")
     spark = texts.sparkSession
-    counters = texts.select("text").mapInArrow(_counted(n), "run long, counts binary").repartition("run").sortWithinPartitions("run").mapInArrow(_added, "run long, counts binary")
-    often = np.zeros((COUNTERS // RUN, RUN), np.uint16)
-    for row in counters.collect():  # COUNTERS numbers at most
-        often[row.run] = np.frombuffer(row.counts, np.uint16)
+    counters = texts.select("text").mapInArrow(_counted(n, threshold), "run long, counts binary").repartition("run").sortWithinPartitions("run").mapInArrow(_added, "run long, counts binary")
+    often, sizes = np.zeros((COUNTERS // RUN, RUN), np.uint16), np.zeros(SIZES, np.int64)
+    for row in counters.collect():  # COUNTERS numbers at most, and SIZES
+        if row.run < 0:
+            sizes = np.frombuffer(row.counts, np.int64)
+        else:
+            often[row.run] = np.frombuffer(row.counts, np.uint16)
     shared = spark.sparkContext.broadcast(often.ravel())
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(np.clip(2 ** np.ceil(np.log2(max(1, chars) / CHARS)), *BUCKETS))
-    sent = texts.select("id", "text").mapInArrow(_prefixes(shared, n, threshold, buckets), "bucket int, ids binary, sizes binary, at binary, grams binary")
-    met = sent.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(threshold, buckets), "a long, b long")
-    pairs = Scratch(spark, "pairs").put(met.distinct(), "pairs")
+    groups = _groups(sizes, INDEXED * BUCKETS)
+    sent = texts.select("id", "text").mapInArrow(_prefixes(shared, n, threshold, BUCKETS, groups), "bucket int, ids binary, sizes binary, at binary, grams binary")
+    met = sent.repartition(2 * BUCKETS * len(groups), "bucket").sortWithinPartitions("bucket", "sizes").mapInArrow(_meetings(threshold, BUCKETS, True), "a long, b long, more long, need long")
+    met = met.groupBy("a", "b").agg(F.sum("more").alias("more"), F.max("need").alias("need")).where("more >= need").select("a", "b")
+    pairs = Scratch(spark, "pairs").put(met, "pairs")
     held = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     held = Scratch(spark, "held").put(held, "held")
     if held.count() <= FEW:
         texts = texts.join(F.broadcast(held), "id", "left_semi")  # else nearly all texts are sent
     named = lambda key, text: texts.select(F.col("id").alias(key), F.col("text").alias(text))
-    full = pairs.hint("merge").join(named("a", "plumb_x"), "a").hint("merge").join(named("b", "plumb_y"), "b")
-    return full.select("a", "b", grams.jaccard(F.col("plumb_x"), F.col("plumb_y"), n).alias("similarity")).where(F.col("similarity") >= threshold)
+    full = spread(pairs.hint("merge").join(named("a", "plumb_x"), "a"), "b").hint("merge").join(spread(named("b", "plumb_y"), "b"), "b")
+    return full.select("a", "b", grams.likeness(F.col("plumb_x"), F.col("plumb_y"), threshold, n).alias("similarity")).where(F.col("similarity") >= threshold)

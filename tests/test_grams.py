@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,17 @@ def test_cascade_cuts_lines_once(spark, shared):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan and "UDF" not in plan
     assert {(r.doc_id, r.action) for r in done.collect()} == {(0, "keep"), (1, "keep"), *((d, "fallback") for d in (2, 3, 4))}
+
+
+def test_sets_and_likeness_of_many_texts_at_once():
+    """Runs of all texts are cut in one pass, none across two texts, and similarities of pairs are those of the pairs alone."""
+    random.seed(9)
+    texts = ["".join(random.choice("abé😀") for _ in range(random.choice([0, 2, 8, 9, 60]))) for _ in range(80)]
+    for n in (1, 3, 8):
+        owner, h = grams.sets(texts, n)
+        want = [len({t[i : i + n] for i in range(len(t) - n + 1)}) or int(t != "") for t in texts]
+        assert np.bincount(owner, minlength=len(texts)).tolist() == want and (np.diff(owner) >= 0).all()
+        a, b = texts, texts[::-1]
+        alone = [c / (p + q - c) if p and q else 0.0 for c, p, q in (grams.common(x, y, n) for x, y in zip(a, b, strict=True))]
+        assert grams.alike(a, b, 0.6, n) == alone == grams.alike(a, b, 0.6, n, 100)
+    assert grams.sets([], 8)[0].size == 0 and grams.alike([None, ""], ["abc", None], 0.6) == [0.0, 0.0]

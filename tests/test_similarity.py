@@ -144,3 +144,23 @@ def test_few_meetings_by_chance_are_written(spark):
     met = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(similarity._meetings(0.6, 8), "a long, b long").distinct().collect()
     assert want <= {(r.a, r.b) for r in met} and len(met) < 300 * 299 / 8
     assert {(r.a, r.b) for r in similarity.similar_texts(texts, 0.6).collect()} == want and len(want) >= 40
+
+
+def test_indexes_parted_by_sizes_lose_no_pair(spark, monkeypatch):
+    """Runs that a text sends do not grow with the data: indexes that are too large are parted by sizes, and equal sizes by ids."""
+    random.seed(8)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    made = ["".join(random.choice(words) for _ in range(random.choice([2, 5, 9, 30, 60, 60]))) for _ in range(200)]
+    made += [t[: len(t) * k // 10] + "zz" + t[len(t) * k // 10 + 2 :] for t in made[:80] for k in (5, 9)] + [t[: len(t) * 7 // 10] for t in made[:40]]
+    rows = list(enumerate(sorted(set(made))))
+    sets = {i: {t[k : k + 8] for k in range(len(t) - 7)} or {t} for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.6}
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    monkeypatch.setattr(similarity, "INDEXED", 100)
+    assert {(r.a, r.b) for r in similarity.similar_texts(texts, 0.6).collect()} == want and len(want) > 100
+    sizes = np.array([similarity._first(np.array([len(s)]), 0.6, 16)[1][0] for s in sets.values()])
+    groups = similarity._groups(np.bincount(similarity._bin(np.array([len(s) for s in sets.values()])), sizes, similarity.SIZES).astype(int), 1600)
+    assert len(groups) > 4 and max(parts for *_, parts in groups) > 1
+    # what is sent of a text to one group is bounded, whatever the number of groups
+    probe, index = similarity._first(np.array([300]), 0.6, similarity.BUCKETS)
+    assert probe[0] <= 300 * 0.4 + 30 and index[0] <= 300 * 0.25 + 30
