@@ -112,35 +112,31 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "hash", "id", "start", "span"]
     last: tuple | None = None  # the row before
     head: tuple | None = None  # first row of the hash in hand, while its key has no other hash
-    first = (None, None)  # place of the first row of the hash in hand
+    first = (0, 0)  # place of the first row of the hash in hand
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        key, hash_, ids, start, span = (batch.column(x).to_numpy(zero_copy_only=False) for x in names)
         again = batch.column("again").to_numpy(zero_copy_only=False)
-        before_key = np.append(last[0] if last else ~key[0], key[:-1])
-        lone = (key != before_key) & np.append(key[1:] != key[:-1], False)  # the only row of its key, surely
-        out = [[a[again] for a in (ids, start, span)]]
-        rows: list[tuple] = []
-        for i in np.flatnonzero(~lone & ~again):
-            row = (key[i], hash_[i], ids[i], start[i], span[i])
-            if last is None or row[0] != last[0]:
-                head, first = row, row[2:4]
-            elif row[1] != last[1]:
-                if head:
-                    rows.append(head)
-                    head = None
-                rows.append(row)
-                first = row[2:4]
-            elif row[2:4] != first:
-                rows.append((None, *row[1:]))
-            last = row
-        if lone[-1] or again[-1]:
-            last = (key[-1], hash_[-1], ids[-1], start[-1], span[-1])
-        held = [np.array([r[j] for r in rows], np.int64) for j in (2, 3, 4)]
-        keys = [None] * int(again.sum()) + [None if r[0] is None else int(r[0]) for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(out[0], held, strict=True))], names=["key", "id", "start", "span"])
+        rows = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+        gone, (key, hash_, ids, start, span) = [a[again] for a in rows[2:]], (a[~again] for a in rows)
+        n = len(key)
+        told, later = np.zeros(n, bool), np.zeros(n, bool)
+        more: list[tuple] = []
+        if n:
+            new_key = np.append(last is None or key[0] != last[0], key[1:] != key[:-1])
+            new = new_key | np.append(last is None or hash_[0] != last[1], hash_[1:] != hash_[:-1])
+            starts = np.flatnonzero(new)
+            of = np.cumsum(new)  # 0: rows of the hash in hand
+            later = ~new & ((ids != np.append(first[0], ids[starts])[of]) | (start != np.append(first[1], start[starts])[of]))
+            if len(starts):
+                other = ~new_key[starts]  # the key has another hash before this one
+                if head and other[0]:
+                    more.append(head)
+                told[starts] = other | np.append(other[1:], False)
+                at = starts[-1]
+                head, first = None if other[-1] else (key[at], ids[at], start[at], span[at]), (ids[at], start[at])
+            last = (key[-1], hash_[-1])
+        held = [np.concatenate([a, b[told], b[later], np.array([r[j] for r in more], np.int64)]).astype(np.int64) for j, (a, b) in enumerate(zip((gone[0], *gone), (key, ids, start, span), strict=True))]
+        settled = np.repeat([True, False, True, False], [len(gone[0]), told.sum(), later.sum(), len(more)])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64(), mask=settled), *(pa.array(a) for a in held[1:])], names=["key", "id", "start", "span"])
 
 
 def _fetched(length: int):
@@ -246,6 +242,27 @@ def repeated_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray,
     return doc[later], start[later]
 
 
+def candidates(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces with windows whose hash occurs again in the collection, and the first and last of these: all others hold no repeat."""
+    sizes = np.array([len(p) for p in pieces])
+    count = np.maximum(sizes - length + 1, 0)
+    which = np.repeat(np.arange(len(pieces)), count)
+    at = np.arange(len(which)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(count) + count, count)
+    if not len(at):
+        return at, at, at
+    hash_ = Hasher(np.frombuffer(b"".join(pieces), np.uint8))(at, at + length)
+    order = np.argsort(hash_)
+    same = hash_[order[1:]] == hash_[order[:-1]]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    again = np.flatnonzero(again)
+    if not len(again):
+        return again, again, again
+    piece, within = which[again], again - (np.cumsum(count) - count)[which[again]]
+    new = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    return piece[new], within[new], within[np.append(new[1:], len(piece)) - 1]
+
+
 def _compared(length: int):
     """Rows sorted by key to (id, start, span 1) of repeated windows; keys are gathered to batches, none is divided."""
 
@@ -254,7 +271,10 @@ def _compared(length: int):
         size, settled = 0, ([], [])
 
         def out() -> Iterator[pa.RecordBatch]:
-            doc, start = repeated_windows([h[3] for h in held], np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64), length)
+            # only stretches of windows that may repeat are built into a transform
+            piece, first, last = candidates([h[3] for h in held], length)
+            some = [(held[i], a, b + length) for i, a, b in zip(piece.tolist(), first.tolist(), last.tolist(), strict=True)]
+            doc, start = repeated_windows([h[3][a:b] for h, a, b in some], np.array([h[1] for h, _, _ in some], np.int64), np.array([h[2] + a for h, a, _ in some], np.int64), length)
             doc, start = np.concatenate([doc, np.array(settled[0], np.int64)]), np.concatenate([start, np.array(settled[1], np.int64)])
             order = np.lexsort((start, doc))
             doc, start = doc[order], start[order]

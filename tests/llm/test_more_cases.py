@@ -3,11 +3,13 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import LONG, ODD, SHAPE
 
-from plumbline.llm import minhash_dedup, toxicity, url_filters
+from plumbline.llm import minhash_dedup, suffix_dedup, toxicity, url_filters
 from plumbline.llm.shared import table
 
 
@@ -79,3 +81,20 @@ def test_chained_near_copies(spark, whole):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, k=2, whole=whole).collect()}
     assert got == classes(rows, 2)
+
+
+def test_only_what_may_repeat_is_built_into_a_transform(monkeypatch):
+    """Of segments that share a minimizer only, nothing enters the transform; of others the stretch of windows that occur again."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.integers(32, 127, n, dtype=np.uint8).tobytes()
+    gram, shared = noise(32), noise(120)
+    pieces = [noise(50) + gram + noise(50) for _ in range(40)] + [noise(20) + shared, shared + noise(30), b"", noise(99)]
+    piece, first, last = suffix_dedup.candidates(pieces, 100)
+    assert (piece.tolist(), first.tolist(), last.tolist()) == ([40, 41], [20, 0], [40, 20])
+    built = []
+    whole = suffix_dedup.transform
+    monkeypatch.setattr(suffix_dedup, "transform", lambda some, cap: built.extend(some) or whole(some, cap))
+    n = len(pieces)
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(range(n)), pa.array([5] * n), pa.array(pieces, pa.binary()), pa.array([False] * n)], names=["key", "id", "start", "content", "again"])
+    out = [r for b in suffix_dedup._compared(100)(iter([rows])) for r in b.to_pylist()]
+    assert out == [{"id": 41, "start": 5, "span": 21}] and built == [shared, shared]
