@@ -16,8 +16,13 @@ MENTION, DEFAULT_KIND = "MENTIONED_IN", "RELATED_TO"
 SEED_WEIGHT, NEIGHBOUR_WEIGHT = 2.0, 1.0
 NAME_CHARS = 15
 PER_PAIR, PER_QUERY, TRIPLES = 3, 30, 50
-#: Rows of named nodes that are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows that are broadcast, counted: the sizes of files say little of what rows take in the driver's memory.
+BROADCAST_ROWS = 250_000
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows for one side of a join: broadcast if they are few, else never."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
 def entity_name(name: Column) -> Column:
@@ -161,23 +166,24 @@ def near_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
 
     A name that contains what is asked holds its rarest gram among the item's names; what is asked contains a name
     only if it holds the name's rarest gram. So pairs meet by one gram, not all names of an item with all questions.
-    Empty names and questions meet nothing.
+    Empty names and questions meet nothing. No side with a row for every gram is broadcast: what is known of its size
+    is that of the names.
     """
     low, short = F.lower("name"), F.least(F.length("name"), F.lit(GRAM))
     known = names.select("item", "name").distinct().where("name <> ''")
     index = known.select("item", "name", F.explode(F.concat(*(_grams(low, n) for n in range(1, GRAM + 1)))).alias("gram"))
-    often = index.groupBy("item", "gram").agg(F.count("*").alias("names"))
+    often = index.groupBy("item", "gram").agg(F.count("*").alias("names")).hint("merge")
     pairs = asked.select("query_id", "item", "asked").distinct().where("asked <> ''").withColumn("low", F.lower("asked"))
     own = F.concat(*(F.when(F.least(F.length("low"), F.lit(GRAM)) == n, _grams(F.col("low"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)))
     # one gram that no name has, and no name contains the question
     wanted = pairs.select("item", "asked", own.alias("grams")).distinct().select("item", "asked", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, ["item", "gram"])
     rare = wanted.groupBy("item", "asked", "n").agg(F.count("*").alias("found"), F.min(F.struct("names", "gram")).alias("least")).where("found = n")
-    holding = rare.select("item", "asked", F.col("least.gram").alias("gram")).join(index, ["item", "gram"]).select("item", "asked", "name")
+    holding = rare.select("item", "asked", F.col("least.gram").alias("gram")).join(index.hint("merge"), ["item", "gram"]).select("item", "asked", "name")
     # the other way round: names by their rarest gram, questions by all of theirs
     signed = index.where(F.length("gram") == short).join(often, ["item", "gram"]).groupBy("item", "name").agg(F.min(F.struct("names", "gram")).alias("least"))
     all_grams = F.concat(*(_grams(F.col("low"), n) for n in range(1, GRAM + 1)))
     spread = pairs.select("item", "asked", all_grams.alias("grams")).distinct().select("item", "asked", F.explode("grams").alias("gram"))
-    held = spread.join(signed.select("item", "name", F.col("least.gram").alias("gram")), ["item", "gram"]).select("item", "asked", "name")
+    held = spread.join(signed.select("item", "name", F.col("least.gram").alias("gram")).hint("merge"), ["item", "gram"]).select("item", "asked", "name")
     met = holding.unionByName(held).distinct()
     fits = F.contains(F.lower("name"), F.lower("asked")) | F.contains(F.lower("asked"), F.lower("name"))
     return pairs.select("query_id", "item", "asked").join(met, ["item", "asked"]).select("query_id", "item", "asked", "name", fits.alias("fits"))
@@ -191,7 +197,7 @@ def seeds(asked: DataFrame, nodes: DataFrame, exact: int = 1, fuzzy: int = PER_P
     """
     pairs = asked.select("query_id", "item", "asked").distinct()
     known = nodes.select("item", "name").distinct()
-    same = pairs.join(known.withColumn("asked", F.col("name")), ["item", "asked"]).select("query_id", "item", "asked", "name").withColumn("how", F.lit("exact"))
+    same = pairs.join(known.withColumn("asked", F.col("name")).hint("merge"), ["item", "asked"]).select("query_id", "item", "asked", "name").withColumn("how", F.lit("exact"))
     open_ = pairs.join(same, ["query_id", "item", "asked"], "left_anti")
     near = near_pairs(open_, known).where("fits").drop("fits").withColumn("how", F.lit("fuzzy"))
     n = F.row_number().over(Window.partitionBy("query_id", "item", "asked").orderBy("name"))
@@ -246,15 +252,14 @@ def mention_evidence(weights: DataFrame, mentions: DataFrame, top: int = 50) ->
     items = weights.groupBy("query_id").agg((F.min("item") == F.max("item")).alias("plumb_one"))
     weights = scratch.put(weights.join(items, "query_id"), "weights")
     nodes = scratch.put(weights.where("plumb_one").select("item", "name").distinct().withColumn("code", F.monotonically_increasing_id()), "nodes")
-    known = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    told = mentions.join(known, ["item", "name"]).groupBy("item", "chunk_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    told = mentions.join(bounded(nodes), ["item", "name"]).groupBy("item", "chunk_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     nth = F.row_number().over(Window.partitionBy("item", "codes").orderBy(F.desc("chunk_id")))
     kept = scratch.put(told.withColumn("nth", nth).where(F.col("nth") <= top), "kept")
     classes = scratch.put(kept.where("nth = 1").select("item", "codes", F.col("chunk_id").alias("last"), F.monotonically_increasing_id().alias("class")), "classes")
     coded = weights.where("plumb_one").join(nodes, ["item", "name"]).select("query_id", "code", "weight")
-    scored = classes.select("class", "last", F.explode("codes").alias("code")).join(coded, "code").groupBy("query_id", "class", "last").agg(F.sum("weight").alias("score"), F.count("*").alias("entities"))
+    scored = classes.select("class", "last", F.explode("codes").alias("code")).hint("merge").join(coded, "code").groupBy("query_id", "class", "last").agg(F.sum("weight").alias("score"), F.count("*").alias("entities"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("entities"), F.desc("last")))
-    scored = scored.withColumn("plumb_best", best).where(F.col("plumb_best") <= top).join(classes.select("class", "item", "codes"), "class")
+    scored = scored.withColumn("plumb_best", best).where(F.col("plumb_best") <= top).join(classes.select("class", "item", "codes").hint("merge"), "class")
     each = scored.join(kept, ["item", "codes"]).select("query_id", "chunk_id", "score", "entities")
     several = weights.where("not plumb_one")
     if not several.isEmpty():

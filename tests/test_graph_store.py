@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph
+from plumbline.plans import graph_queries
 
 ASK, NAME = "query_id long, item string, asked string", "item string, name string"
 
@@ -97,3 +98,20 @@ def test_evidence_by_classes_of_chunks(spark):
     got = graph.mention_evidence(w, m, 7).select("query_id", "chunk_id", "score", "entities", "rank").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert len({q for q, *_ in want}) == 12
+
+
+def test_broadcasts_are_bounded_by_counted_rows(spark, sf, monkeypatch, tmp_path):
+    """What the driver holds does not grow with parts, suppliers or the grams of names, however small their files are."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    facts = plan(graph_queries._facts(spark, sf))
+    assert facts.count("BroadcastHashJoin") == 3
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    for df in (graph_queries._facts(spark, sf), graph_queries._relations(spark, sf)):
+        assert plan(df).count("BroadcastHashJoin") == 1 and plan(df).count("SortMergeJoin") == 2  # nations only
+    asks, names = asked_and_names()
+    for name, rows, shape in (("asked", asks, ASK), ("names", names, NAME)):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}")
+    asked, names = spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/names")
+    # the questions' side of each of three joins may be broadcast, as may the pairs that met, but nothing with a row for every gram
+    lines = [x for x in plan(graph.near_pairs(asked, names)).splitlines() if "BroadcastHashJoin" in x and "gram" in x]
+    assert not lines
