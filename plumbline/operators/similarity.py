@@ -242,6 +242,11 @@ def _prefixes(shared, n: int, threshold: float, buckets: int, groups: list[tuple
                         yield from packs(of, kind, group)
                     if which.any():
                         of.append((ids[texts_], sizes[texts_], (np.cumsum(texts_) - 1)[at[which]] + sum(x[0].size for x in of), h[which]))
+            size_of = [sum(x[3].size for x in of) for of in held]
+            while sum(size_of) > 4 * PACKED:  # however many groups there are
+                i = int(np.argmax(size_of))
+                yield from packs(held[i], i % 2, i // 2)
+                size_of[i] = 0
         for i, of in enumerate(held):
             if of:
                 yield from packs(of, i % 2, i // 2)

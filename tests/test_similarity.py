@@ -1,8 +1,10 @@
 """The prefix join against all pairs, the boilerplate rule, cross-document ratios, and health of documents."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,21 @@ def test_indexes_parted_by_sizes_lose_no_pair(spark, monkeypatch):
     # what is sent of a text to one group is bounded, whatever the number of groups
     probe, index = similarity._first(np.array([300]), 0.6, similarity.BUCKETS)
     assert probe[0] <= 300 * 0.4 + 30 and index[0] <= 300 * 0.25 + 30
+
+
+def test_packs_of_many_groups_are_sent_before_they_fill_a_worker(monkeypatch):
+    random.seed(12)
+    made = sorted({"".join(random.choice("abcd") for _ in range(size)) for size in range(20, 220)})
+    made += [t[:-1] + "z" for t in made]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(made))), pa.array(made)], names=["id", "text"])
+    often = SimpleNamespace(value=np.full(similarity.COUNTERS, 2, np.uint16))
+    groups = [(0, 180, 0, 1), (180, 220, 0, 2), (180, 220, 1, 2), (220, similarity.SIZES, 0, 1)]
+
+    def met(packed, cut):
+        monkeypatch.setattr(similarity, "PACKED", packed), monkeypatch.setattr(similarity, "CUT", cut)
+        rows = list(similarity._prefixes(often, 8, 0.6, 16, groups)(iter([batch])))
+        ordered = sorted(rows, key=lambda r: (r.column(0)[0].as_py(), r.column(2)[0].as_py()))
+        return max(len(r.column(3)[0].as_py()) // 2 for r in rows), sorted(tuple(r.values()) for b in similarity._meetings(0.6, 16, True)(iter(ordered)) for r in b.to_pylist())
+
+    (most, whole), (few, parts) = met(1 << 21, 1 << 20), met(300, 500)
+    assert whole == parts and whole and few < most / 3
